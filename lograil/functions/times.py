@@ -4,6 +4,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lograil.functions.once import let
+
 _DATE = r"\d{4}-\d{2}-\d{2}"
 _CLOCK = r"\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?"
 _OFFSET = r"(Z|[+-]\d{2}:?\d{2}(:\d{2})?)"
@@ -34,29 +36,29 @@ def parse_event_time(text: Column, zone: Column) -> Column:
     A value with an offset is taken as it is; a naive one needs the source's zone
     and must name exactly one instant there.
     """
-    naive = text.rlike(NAIVE)
-    local = F.when(naive, _instant(text))
-    utc = F.to_utc_timestamp(local, zone)
-    gap = F.from_utc_timestamp(utc, zone) != local
-    fold = F.lit(False)
-    for shift in _SHIFTS:
-        for sign in ("+", "-"):
-            other = utc + F.expr(f"interval '{shift}'") if sign == "+" else utc - F.expr(f"interval '{shift}'")
-            fold = fold | (F.from_utc_timestamp(other, zone) == local)
-    zoned = F.when(text.rlike(ZONED), _instant(text))
-    error = (F.when(text.isNull() | (text == ""), "timestamp is required as an ISO 8601 string")
-             .when(zoned.isNotNull(), None)
-             .when(local.isNull(), MALFORMED).when(zone.isNull(), MISSING_ZONE)
-             .when(gap | fold, AMBIGUOUS))
-    return F.struct(F.when(error.isNull(), F.coalesce(zoned, utc)).alias("event_time"),
-                    F.when(error.isNull() & zoned.isNull(), zone).alias("timezone_assumption"), error.alias("error"))
+    def judged(seen: Column, utc: Column) -> Column:
+        zoned, naive = text.rlike(ZONED), text.rlike(NAIVE)
+        gap = F.from_utc_timestamp(utc, zone) != seen
+        fold = F.lit(False)
+        for shift in _SHIFTS:
+            step = F.expr(f"interval '{shift}'")
+            fold = fold | (F.from_utc_timestamp(utc + step, zone) == seen) | (F.from_utc_timestamp(utc - step, zone) == seen)
+        error = (F.when(text.isNull() | (text == ""), "timestamp is required as an ISO 8601 string")
+                 .when(seen.isNull() | ~(zoned | naive), MALFORMED).when(zoned, None)
+                 .when(zone.isNull(), MISSING_ZONE).when(gap | fold, AMBIGUOUS))
+        return let(error, lambda problem: F.struct(
+            F.when(problem.isNull(), F.when(zoned, seen).otherwise(utc)).alias("event_time"),
+            F.when(problem.isNull() & naive, zone).alias("timezone_assumption"), problem.alias("error")))
+    return let(_instant(text), lambda seen: let(F.to_utc_timestamp(seen, zone), lambda utc: judged(seen, utc)))
 
 
 def parse_external_time(text: Column) -> Column:
     """struct(event_time, status); a null status marks a malformed value."""
     joined = F.regexp_replace(text, rf"^({_DATE})[ T](\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?) ([+-]\d{{2}}:\d{{2}})$", "$1T$2$3")
-    zoned = F.when(joined.rlike(ZONED), _instant(joined))
-    naive = F.when(joined.rlike(NAIVE), _instant(joined))
-    status = (F.when(text.isNull() | (text == ""), "accepted_timestamp_unknown")
-              .when(zoned.isNotNull(), "accepted").when(naive.isNotNull(), "accepted_timestamp_unknown_timezone"))
-    return F.struct(zoned.alias("event_time"), status.alias("status"))
+
+    def judged(seen: Column) -> Column:
+        zoned = seen.isNotNull() & joined.rlike(ZONED)
+        status = (F.when(text.isNull() | (text == ""), "accepted_timestamp_unknown").when(zoned, "accepted")
+                  .when(seen.isNotNull() & joined.rlike(NAIVE), "accepted_timestamp_unknown_timezone"))
+        return F.struct(F.when(zoned, seen).alias("event_time"), status.alias("status"))
+    return let(_instant(joined), judged)

@@ -249,3 +249,18 @@ def match_read(events: DataFrame, window: int) -> DataFrame:
     return (nearest_within(copies, reads, [*ACTOR, "resource_id"], "opens", ["read"], window + 1, forward=True)
             .where(F.col("read.at") < F.col("us"))
             .select("copy_id", F.col("read.id").alias("read_id"), F.col("read.at").alias("read_us")))
+
+
+def history_probes(events: DataFrame, config: Chain = Chain(), history: DataFrame | None = None) -> DataFrame:
+    """For each login its unusual flag, and for the first read that follows whether it is novel."""
+    probes = auth_history(events, history, config.minimum).select(
+        *ACTOR, "event_id", "us", "day", "prior_file_reads", F.col("unusual").alias("login_unusual"))
+    reads = (with_time(events).where((F.col("action") == "file_read") & completed())
+             .select(*ACTOR, "us", F.struct(F.col("us").alias("at"), F.col("event_id").alias("id"), "resource_id").alias("read")))
+    first = nearest_within(probes, reads, ACTOR, "us", ["read"], config.window, forward=True)
+    found = first.withColumn("read", F.when(F.col("read.at") <= F.col("us") + F.lit(config.window), F.col("read")))
+    found = found.withColumn("resource_id", F.col("read.resource_id")).join(
+        first_read_days(events, history), ["user_id", "resource_id"], "left")
+    novel = (F.col("prior_file_reads") >= config.minimum) & F.coalesce(F.col("first_day") >= F.col("day"), F.lit(True))
+    return found.select("event_id", "login_unusual", F.col("read.id").alias("read_id"),
+                        F.when(F.col("read").isNotNull(), novel).alias("read_unusual"))

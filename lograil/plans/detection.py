@@ -1,4 +1,6 @@
 """Queries over history, context joins and the chain detector."""
+import re
+
 from pyspark.sql import functions as F
 
 from lograil.operators import chain, context, history
@@ -28,7 +30,7 @@ first_days AS (SELECT user_id, resource_id, min(day) AS first_day FROM reads GRO
 copies AS (SELECT * FROM obs WHERE action = 'file_copy_to_usb' AND destination_type = 'removable_media' AND done AND bytes_written > 0),
 mounts AS (SELECT * FROM obs WHERE action = 'usb_mount' AND done),
 unmounts AS (SELECT * FROM obs WHERE action = 'usb_unmount' AND done),
-sensitive AS (
+sensitive_events AS (
   SELECT r.* FROM reads r WHERE EXISTS (SELECT 1 FROM resources s WHERE s.resource_id = r.resource_id AND s.sensitive
     AND s.effective_from <= r.ts AND (s.effective_until IS NULL OR r.ts < s.effective_until)))"""
 MOUNT_SQL = f"""
@@ -43,7 +45,7 @@ attached AS (
 CHAIN_SQL = f"""
 novel AS (
   SELECT l.event_id AS login_id, l.us AS login_us, l.user_id, l.device_id, r.event_id AS read_id, r.us AS read_us, r.resource_id
-  FROM unusual_logins l JOIN sensitive r ON r.user_id = l.user_id AND r.device_id = l.device_id AND r.us > l.us AND r.us <= l.us + {W}
+  FROM unusual_logins l JOIN sensitive_events r ON r.user_id = l.user_id AND r.device_id = l.device_id AND r.us > l.us AND r.us <= l.us + {W}
   JOIN first_days f ON f.user_id = r.user_id AND f.resource_id = r.resource_id
   WHERE l.prior_file_reads >= 3 AND f.first_day >= l.day),
 first_read AS (SELECT * FROM novel QUALIFY row_number() OVER (PARTITION BY login_id ORDER BY read_us, read_id) = 1),
@@ -76,6 +78,14 @@ found AS (
   SELECT *, substr(sha256('["phase1-v1","' || user_id || '","' || device_id || '",' || to_json(selected)::VARCHAR || ']'), 1, 24) AS candidate_id
   FROM kept)"""
 ALL_SQL = ",".join((EVENTS_SQL, HISTORY_SQL, MOUNT_SQL, CHAIN_SQL))
+_TABLES = ("logins reads first_days copies mounts unmounts sensitive_events auth unusual_logins mounted attached novel first_read "
+           "first_copy cands walk kept found").split()
+
+
+def chain_sql(events: str, tag: str) -> str:
+    """The detector's SQL over another event relation, its names marked with a tag."""
+    sql = re.sub(r"\bobs\b", events, ALL_SQL)
+    return re.sub(rf"\b({'|'.join(_TABLES)})\b", rf"\1_{tag}", sql)
 
 
 def us(column):

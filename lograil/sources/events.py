@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lograil.functions.once import computed_once
 from lograil.operators.normalize import Source, normalize
 from lograil.schema import BYTE_COUNTS, GEO, RAW_FIELDS
 from lograil.sources.lines import csv_rows, header_of, numbered_lines, text, typed
@@ -20,18 +21,18 @@ def raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_json_lines(lines: DataFrame) -> DataFrame:
     """Parse (file_name, row_number, line); a line that is no JSON object is kept with an error."""
-    rows = (lines.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
-            .withColumn("is_object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))))
+    parsed = computed_once(lines.where(F.trim("line") != ""), {"v": F.try_parse_json("line")})
+    rows = computed_once(parsed, {"is_object": F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))})
     kinds = {name: typed("v", f"$.{name}") for name in RAW_FIELDS}
     wrong = F.coalesce(*[
         F.when(~kinds[name].isin("STRING", "VOID", *(("BIGINT", "BOOLEAN") if name in BYTE_COUNTS else ()))
                & ~(F.lit(name in GEO) & kinds[name].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")),
                F.lit(f"{name} has an unsupported type")) for name in RAW_FIELDS])
     error = F.when(F.col("v").isNull(), "line is not valid JSON").when(~F.col("is_object"), "record must be a JSON object").otherwise(wrong)
-    return rows.select(
-        F.concat("file_name", F.lit(":"), "row_number").alias("record_ref"), "row_number", "file_name",
-        error.alias("read_error"), F.coalesce(F.to_json("v"), F.to_json(F.struct(F.col("line").alias("_unparsed")))).alias("raw_json"),
-        *[F.when(F.col("is_object"), text("v", f"$.{name}")).alias(name) for name in RAW_FIELDS])
+    whole = F.coalesce(F.to_json("v"), F.to_json(F.struct(F.col("line").alias("_unparsed"))))
+    fields = {name: F.when(F.col("is_object"), text("v", f"$.{name}")) for name in RAW_FIELDS}
+    return (computed_once(rows, {"read_error": error, "raw_json": whole, **fields})
+            .withColumn("record_ref", F.concat("file_name", F.lit(":"), "row_number")).drop("v", "is_object", "line"))
 
 
 def read_events_csv(spark: SparkSession, path: str, source: Source) -> tuple[DataFrame, DataFrame]:
