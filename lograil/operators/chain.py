@@ -5,7 +5,7 @@ computed set-wise and only keeping them is sequential (`episodes`).
 """
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograil.operators.context import sensitive_reads
@@ -28,9 +28,8 @@ class Chain:
 
 
 def eligible_copies(events: DataFrame) -> DataFrame:
-    return with_time(events).where(
-        (F.col("action") == "file_copy_to_usb") & (F.col("destination_type") == "removable_media")
-        & completed() & (F.col("bytes_written") > 0))
+    return with_time(events.where(F.expr(
+        "action = 'file_copy_to_usb' and destination_type = 'removable_media' and bytes_written > 0") & completed()))
 
 
 def asof_mount(copies: DataFrame, events: DataFrame, look_back: int) -> DataFrame:
@@ -38,13 +37,12 @@ def asof_mount(copies: DataFrame, events: DataFrame, look_back: int) -> DataFram
 
     Adds mount_us and mount_id, null when there is none.
     """
-    mounts = (with_time(events).where((F.col("action") == "usb_mount") & completed())
-              .select("user_id", "device_id", "removable_device_id", "us",
-                      F.struct(F.col("us").alias("at"), F.col("event_id").alias("id")).alias("mount")))
+    mounts = with_time(events.where((F.col("action") == "usb_mount") & completed())).selectExpr(
+        *ACTOR, "removable_device_id", "us", "struct(us as at, event_id as id) as mount")
     found = nearest_within(copies, mounts, [*ACTOR, "removable_device_id"], "us", ["mount"], look_back)
-    near = F.col("mount.at") >= F.col("us") - F.lit(look_back)
-    return (found.withColumn("mount_us", F.when(near, F.col("mount.at")))
-            .withColumn("mount_id", F.when(near, F.col("mount.id"))).drop("mount"))
+    near = f"mount.at >= us - {look_back}"
+    return found.selectExpr(*copies.columns, f"case when {near} then mount.at end as mount_us",
+                            f"case when {near} then mount.id end as mount_id")
 
 
 def active_mount(copies: DataFrame, events: DataFrame, look_back: int) -> DataFrame:
@@ -52,18 +50,17 @@ def active_mount(copies: DataFrame, events: DataFrame, look_back: int) -> DataFr
 
     The latest unmount at or before the copy decides: earlier ones precede it.
     """
-    unmounts = (with_time(events).where((F.col("action") == "usb_unmount") & completed())
-                .select("device_id", "removable_device_id", "us", F.struct(F.col("us").alias("at")).alias("unmount")))
+    unmounts = with_time(events.where((F.col("action") == "usb_unmount") & completed())).selectExpr(
+        "device_id", "removable_device_id", "us", "struct(us as at) as unmount")
     mounted = asof_mount(copies, events, look_back).where("mount_us is not null")
     found = nearest_within(mounted, unmounts, ["device_id", "removable_device_id"], "us", ["unmount"],
                            look_back, inclusive=True)
     return found.where("unmount is null or unmount.at < mount_us").drop("unmount")
 
 
-def _login_days(window: int) -> Column:
+def _login_days(window: int) -> str:
     """UTC days on which a login can be that this read or copy still answers."""
-    back = -(-window // DAY)
-    return F.explode(F.sequence(F.col("day") - F.lit(back), F.least("day", "first_day")))
+    return f"explode(sequence(day - {-(-window // DAY)}, least(day, first_day))) as login_day"
 
 
 def candidates(events: DataFrame, resources: DataFrame, config: Chain = Chain(),
@@ -75,58 +72,43 @@ def candidates(events: DataFrame, resources: DataFrame, config: Chain = Chain(),
     an active mount is attached and a qualifying read of its resource lies between.
     Both are found by nearest-event passes keyed by (user, device, login day).
     """
+    back, w = -(-config.window // DAY), config.window
+    counts = ["prior_successful_logins", "same_device_count", "same_app_count", "same_utc_hour_count", "prior_file_reads"]
     logins = (auth_history(events, history, config.minimum, only_unusual=True)
-              .where(F.col("device_id").isNotNull() & (F.col("prior_file_reads") >= config.minimum))
-              .select(*ACTOR, "day", "app_id", F.col("event_id").alias("login_id"), F.col("us").alias("login_us"),
-                      "prior_successful_logins", "same_device_count", "same_app_count", "same_utc_hour_count",
-                      "prior_file_reads"))
-    reads = (with_time(sensitive_reads(events.where("user_id is not null and device_id is not null"), resources))
-             .select(*ACTOR, "resource_id", "event_id", "us", "day"))
-    first_days = first_read_days(events, history)
+              .where(f"device_id is not null and prior_file_reads >= {config.minimum}")
+              .selectExpr(*ACTOR, "day", "day as login_day", "app_id", "event_id as login_id", "us as login_us", *counts))
+    reads = with_time(sensitive_reads(events.where("user_id is not null and device_id is not null"), resources)).select(
+        *ACTOR, "resource_id", "event_id", "us", "day")
     # Without a matching history row (frozen history) the resource was never read.
     # First-days reads of sensitive resources are few and serve three passes.
-    novel = durable(reads.join(first_days, ["user_id", "resource_id"], "left")
-                    .withColumn("first_day", F.coalesce("first_day", "day"))
-                    .where(F.col("first_day") >= F.col("day") - F.lit(-(-config.window // DAY))))
-    read_marks = novel.select(
-        *ACTOR, _login_days(config.window).alias("login_day"), F.col("us").alias("login_us"),
-        F.struct(F.col("us").alias("at"), F.col("event_id").alias("id"), "resource_id").alias("read"))
+    novel = durable(reads.join(first_read_days(events, history), ["user_id", "resource_id"], "left")
+                    .selectExpr(*reads.columns, "coalesce(first_day, day) as first_day").where(f"first_day >= day - {back}"))
+    read_marks = novel.selectExpr(*ACTOR, _login_days(w), "us as login_us", "struct(us as at, event_id as id, resource_id) as read")
     copies = active_mount(
         eligible_copies(events).select(*ACTOR, "removable_device_id", "resource_id", "event_id", "us", "day",
                                        "bytes_written"), events, config.mount)
     # The latest qualifying read before the copy: the copy answers exactly the logins before that read.
-    read_times = novel.select(*ACTOR, "resource_id", "us", F.struct(F.col("us").alias("at"), "first_day").alias("last_read"))
-    answered = (nearest_within(copies, read_times, [*ACTOR, "resource_id"], "us", ["last_read"], config.window)
-                .where("last_read is not null"))
-    copy_marks = (answered.withColumn("first_day", F.col("last_read.first_day"))
-                  .where(F.col("first_day") >= F.col("day") - F.lit(-(-config.window // DAY)))
-                  .select(*ACTOR, _login_days(config.window).alias("login_day"),
-                          F.col("last_read.at").alias("login_us"),
-                          F.struct(F.col("us").alias("at"), F.col("event_id").alias("id"), "resource_id",
-                                   "removable_device_id", "bytes_written", "mount_id", "mount_us").alias("copy")))
+    read_times = novel.selectExpr(*ACTOR, "resource_id", "us", "struct(us as at, first_day) as last_read")
+    answered = nearest_within(copies, read_times, [*ACTOR, "resource_id"], "us", ["last_read"], w).where(
+        f"last_read.first_day >= day - {back}")
+    copy_marks = (answered.selectExpr("*", "last_read.first_day as first_day").selectExpr(
+        *ACTOR, _login_days(w), "last_read.at as login_us",
+        "struct(us as at, event_id as id, resource_id, removable_device_id, bytes_written, mount_id, mount_us) as copy"))
     marks = read_marks.unionByName(copy_marks, allowMissingColumns=True)
-    end = F.col("login_us") + F.lit(config.window)
-    found = (nearest_within(logins.withColumn("login_day", F.col("day")), marks, [*ACTOR, "login_day"], "login_us",
-                            ["read", "copy"], config.window, forward=True)
-             .withColumn("copy", F.when(F.col("copy.at") <= end, F.col("copy")))
-             .where(F.col("read.at") <= end))
+    found = (nearest_within(logins, marks, [*ACTOR, "login_day"], "login_us", ["read", "copy"], w, forward=True)
+             .where(f"read.at <= login_us + {w}")
+             .selectExpr(*logins.columns, "read", f"case when copy.at <= login_us + {w} then copy end as copy")
+             .selectExpr("*", "copy.resource_id as resource_id"))
     # The episode cites the first qualifying read of the copied resource.
-    own_reads = novel.select(*ACTOR, "resource_id", F.col("us").alias("login_us"),
-                             F.struct(F.col("us").alias("at"), F.col("event_id").alias("id")).alias("own_read"))
-    matched = nearest_within(found.withColumn("resource_id", F.col("copy.resource_id")), own_reads,
-                             [*ACTOR, "resource_id"], "login_us", ["own_read"], config.window, forward=True)
-    complete = F.col("copy").isNotNull()
-    return matched.select(
-        *ACTOR, "day", "app_id", "login_id", "login_us", "prior_successful_logins", "same_device_count",
-        "same_app_count", "same_utc_hour_count", "prior_file_reads",
-        F.col("read.id").alias("first_read_id"), F.col("read.at").alias("first_read_us"),
-        F.when(complete, F.col("own_read.id")).otherwise(F.col("read.id")).alias("read_id"),
-        F.when(complete, F.col("own_read.at")).otherwise(F.col("read.at")).alias("read_us"),
-        F.when(complete, F.col("copy.resource_id")).otherwise(F.col("read.resource_id")).alias("resource_id"),
-        F.col("copy.id").alias("copy_id"), F.col("copy.at").alias("copy_us"),
-        F.col("copy.bytes_written").alias("bytes_written"), F.col("copy.removable_device_id").alias("removable_device_id"),
-        F.col("copy.mount_id").alias("mount_id"), F.col("copy.mount_us").alias("mount_us"),
-        F.coalesce("copy.at", "read.at").alias("end_us"))
+    own_reads = novel.selectExpr(*ACTOR, "resource_id", "us as login_us", "struct(us as at, event_id as id) as own_read")
+    matched = nearest_within(found, own_reads, [*ACTOR, "resource_id"], "login_us", ["own_read"], w, forward=True)
+    chosen = lambda own, first: f"case when copy is not null then {own} else {first} end"
+    return matched.selectExpr(
+        *ACTOR, "day", "app_id", "login_id", "login_us", *counts, "read.id as first_read_id", "read.at as first_read_us",
+        chosen("own_read.id", "read.id") + " as read_id", chosen("own_read.at", "read.at") + " as read_us",
+        chosen("copy.resource_id", "read.resource_id") + " as resource_id", "copy.id as copy_id", "copy.at as copy_us",
+        "copy.bytes_written as bytes_written", "copy.removable_device_id as removable_device_id",
+        "copy.mount_id as mount_id", "copy.mount_us as mount_us", "coalesce(copy.at, read.at) as end_us")
 
 
 def episodes(rows: DataFrame, keys: list[str] = ACTOR, fold_limit: int = FOLD_LIMIT) -> DataFrame:

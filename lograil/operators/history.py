@@ -6,7 +6,7 @@ so a window never sees more rows than there are days.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lograil.operators.ordered import micros, utc_day, utc_hour
+from lograil.operators.ordered import DAY, MINUTE
 
 MINIMUM = 3
 LOGIN_COUNTS = ("prior_successful_logins", "same_device_count", "same_app_count", "same_utc_hour_count")
@@ -18,8 +18,10 @@ def completed(outcome="outcome") -> Column:
 
 
 def with_time(events: DataFrame) -> DataFrame:
-    return (events.withColumn("us", micros()).withColumn("day", utc_day("us"))
-            .withColumn("hour", utc_hour("us")))
+    """Add us (microseconds), day and hour, all UTC."""
+    us = "unix_micros(event_time)"
+    return events.selectExpr("*", f"{us} as us", f"cast(floor({us} / {DAY}) as bigint) as day",
+                             f"cast(floor(pmod({us}, {DAY}) / {60 * MINUTE}) as int) as hour")
 
 
 def pool(events: DataFrame, history: DataFrame | None, columns: list[str]) -> DataFrame:
@@ -85,17 +87,13 @@ def auth_history(events: DataFrame, history: DataFrame | None = None, minimum=MI
     cells = login_cells(events, history)
     if only_unusual:
         cells = cells.where(unusual(minimum))
-    cells = cells.select(F.col("user_id").alias("_user"), F.col("day").alias("_day"), F.col("hour").alias("_hour"),
-                         F.col("device_id").alias("_device"), F.col("app_id").alias("_app"),
-                         *LOGIN_COUNTS, "prior_file_reads")
-    logins = with_time(events).where((F.col("action") == "login_success") & F.col("user_id").isNotNull())
+    cells = cells.selectExpr(*[f"{c} as _{c}" for c in _CELL], *LOGIN_COUNTS, "prior_file_reads")
+    logins = with_time(events.where("action = 'login_success' and user_id is not null"))
     if only_unusual:
         logins = logins.where(completed())
-    return (logins.join(cells, (F.col("user_id") == F.col("_user")) & (F.col("day") == F.col("_day"))
-                        & (F.col("hour") == F.col("_hour")) & F.col("device_id").eqNullSafe(F.col("_device"))
-                        & F.col("app_id").eqNullSafe(F.col("_app")))
-            .drop("_user", "_day", "_hour", "_device", "_app")
-            .withColumn("unusual", completed() & unusual(minimum)))
+    same = F.expr("user_id = _user_id and day = _day and hour = _hour and device_id <=> _device_id and app_id <=> _app_id")
+    return logins.join(cells, same).select(*logins.columns, *LOGIN_COUNTS, "prior_file_reads",
+                                           (completed() & unusual(minimum)).alias("unusual"))
 
 
 def first_read_days(events: DataFrame, history: DataFrame | None = None) -> DataFrame:

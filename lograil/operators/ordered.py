@@ -5,9 +5,6 @@ cells and runs a running aggregate inside each (key, cell). A key holding a
 third of all rows is therefore spread over as many tasks as it has cells, and
 no pair of rows is ever produced.
 """
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +27,19 @@ def utc_hour(us) -> Column:
     return F.floor(F.pmod(us, F.lit(DAY)) / F.lit(60 * MINUTE)).cast("int")
 
 
-def _cell(position: str, width: int) -> Column:
-    return F.floor(F.col(position) / F.lit(width)).cast("bigint")
+def _cell(position: str, width: int) -> str:
+    return f"cast(floor(({position}) / {width}) as bigint)"
 
 
-def _position(at: str, forward: bool) -> Column:
+def _position(at: str, forward: bool) -> str:
     # Looking forward is looking back on the mirrored time line.
-    return (-F.col(at) if forward else F.col(at)).cast("bigint")
+    return f"cast(-{at} as bigint)" if forward else f"cast({at} as bigint)"
+
+
+def _running(pick: str, values: list[str], keys: list[str]) -> list[str]:
+    line = (f"over (partition by {', '.join(keys)}, _cell order by _pos, _side "
+            "rows between unbounded preceding and current row)")
+    return [f"{pick}({v}) {line} as {v}" for v in values]
 
 
 def nearest_within(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, values: list[str],
@@ -49,43 +52,37 @@ def nearest_within(probes: DataFrame, marks: DataFrame, keys: list[str], at: str
     and the following cell: one shuffle, no join.
     The caller must still reject a value beyond its horizon.
     """
-    pick = F.min if forward else F.max
-    probe_side = 1 if inclusive else 0
-    left = (probes.withColumn("_pos", _position(at, forward)).withColumn("_side", F.lit(probe_side))
-            .withColumn("_cell", _cell("_pos", horizon)))
-    right = (marks.select(*keys, _position(at, forward).alias("_pos"), *values)
-             .withColumn("_side", F.lit(1 - probe_side)).withColumn("_own", _cell("_pos", horizon))
-             .withColumn("_cell", F.explode(F.array("_own", F.col("_own") + 1))).drop("_own"))
-    line = (Window.partitionBy(*keys, "_cell").orderBy("_pos", "_side")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = left.unionByName(right, allowMissingColumns=True)
-    return (rows.withColumns({v: pick(v).over(line) for v in values})
-            .where(F.col("_side") == probe_side).drop("_pos", "_side", "_cell"))
+    pos, side = _position(at, forward), 1 if inclusive else 0
+    cell = _cell(pos, horizon)
+    left = probes.selectExpr("*", f"{pos} as _pos", f"{side} as _side", f"{cell} as _cell")
+    right = marks.selectExpr(*keys, f"{pos} as _pos", *values, f"{1 - side} as _side",
+                             f"explode(array({cell}, {cell} + 1)) as _cell")
+    rows = left.unionByName(right, allowMissingColumns=True).selectExpr(
+        *probes.columns, "_side", *_running("min" if forward else "max", values, [*keys]))
+    return rows.where(f"_side = {side}").drop("_side")
 
 
 def nearest(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, values: list[str],
-            *, forward=False, inclusive=False, cell=DAY, pick=None) -> DataFrame:
-    """`nearest_within` without a horizon; `pick` may be F.sum for running totals.
+            *, forward=False, inclusive=False, cell=DAY, pick: str | None = None) -> DataFrame:
+    """`nearest_within` without a horizon; `pick` may be sum for running totals.
 
     A first pass reduces each (key, cell) to one row; its running extreme over
     earlier cells enters the second pass as one extra mark at the cell's start.
     """
-    pick = pick or (F.min if forward else F.max)
-    probe_side = 1 if inclusive else 0
-    left = probes.withColumn("_pos", _position(at, forward)).withColumn("_side", F.lit(probe_side))
-    right = (marks.select(*keys, _position(at, forward).alias("_pos"), *values)
-             .withColumn("_side", F.lit(1 - probe_side)))
-    rows = left.unionByName(right, allowMissingColumns=True).withColumn("_cell", _cell("_pos", cell))
-    cells = rows.groupBy(*keys, "_cell").agg(*[pick(v).alias(v) for v in values])
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (cells.withColumns({v: pick(v).over(before) for v in values})
-               .where(reduce(or_, [F.col(v).isNotNull() for v in values]))
-               .withColumn("_pos", F.col("_cell") * F.lit(cell)).withColumn("_side", F.lit(-1)))
-    line = (Window.partitionBy(*keys, "_cell").orderBy("_pos", "_side")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pick = pick or ("min" if forward else "max")
+    pos, side = _position(at, forward), 1 if inclusive else 0
+    placed = [f"{pos} as _pos", f"{_cell(pos, cell)} as _cell"]
+    left = probes.selectExpr("*", *placed, f"{side} as _side")
+    right = marks.selectExpr(*keys, *placed, *values, f"{1 - side} as _side")
+    rows = left.unionByName(right, allowMissingColumns=True)
+    cells = rows.groupBy(*keys, "_cell").agg(*[F.expr(f"{pick}({v}) as {v}") for v in values])
+    before = f"over (partition by {', '.join(keys)} order by _cell rows between unbounded preceding and 1 preceding)"
+    carried = cells.selectExpr(*keys, "_cell", *[f"{pick}({v}) {before} as {v}" for v in values],
+                               f"_cell * {cell} as _pos", "-1 as _side")
+    carried = carried.where(" or ".join(f"{v} is not null" for v in values))
     return (rows.unionByName(carried, allowMissingColumns=True)
-            .withColumns({v: pick(v).over(line) for v in values})
-            .where(F.col("_side") == probe_side).drop("_pos", "_side", "_cell"))
+            .selectExpr(*probes.columns, "_side", *_running(pick, values, keys))
+            .where(f"_side = {side}").drop("_side"))
 
 
 def count_within(probes: DataFrame, marks: DataFrame, keys: list[str], identity: str, at: str,
@@ -98,11 +95,10 @@ def count_within(probes: DataFrame, marks: DataFrame, keys: list[str], identity:
     ends = F.array(F.struct(F.lit(-1).alias("sign"), F.col(at).alias("pos")),
                    F.struct(F.lit(1).alias("sign"), (F.col(at) + F.lit(horizon)).alias("pos")))
     # Both ends of one probe are counted from the start of the cell of `at`.
-    left = (probes.select(*keys, identity, _cell(at, horizon).alias("_cell"), F.inline(ends))
+    left = (probes.select(*keys, identity, F.expr(_cell(at, horizon)).alias("_cell"), F.inline(ends))
             .select(*keys, identity, "_cell", "sign", "pos", F.lit(1).alias("_side"), F.lit(0).alias("_one")))
     right = (marks.select(*keys, F.col(at).alias("pos"), F.lit(0).alias("_side"), F.lit(1).alias("_one"))
-             .withColumn("_own", _cell("pos", horizon))
-             .withColumn("_cell", F.explode(F.array("_own", F.col("_own") - 1))).drop("_own"))
+             .selectExpr("*", f"explode(array({_cell('pos', horizon)}, {_cell('pos', horizon)} - 1)) as _cell"))
     line = (Window.partitionBy(*keys, "_cell").orderBy("pos", "_side")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (left.unionByName(right, allowMissingColumns=True).withColumn("_n", F.sum("_one").over(line))
@@ -118,5 +114,5 @@ def active_intervals(probes: DataFrame, intervals: DataFrame, keys: list[str], a
     edges = F.array(F.struct(F.col("from_us").alias(at), F.lit(1).alias(name)),
                     F.struct(F.col("until_us").alias(at), F.lit(-1).alias(name)))
     steps = intervals.select(*keys, F.inline(edges)).where(F.col(at).isNotNull())
-    return (nearest(probes, steps, keys, at, [name], inclusive=True, pick=F.sum)
+    return (nearest(probes, steps, keys, at, [name], inclusive=True, pick="sum")
             .withColumn(name, F.coalesce(name, F.lit(0))))

@@ -3,26 +3,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, row_number, line): splits are numbered on their own and offset by those before.
-
-    Only one row per file split takes part in the offsets.
-    """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+def numbered(lines: DataFrame) -> DataFrame:
+    """Line numbers for (line, file_name, block, at): splits are numbered on their own and
+    offset by those before. Only one row per file split takes part in the offsets."""
     blocks = lines.groupBy("file_name", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return (lines.join(offsets, ["file_name", "block"])
-            .select("file_name", (F.col("at") - F.col("first") + F.col("offset") + 1).alias("row_number"),
-                    F.when((F.col("at") - F.col("first") + F.col("offset")) == 0,
-                           F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")).alias("line")))
+    place = F.col("at") - F.col("first") + F.col("offset")
+    return lines.join(offsets, ["file_name", "block"]).select(
+        "file_name", (place + 1).alias("row_number"),
+        F.when(place == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")).alias("line"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, row_number, line) of text files."""
+    return numbered(spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Column names on the first line, checked to be unique and nonempty."""
-    names = [str(name or "").lstrip("﻿") for name in spark.read.csv(path, header=False).first()]
+    names = [str(name or "").lstrip("\ufeff") for name in spark.read.csv(path, header=False).first()]
     if any(not name for name in names) or len(set(names)) != len(names):
         raise ValueError("CSV headers must be unique and nonempty")
     return names
