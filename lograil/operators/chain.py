@@ -156,7 +156,7 @@ def _chained(rows: DataFrame, keys: list[str]) -> DataFrame:
         if now == known:
             break
         known = now
-        onward = hop.withColumnsRenamed({"source": "target", "target": "beyond"})
+        onward = hop.selectExpr(*keys, "source as target", "target as beyond")
         hop = durable(hop.join(onward, [*keys, "target"]).select(*keys, "source", F.col("beyond").alias("target")))
     return rows.join(reached, [*keys, "login_id"], "left_semi").select(*rows.columns)
 

@@ -449,7 +449,7 @@ def case_search(spark, folder):
 @query("""
 SELECT user_id, device_id, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS events FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id, device_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
-    SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id, device_id ORDER BY us, event_id) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM obs))
+    SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id, device_id ORDER BY us, event_id) <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM obs))
 GROUP BY user_id, device_id, burst""")
 def sessions(spark, folder):
     return session_rows(obs(spark, folder), "60 minutes").select(

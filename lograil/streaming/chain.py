@@ -59,7 +59,7 @@ class ChainProcessor(StatefulProcessor):
         self.steps = handle.getListState("steps", "user_id string, event_id string, us bigint, kind string, resource_id string, removable_device_id string")
         self.ends = handle.getMapState("ends", "user_id string", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         added = []
         for frame in rows:
             for row in frame.itertuples(index=False):
@@ -70,8 +70,8 @@ class ChainProcessor(StatefulProcessor):
             self.steps.appendList(added)
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        due = expired.getExpiryTimeInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
         steps = sorted((tuple(s) for s in self.steps.get()), key=lambda s: (s[2], s[1]))
         closing = [s for s in steps if s[3] == "login" and s[2] + self.config.window < due]
         found = [hit for login in closing for hit in self._settle(login, steps, key[0])]
