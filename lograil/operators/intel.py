@@ -47,14 +47,17 @@ def observables(events: DataFrame) -> DataFrame:
 def group_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """One row per (event, field) whose value equals an enabled indicator.
 
-    Assertions of one indicator value become one row first, so the event side is
-    joined once and a busy value never multiplies rows. Source and validity status
-    are judged inside that row.
+    Assertions of one indicator value are first counted per validity interval, then
+    brought into one row, so the event side meets each value once: neither a value
+    seen in very many events nor one asserted very often multiplies rows.
     """
-    assertion = F.struct("indicator_id", "source", "source_reference", "source_confidence", "effective_from", "effective_until")
     known = (indicators.where("enabled").withColumn("normalized_value", normalized_indicator(F.col("type"), F.col("value")))
-             .where("normalized_value is not null").groupBy(F.col("type").alias("indicator_type"), "normalized_value")
-             .agg(F.sort_array(F.collect_list(assertion)).alias("_assertions")))
+             .where("normalized_value is not null")
+             .groupBy(F.col("type").alias("indicator_type"), "normalized_value", "effective_from", "effective_until")
+             .agg(F.count("*").alias("n"))
+             .groupBy("indicator_type", "normalized_value")
+             .agg(F.sort_array(F.collect_list(F.struct("effective_from", "effective_until", "n"))).alias("_intervals"),
+                  F.sum("n").alias("assertions")))
     seen = observables(events).withColumn("normalized_value", normalized_indicator(F.col("indicator_type"), F.col("observed_value")))
     moment = F.col("event_time")
     validity = lambda a: (
@@ -63,29 +66,32 @@ def group_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
         .when(a["effective_from"].isNotNull() | a["effective_until"].isNotNull(), "effective_at_event_time")
         .otherwise("unspecified"))
     hits = (seen.join(known, ["indicator_type", "normalized_value"])
-            .withColumn("assertions", F.transform("_assertions", lambda a: F.struct(a.alias("assertion"), validity(a).alias("validity"))))
-            .drop("_assertions"))
-    states = F.array_distinct(F.transform("assertions", lambda a: a["validity"]))
-    intervals = F.array_distinct(F.transform("assertions", lambda a: F.struct(
-        a["assertion"]["effective_from"], a["assertion"]["effective_until"])))
-    return (hits.withColumn("source_status", F.when(F.size("assertions") == 1, "single_source")
-                            .when(F.size(intervals) > 1, "conflicting_sources").otherwise("corroborated_sources"))
+            .withColumn("intervals", F.transform("_intervals", lambda a: F.struct(
+                a["effective_from"].alias("effective_from"), a["effective_until"].alias("effective_until"),
+                a["n"].alias("assertions"), validity(a).alias("validity"))))
+            .drop("_intervals"))
+    states = F.array_distinct(F.transform("intervals", lambda a: a["validity"]))
+    return (hits.withColumn("source_status", F.when(F.col("assertions") == 1, "single_source")
+                            .when(F.size("intervals") > 1, "conflicting_sources").otherwise("corroborated_sources"))
             .withColumn("validity_status", F.when(F.size(states) == 1, states[0]).otherwise("conflicting_validity")))
 
 
 def ioc_match(events: DataFrame, indicators: DataFrame) -> DataFrame:
-    """One row per (event, field, assertion) with the assertion's validity at event time."""
-    grouped = group_hits(events, indicators)
-    return grouped.select("event_id", "match_field", "indicator_type", "normalized_value",
-                          F.explode("assertions").alias("a")).select(
-        "event_id", "match_field", "indicator_type", "normalized_value", "a.assertion.indicator_id", "a.validity")
+    """Per (event, field) and validity interval, how many assertions hold it and their state at event time."""
+    return group_hits(events, indicators).select(
+        "event_id", "match_field", "indicator_type", "normalized_value", F.inline("intervals"))
 
 
-def ioc_summary(hits: DataFrame) -> DataFrame:
+def matched_indicators(hits: DataFrame, indicators: DataFrame) -> DataFrame:
+    """The enabled assertions behind grouped hits."""
+    values = hits.select("indicator_type", "normalized_value").distinct()
+    known = indicators.where("enabled").withColumn("normalized_value", normalized_indicator(F.col("type"), F.col("value")))
+    return known.withColumnRenamed("type", "indicator_type").join(values, ["indicator_type", "normalized_value"], "left_semi")
+
+
+def ioc_summary(hits: DataFrame, indicators: DataFrame) -> DataFrame:
     """Pairs, events, indicators and fields of grouped hits."""
-    matched = hits.select("event_id", "match_field", F.explode("assertions.assertion.indicator_id").alias("indicator_id"))
-    pairs = hits.agg(F.count("*").alias("matched_pairs"))
-    return matched.agg(F.count_distinct("event_id").alias("matched_events"),
-                       F.count_distinct("indicator_id").alias("matched_indicators"),
-                       F.array_join(F.sort_array(F.collect_set("match_field")), ",").alias("matched_fields")
-                       ).withColumn("matched_pairs", pairs.scalar())
+    ids = matched_indicators(hits, indicators).agg(F.count_distinct("indicator_id"))
+    return hits.agg(F.count("*").alias("matched_pairs"), F.count_distinct("event_id").alias("matched_events"),
+                    F.array_join(F.sort_array(F.collect_set("match_field")), ",").alias("matched_fields")
+                    ).withColumn("matched_indicators", ids.scalar())

@@ -63,7 +63,7 @@ def nearest_within(probes: DataFrame, marks: DataFrame, keys: list[str], at: str
 
 
 def nearest(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, values: list[str],
-            *, forward=False, inclusive=False, cell=DAY, pick: str | None = None) -> DataFrame:
+            *, forward=False, inclusive=False, cell=15 * MINUTE, pick: str | None = None) -> DataFrame:
     """`nearest_within` without a horizon; `pick` may be sum for running totals.
 
     A first pass reduces each (key, cell) to one row; its running extreme over

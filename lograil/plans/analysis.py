@@ -452,10 +452,12 @@ def indicators(spark, folder):
     return a.unionByName(b).unionByName(c)
 
 
-@query("SELECT event_id, match_field, indicator_id, validity FROM hits", extra=INDICATORS_SQL)
+@query("""
+SELECT event_id, match_field, epoch_us(f) AS from_us, epoch_us(u) AS until_us, validity, count(*) AS assertions FROM hits GROUP BY ALL""", extra=INDICATORS_SQL)
 def ioc_matches(spark, folder):
     return intel.ioc_match(obs(spark, folder, domains=True), indicators(spark, folder)).select(
-        "event_id", "match_field", "indicator_id", "validity")
+        "event_id", "match_field", micros("effective_from").alias("from_us"), micros("effective_until").alias("until_us"),
+        "validity", "assertions")
 
 
 @query("""
@@ -463,15 +465,15 @@ SELECT event_id, match_field, value, CASE WHEN n = 1 THEN 'single_source' WHEN i
   CASE WHEN states = 1 THEN v ELSE 'conflicting_validity' END AS validity_status, n AS assertions FROM grouped_hits""", extra=INDICATORS_SQL)
 def ioc_grouped(spark, folder):
     return intel.group_hits(obs(spark, folder, domains=True), indicators(spark, folder)).select(
-        "event_id", "match_field", F.col("normalized_value").alias("value"), "source_status", "validity_status",
-        F.size("assertions").cast("bigint").alias("assertions"))
+        "event_id", "match_field", F.col("normalized_value").alias("value"), "source_status", "validity_status", "assertions")
 
 
 @query("""
 SELECT count(DISTINCT (event_id, match_field)) AS matched_pairs, count(DISTINCT event_id) AS matched_events, count(DISTINCT indicator_id) AS matched_indicators,
   string_agg(DISTINCT match_field, ',' ORDER BY match_field) AS matched_fields FROM hits""", extra=INDICATORS_SQL)
 def ioc_summary(spark, folder):
-    return intel.ioc_summary(intel.group_hits(obs(spark, folder, domains=True), indicators(spark, folder)))
+    known = indicators(spark, folder)
+    return intel.ioc_summary(durable(intel.group_hits(obs(spark, folder, domains=True), known)), known)
 
 
 @query("""

@@ -328,3 +328,16 @@ def normalized_records(spark, folder):
     events, rejects = norm.normalize(raw_json_lines(lines), norm.Source("ds", "env", "files", "file"))
     return (events.select("event_id", "source_record_number", F.lit(None).cast("string").alias("error"))
             .unionByName(rejects.select(F.lit(None).cast("string").alias("event_id"), F.col("row_number").alias("source_record_number"), "error")))
+
+
+@query("""
+SELECT event_id, source_type, CASE WHEN source_type = 'auth' THEN app_id END AS app_id, CASE WHEN source_type = 'file' THEN resource_id END AS resource_id,
+  CASE WHEN source_type = 'device' THEN removable_device_id END AS removable_device_id, NULL AS dst_ip FROM obs UNION ALL
+SELECT event_id, 'network', NULL, NULL, NULL, dst_ip FROM obs WHERE action = 'file_copy_to_usb'""")
+def family_union(spark, folder):
+    """Four frames with different columns become one table."""
+    rows = obs(spark, folder)
+    own = {"auth": "app_id", "file": "resource_id", "device": "removable_device_id"}
+    frames = [rows.where(F.col("source_type") == kind).select("event_id", "source_type", column) for kind, column in own.items()]
+    network = rows.where("action = 'file_copy_to_usb'").select("event_id", F.lit("network").alias("source_type"), "dst_ip")
+    return norm.union_families([*frames, network])

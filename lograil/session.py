@@ -10,6 +10,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Sessions of a busy actor are merged before the shuffle, not after it.
+    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
 
