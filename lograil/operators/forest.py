@@ -89,8 +89,14 @@ def _grow(seed: int):
 
 
 def fit_forest(windows: DataFrame, keys: list[str], trees: int = TREES, seed: int = 17) -> DataFrame:
-    """Model table; each tree is grown from its sample of at most SAMPLE rows in one task."""
-    return tree_samples(windows, keys, trees, seed).groupBy("tree_id").applyInPandas(_grow(seed), NODE)
+    """Model table; each tree is grown from its sample of at most SAMPLE rows in one task.
+
+    The samples are small but growing is not, so the trees are spread over the cores
+    instead of being packed by size.
+    """
+    parts = min(trees, windows.sparkSession.sparkContext.defaultParallelism)
+    samples = tree_samples(windows, keys, trees, seed).repartition(parts, "tree_id")
+    return samples.groupBy("tree_id").applyInPandas(_grow(seed), NODE)
 
 
 def expected_depth(size):
@@ -100,6 +106,19 @@ def expected_depth(size):
     return np.where(size > 2, 2 * harmonic - 2 * (size - 1) / np.maximum(size, 1), np.where(size == 2, 1.0, 0.0))
 
 
+def _flat(tree: pd.DataFrame):
+    """Arrays of one tree in which a leaf leads to itself, so all rows take equally many steps."""
+    feature, split = tree["feature"].to_numpy(), tree["split"].to_numpy()
+    left, right = tree["left"].to_numpy(), tree["right"].to_numpy()
+    own, leaf = np.arange(len(tree)), feature < 0
+    depth = np.zeros(len(tree))
+    for node in own[~leaf]:  # children always come after their parent
+        depth[[left[node], right[node]]] = depth[node] + 1
+    path = depth + expected_depth(tree["size"].to_numpy())
+    return (np.where(leaf, 0, feature).astype(np.int32), split, np.where(leaf, own, left).astype(np.int32),
+            np.where(leaf, own, right).astype(np.int32), path, int(depth.max()))
+
+
 def score_forest(windows: DataFrame, model: DataFrame) -> DataFrame:
     """Add raw_anomaly_score in (0, 1]; null for cold-start and provisional windows.
 
@@ -107,26 +126,21 @@ def score_forest(windows: DataFrame, model: DataFrame) -> DataFrame:
     which is what makes shipping it to the tasks safe.
     """
     frame = model.toPandas().sort_values(["tree_id", "node_id"])
-    forest = [tree[["feature", "split", "left", "right", "size"]].to_numpy() for _, tree in frame.groupby("tree_id")]
+    forest = [_flat(tree) for _, tree in frame.groupby("tree_id")]
     shared = windows.sparkSession.sparkContext.broadcast(forest)
-    base = float(expected_depth(max(int(tree[0, 4]) for tree in forest)))
+    base = float(expected_depth(max(int(tree["size"].iloc[0]) for _, tree in frame.groupby("tree_id"))))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trees = shared.value
         for batch in batches:
             data = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, 1))
-            depth = np.zeros(len(data))
-            for tree in trees:
-                at, steps = np.zeros(len(data), dtype=int), np.zeros(len(data))
-                inner = tree[at, 0] >= 0
-                while inner.any():
-                    rows = np.flatnonzero(inner)
-                    feature, split = tree[at[rows], 0].astype(int), tree[at[rows], 1]
-                    at[rows] = np.where(data[rows, feature] <= split, tree[at[rows], 2], tree[at[rows], 3]).astype(int)
-                    steps[rows] += 1
-                    inner = tree[at, 0] >= 0
-                depth += steps + expected_depth(tree[at, 4])
-            yield pd.Series(np.power(2.0, -depth / len(trees) / base))
+            row, total = np.arange(len(data)), np.zeros(len(data))
+            for feature, split, left, right, path, levels in trees:
+                at = np.zeros(len(data), dtype=np.int32)
+                for _ in range(levels):
+                    at = np.where(data[row, feature[at]] <= split[at], left[at], right[at])
+                total += path[at]
+            yield pd.Series(np.power(2.0, -total / len(trees) / base))
 
     scored = F.pandas_udf(score, DoubleType())
     ready = usable(windows).withColumn("raw_anomaly_score", scored("vector"))

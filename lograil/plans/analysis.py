@@ -362,7 +362,11 @@ def missing_support(spark, folder):
     return attack.missing_support(attack.attack_map(partial, obs(spark, folder))).select("technique_id")
 
 
-@query()
+@query("""
+SELECT technique_id, least(n, 100)::BIGINT AS score, to_json({techniqueID: technique_id, score: least(n, 100)::BIGINT,
+  comment: n || ' supporting observations', enabled: TRUE})::VARCHAR AS entry
+FROM (SELECT 'T1005' AS technique_id, count(*) AS n FROM found UNION ALL SELECT 'T1052.001', count(*) FROM found WHERE decision = 'incident') WHERE n > 0""",
+       extra=ALL_SQL, recursive=True)
 def navigator_layer(spark, folder):
     return attack.navigator_layer(attack.attack_map(found(spark, folder), obs(spark, folder)))
 

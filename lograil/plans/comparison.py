@@ -232,9 +232,19 @@ def redacted_events(spark, folder):
     return reports.redact(obs(spark, folder, domains=True)).select("event_id", "user_id", "device_id", "action")
 
 
-@query()
+@query("""
+SELECT candidate_id, decision, array_to_string(selected, ',') AS cited, string_agg(e || ':' || o.action || ':' || o.user_id, ',' ORDER BY e || ':' || o.action) AS evidence,
+  FALSE AS shows_private FROM (SELECT candidate_id, decision, selected, unnest(selected) AS e FROM found) JOIN obs o ON o.event_id::VARCHAR = e GROUP BY candidate_id, decision, selected""",
+       extra=ALL_SQL, recursive=True)
 def report_rows(spark, folder):
-    return reports.report_rows(durable(found(spark, folder)), obs(spark, folder, domains=True))
+    """The JSON reports, read back: decision, cited ids, evidence, and whether private columns leaked."""
+    rows = reports.report_rows(durable(found(spark, folder)), obs(spark, folder, domains=True))
+    read = F.from_json("report", F.lit("incident struct<decision string, selected array<string>>, evidence array<string>"))
+    item = lambda e: F.concat_ws(":", *[F.get_json_object(e, f"$.{c}") for c in ("event_id", "action", "user_id")])
+    return rows.withColumn("r", read).select(
+        "candidate_id", "r.incident.decision", joined("r.incident.selected").alias("cited"),
+        joined(F.array_sort(F.transform("r.evidence", item))).alias("evidence"),
+        F.col("report").rlike('"(src_ip|dst_ip|domain)') .alias("shows_private"))
 
 
 LABELS_SQL = """

@@ -317,17 +317,29 @@ def alias_merge(spark, folder):
     return contexts.merge_context(rows, rows, "aliases").select("alias_user_id", "canonical_user_id")
 
 
-@query()
+@query("""
+SELECT event_id AS source_record_number, CASE WHEN ok THEN 'env:user:' || user_id END AS user_id, CASE WHEN ok THEN 'env:file:' || resource_id END AS resource_id,
+  CASE WHEN ok THEN bytes_written END AS bytes_written, CASE WHEN ok THEN us END AS us, CASE WHEN ok AND k % 9 = 0 THEN
+    'unsupported action retained for browsing; excluded from detection' WHEN ok THEN '' END AS warnings,
+  CASE WHEN k % 13 = 0 THEN 'naive timestamp requires a declared source timezone' WHEN k % 11 = 0 THEN 'action usb_mount does not belong to file adapter'
+    WHEN k % 7 = 0 AND k % 9 <> 0 THEN action || ' requires device_id' WHEN k % 5 = 0 AND bytes_written IS NOT NULL THEN 'bytes_written must be an integer from 0 to 2^63-1' END AS error
+FROM (SELECT *, NOT (k % 13 = 0 OR k % 11 = 0 OR (k % 7 = 0 AND k % 9 <> 0) OR (k % 5 = 0 AND bytes_written IS NOT NULL)) AS ok
+  FROM obs WHERE source_type = 'file')""")
 def normalized_records(spark, folder):
-    """The whole normalisation job over JSON lines derived from the events."""
-    rows = obs(spark, folder)
+    """The whole normalisation job over JSON lines derived from the events, damaged by k."""
+    k = F.col("k")
+    rows = obs(spark, folder).where("source_type = 'file'")
+    action = F.when(k % 11 == 0, "usb_mount").when(k % 9 == 0, "file_shred").otherwise(F.col("action"))
     body = F.to_json(F.struct(
-        F.date_format("event_time", STAMP + "'Z'").alias("timestamp"), "action", "user_id", "device_id", "app_id", "resource_id",
-        "removable_device_id", "bytes_read", "bytes_written", "destination_type", "outcome", "src_ip", "dst_ip"))
-    lines = rows.where("source_type = 'file'").select(F.lit("file").alias("file_name"), F.col("event_id").alias("row_number"), body.alias("line"))
+        F.concat(F.date_format("event_time", STAMP), F.when(k % 13 == 0, "").otherwise("Z")).alias("timestamp"), action.alias("action"),
+        "user_id", F.when(k % 7 != 0, F.col("device_id")).alias("device_id"), "app_id", "resource_id", "removable_device_id", "bytes_read",
+        F.when(k % 5 == 0, -F.col("bytes_written") - 1).otherwise(F.col("bytes_written")).alias("bytes_written"), "destination_type", "outcome", "src_ip", "dst_ip"))
+    lines = rows.select(F.lit("file").alias("file_name"), F.col("event_id").alias("row_number"), body.alias("line"))
     events, rejects = norm.normalize(raw_json_lines(lines), norm.Source("ds", "env", "files", "file"))
-    return (events.select("event_id", "source_record_number", F.lit(None).cast("string").alias("error"))
-            .unionByName(rejects.select(F.lit(None).cast("string").alias("event_id"), F.col("row_number").alias("source_record_number"), "error")))
+    good = events.select("source_record_number", "user_id", "resource_id", "bytes_written", micros("event_time").alias("us"),
+                         F.array_join("normalization_warnings", ",").alias("warnings"))
+    bad = rejects.select(F.col("row_number").alias("source_record_number"), "error")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 @query("""
