@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -42,6 +42,14 @@ def check_baseline(training: DataFrame, calibration: DataFrame) -> DataFrame:
                "insufficient history: require at least 20 established closed training and calibration windows")))
 
 
+def check_later(events: DataFrame, cutoff: Column, calibration_end: Column) -> DataFrame:
+    """One row: a baseline may only score what lies after its own calibration data."""
+    early = F.count_if((F.col("event_time") <= cutoff) & (F.col("event_time") < calibration_end))
+    return events.agg(early.alias("early_events")).withColumn("error", F.when(
+        (F.col("early_events") > 0) | (cutoff < calibration_end),
+        "future-trained/calibrated baseline cannot analyze earlier or overlapping data"))
+
+
 def tree_samples(windows: DataFrame, keys: list[str], trees: int = TREES, seed: int = 17) -> DataFrame:
     """(tree_id, vector): the SAMPLE rows with the smallest hash for each tree.
 
@@ -51,11 +59,11 @@ def tree_samples(windows: DataFrame, keys: list[str], trees: int = TREES, seed:
     rows = usable(windows).select(*keys, "vector")
     total = rows.agg(F.count("*"))
     share = F.least(F.lit(1.0), F.lit(8.0 * SAMPLE) / F.greatest(total.scalar(), F.lit(1)))
-    offers = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree_id"), F.xxhash64(F.lit(seed), t, *keys).alias("draw")))
-    low = -(2.0 ** 63)
-    offered = rows.withColumn("_cut", F.lit(low) + share * F.lit(2.0 ** 64)).select(
-        *keys, "vector", F.inline(F.filter(offers, lambda o: o["draw"].cast("double") <= F.col("_cut"))))
+    draw = F.xxhash64(F.lit(seed), "tree_id", *keys)
+    # The offer and its test run in one generated loop; rejected offers are never materialised.
+    offered = (rows.withColumn("_cut", F.lit(-(2.0 ** 63)) + share * F.lit(2.0 ** 64))
+               .select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
+               .where(draw.cast("double") <= F.col("_cut")).withColumn("draw", draw))
     order = Window.partitionBy("tree_id").orderBy("draw", *keys)
     return offered.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE).select("tree_id", "_rank", "vector")
 

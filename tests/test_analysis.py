@@ -118,6 +118,12 @@ def test_baseline_admission(spark):
     assert "nonempty" in error(window(0, 0), window(20, 0))
 
 
+def test_baseline_scores_later_data_only(spark):
+    rows, at = frame(spark, list(attack().values())), lambda days: F.lit(START + timedelta(days=days)).cast("timestamp")
+    assert forest.check_later(rows, at(6), at(4)).first().error is None
+    assert forest.check_later(rows, at(6), at(5.005)).first().error and forest.check_later(rows, at(3), at(4)).first().error
+
+
 def test_features_of_one_window(spark):
     past, steps = frame(spark, history()), frame(spark, list(attack().values()))
     rows = {r.window_us: r for r in features.window_features(steps, past, labels(spark, "secret"), F.lit(START + timedelta(days=5, minutes=29)).cast("timestamp")).collect()}
