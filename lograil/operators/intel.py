@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograil.functions.identity import canon_domain, canon_ip, canon_sha256
+from lograil.functions.identity import canon_domain, canon_domain_ascii, canon_ip, canon_ip4, canon_sha256
 from lograil.functions.once import computed_once
 
 # Which indicator type each event field can match.
@@ -17,6 +17,17 @@ def normalized_indicator(kind: Column, value: Column) -> Column:
             .when(kind == "sha256", canon_sha256(clean)))
 
 
+def with_normalized(rows: DataFrame, kind: str, value: str) -> DataFrame:
+    """Add `normalized_value`. Only addresses with a colon and non-ASCII hosts travel to Python;
+    the other rows stay in generated code."""
+    foreign = F.col(value).contains(":") | F.col(value).rlike(r"[^\x00-\x7F]")
+    clean = F.when((F.trim(value) == F.col(value)) & F.length(value).between(1, 1000), F.col(value))
+    native = (F.when(F.col(kind) == "ip", canon_ip4(clean)).when(F.col(kind) == "domain", canon_domain_ascii(clean))
+              .when(F.col(kind) == "sha256", canon_sha256(clean)))
+    return (computed_once(rows.where(~foreign), {"normalized_value": native})
+            .unionByName(rows.where(foreign).withColumn("normalized_value", normalized_indicator(F.col(kind), F.col(value)))))
+
+
 def validate_indicators(rows: DataFrame) -> DataFrame:
     """Add `normalized_value` and `error` (first broken rule, else null)."""
     key = ["type", "normalized_value", "source", "source_reference"]
@@ -58,7 +69,7 @@ def group_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
              .groupBy("indicator_type", "normalized_value")
              .agg(F.sort_array(F.collect_list(F.struct("effective_from", "effective_until", "n"))).alias("_intervals"),
                   F.sum("n").alias("assertions")))
-    seen = observables(events).withColumn("normalized_value", normalized_indicator(F.col("indicator_type"), F.col("observed_value")))
+    seen = with_normalized(observables(events), "indicator_type", "observed_value")
     moment = F.col("event_time")
     validity = lambda a: (
         F.when(a["effective_from"] > moment, "not_yet_effective_at_event_time")
