@@ -1,7 +1,7 @@
 """The dealt operators as queries with production parameters over their whole tables."""
 from pyspark.sql import DataFrame, SparkSession
 
-from lograil.llm import exact, simhash
+from lograil.llm import exact, licenses, simhash, toxicity
 from lograil.llm.common import table
 
 QUERIES = {}
@@ -13,6 +13,18 @@ def query(function):
     return function
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = toxicity.fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.classify(docs, net).select("doc_id", "held_out", "score", "predicted", "threshold", "flagged")
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
