@@ -1,7 +1,8 @@
 """The dealt operators as queries with production parameters over their whole tables."""
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lograil.llm import exact, licenses, simhash, toxicity
+from lograil.llm import exact, licenses, packing, simhash, toxicity
 from lograil.llm.common import table
 
 QUERIES = {}
@@ -17,7 +18,7 @@ def query(function):
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = toxicity.fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.classify(docs, net).select("doc_id", "held_out", "score", "predicted", "threshold", "flagged")
+    return toxicity.classify(docs, net)
 
 
 @query
@@ -37,6 +38,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (P
 FROM d"""
 
 
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                  public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
