@@ -19,7 +19,7 @@ def local_session(cpus=8):
 
     from lograil.session import configure
     spark = configure(SparkSession.builder.master(f"local[{cpus}]").appName("lograil")
-                      .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.ui.enabled", "false")
+                      .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                       .config("spark.driver.memory", "8g").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
