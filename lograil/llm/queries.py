@@ -1,9 +1,12 @@
 """The dealt operators as queries with production parameters over their whole tables."""
+from uuid import uuid4
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lograil.llm import exact, licenses, packing, simhash, toxicity
+from lograil.llm import exact, licenses, packing, simhash, toxicity, warc
 from lograil.llm.common import table
+from lograil.session import shared_folder
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -14,6 +17,22 @@ def query(function):
     return function
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(spark, pages, f"{shared_folder(spark)}/warc-{uuid4().hex}")
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, strlen(html) >= 1000 AND page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY html) AS again,
+      max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last_id END AS refers_to,
+       replace(url, ' ', '%20') AS target_uri
+FROM r"""
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
