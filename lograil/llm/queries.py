@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograil.llm import exact, licenses, packing, simhash, toxicity, urls, vectors, warc
+from lograil.llm import exact, licenses, packing, pitman_yor, simhash, toxicity, urls, vectors, warc
 from lograil.llm.common import table
 from lograil.session import shared_folder
 
@@ -41,6 +41,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, net)
 
 
+@query
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
