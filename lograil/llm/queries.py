@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograil.llm import exact, licenses, packing, pitman_yor, simhash, toxicity, urls, vectors, warc
+from lograil.llm import exact, licenses, packing, pieces, pitman_yor, simhash, toxicity, urls, vectors, warc
 from lograil.llm.common import table
 from lograil.session import shared_folder
 
@@ -51,6 +51,11 @@ def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
