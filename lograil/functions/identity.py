@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 try:
     import idna
-except ImportError:  # non-ASCII hosts are then rejected as invalid
+except ImportError:  # a job that needs it fails when it is defined
     idna = None
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -49,7 +49,7 @@ def _canon_idn(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except idna.IDNAError:
             return None
     for batch in values:
-        yield batch.map(one, na_action="ignore") if idna else pd.Series([None] * len(batch), dtype=object)
+        yield batch.map(one, na_action="ignore")
 
 
 def canon_ip4(value: Column) -> Column:
@@ -72,6 +72,8 @@ def canon_domain_ascii(value: Column) -> Column:
 
 def canon_domain(value: Column) -> Column:
     """Canonical host or null. Python sees only non-ASCII hosts."""
+    if idna is None:
+        raise ImportError("non-ASCII hosts need the package idna on the driver and on all executors")
     foreign = value.rlike(r"[^\x00-\x7F]") & ~value.rlike(r"[*/@]") & ~value.rlike(r"\.\.$")
     encoded = _canon_idn(F.when(foreign, F.regexp_replace(value, r"\.$", "")))
     return F.when(foreign, F.when(F.length(encoded) <= 253, encoded)).otherwise(canon_domain_ascii(value))

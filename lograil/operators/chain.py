@@ -13,9 +13,7 @@ from lograil.operators.history import MINIMUM, auth_history, completed, first_re
 from lograil.operators.ordered import DAY, MINUTE, count_within, nearest, nearest_within
 from lograil.session import durable
 
-RULE_VERSION = "phase1-v1"
-# Groups up to this size are folded in one task, larger ones by pointer doubling.
-FOLD_LIMIT = 5_000
+RULE_VERSION = "login-read-copy/1"
 ACTOR = ["user_id", "device_id"]
 
 
@@ -111,32 +109,13 @@ def candidates(events: DataFrame, resources: DataFrame, config: Chain = Chain(),
         "copy.mount_id as mount_id", "copy.mount_us as mount_us", "coalesce(copy.at, read.at) as end_us")
 
 
-def episodes(rows: DataFrame, keys: list[str] = ACTOR, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def episodes(rows: DataFrame, keys: list[str] = ACTOR) -> DataFrame:
     """Keep a candidate only when it starts after the end of the last one kept.
 
-    Small groups are folded in order. A group above `fold_limit` would not fit one
-    task, so its kept chain is followed by pointer doubling over distributed rows.
+    The kept chain of each key is followed by pointer doubling over distributed rows, whatever the
+    size of a key's group; the loop sees two counts a round.
     """
-    rows = durable(rows)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
-    large = sizes.where(F.col("_size") > fold_limit)
-    if large.isEmpty():
-        return _folded(rows, keys)
-    marked = rows.join(large, keys, "left")
-    return (_folded(marked.where("_size is null").drop("_size"), keys)
-            .unionByName(_chained(durable(marked.where("_size is not null").drop("_size")), keys)))
-
-
-def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in rows.columns if c not in (*keys, "login_us", "login_id")]
-    item = F.struct("login_us", "login_id", *rest)
-    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kind = grouped.schema["items"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast(kind).alias("kept"))
-    kept = F.aggregate("items", start, lambda acc, x: F.when(
-        acc["until"].isNull() | (x["login_us"] > acc["until"]),
-        F.struct(x["end_us"].alias("until"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))
-    return grouped.select(*keys, F.inline(kept["kept"])).select(*rows.columns)
+    return _chained(durable(rows), keys)
 
 
 def _chained(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,23 +2,23 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
 
-
-def value_ranks(values: DataFrame, column: str, weight: Column | None = None) -> DataFrame:
+def value_ranks(values: DataFrame, column: str, weight: Column | None = None, ranges: int | None = None) -> DataFrame:
     """(value, below, upto, total) per distinct value, counting rows or weights.
 
     Equal values collapse first. Distinct values are spread over ranges cut at
     approximate quantiles; one row per range carries the counts before it. The cuts
-    only balance the work, the ranks are exact.
+    only balance the work, the ranks are exact. There are as many ranges as shuffle
+    partitions unless `ranges` says otherwise.
     """
+    ranges = ranges or max(2, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = values.groupBy(F.col(column).alias("value")).agg(
         F.sum(weight if weight is not None else F.lit(1)).cast("bigint").alias("n"))
-    cuts = values.agg(F.array_distinct(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)])))
+    cuts = values.agg(F.array_distinct(F.percentile_approx(column, [i / ranges for i in range(1, ranges)])))
     part = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col("value"))), F.lit(0))
     placed = counts.withColumn("_cuts", cuts.scalar()).withColumn("_part", part).drop("_cuts")
     totals = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
-    # At most RANGES + 1 rows take part in this window.
+    # At most ranges + 1 rows take part in this window.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),

@@ -75,7 +75,7 @@ kept AS (
     CASE WHEN copy_id IS NULL THEN 'partial_observation' ELSE 'incident' END AS decision
   FROM cands c WHERE login_id IN (SELECT login_id FROM walk WHERE kept)),
 found AS (
-  SELECT *, substr(sha256('["phase1-v1","' || user_id || '","' || device_id || '",' || to_json(selected)::VARCHAR || ']'), 1, 24) AS candidate_id
+  SELECT *, substr(sha256('["login-read-copy/1","' || user_id || '","' || device_id || '",' || to_json(selected)::VARCHAR || ']'), 1, 24) AS candidate_id
   FROM kept)"""
 ALL_SQL = ",".join((EVENTS_SQL, HISTORY_SQL, MOUNT_SQL, CHAIN_SQL))
 _TABLES = ("logins reads first_days copies mounts unmounts sensitive_events auth unusual_logins mounted attached novel first_read "

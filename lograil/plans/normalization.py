@@ -161,10 +161,12 @@ statused AS (
 def _uploads(spark, folder):
     rows = obs(spark, folder).withColumn("content_sha256", identity.record_sha256(RECORD)).select(
         "event_id", "content_sha256", "source_type", "action", "k", "user_id")
-    return (rows.withColumn("upload", F.lit(1))
-            .unionByName(rows.where("event_id % 9 = 0").withColumn("upload", F.lit(2)))
-            .unionByName(rows.where("event_id % 14 = 0").withColumn("upload", F.lit(3))
-                         .withColumn("content_sha256", F.sha2("content_sha256", 256))))
+    sent = lambda number, content: F.struct(F.lit(number).alias("upload"), content.alias("content"))
+    content, event = F.col("content_sha256"), F.col("event_id")
+    uploads = F.array_compact(F.array(sent(1, content), F.when(event % 9 == 0, sent(2, content)),
+                                      F.when(event % 14 == 0, sent(3, F.sha2(content, 256)))))
+    return (rows.withColumn("sent", F.explode(uploads))
+            .withColumns({"upload": F.col("sent.upload"), "content_sha256": F.col("sent.content")}).drop("sent"))
 
 
 @query("SELECT event_id, upload, status FROM statused", extra=UPLOADS_SQL)
@@ -196,7 +198,7 @@ def quality_report(spark, folder):
             .withColumn("action", F.when(unknown, "screen_lock").otherwise(F.col("action")))
             .withColumn("timezone_assumption", F.when(F.col("k") % 4 == 2, "Europe/Berlin"))
             .withColumn("normalization_warnings", F.array_compact(F.array(F.when(unknown, norm.UNSUPPORTED)))))
-    report = norm.quality(rows, rows.where("status = 'accepted'"))
+    report = norm.quality(rows)
     return report.select("dataset_id", "accepted", "rejected", "duplicates", "unsupported",
                          F.array_join("timezone_assumptions", ",").alias("zones"), F.array_join("warnings", ",").alias("warnings"))
 

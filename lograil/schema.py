@@ -34,7 +34,7 @@ ALIASES = T.StructType([
     T.StructField("provenance", T.StringType()), T.StructField("effective_from", T.TimestampType()),
     T.StructField("effective_until", T.TimestampType())])
 AUTHORIZATIONS = T.StructType([
-    T.StructField("authorization_id", T.StringType()), T.StructField("user_id", T.StringType()),
+    T.StructField("dataset_id", T.StringType()), T.StructField("authorization_id", T.StringType()), T.StructField("user_id", T.StringType()),
     T.StructField("device_id", T.StringType()), T.StructField("resource_id", T.StringType()),
     T.StructField("action", T.StringType()), T.StructField("provenance", T.StringType()),
     T.StructField("effective_from", T.TimestampType()), T.StructField("effective_until", T.TimestampType())])

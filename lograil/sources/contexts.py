@@ -40,10 +40,11 @@ def validate_context(rows: DataFrame, kind: str, environment: str) -> tuple[Data
 
 
 def merge_context(current: DataFrame, incoming: DataFrame, kind: str, order: str | None = None) -> DataFrame:
-    """resources: upsert by key (greatest `order` wins inside incoming) · authorizations: replace ·
-    aliases: insert unless the same content is already there."""
+    """resources: upsert by key (greatest `order` wins inside incoming) · authorizations: replace those of
+    the incoming datasets · aliases: insert unless the same content is already there."""
     if kind == "authorizations":
-        return incoming
+        replaced = incoming.select("dataset_id").distinct()
+        return current.join(replaced, current["dataset_id"].eqNullSafe(replaced["dataset_id"]), "left_anti").unionByName(incoming)
     if kind == "aliases":
         columns = current.columns
         both = current.select(*columns).unionByName(incoming.select(*columns))

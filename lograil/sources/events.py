@@ -5,18 +5,22 @@ from pyspark.sql import functions as F
 from lograil.functions.once import computed_once
 from lograil.operators.normalize import Source, normalize
 from lograil.schema import BYTE_COUNTS, GEO, RAW_FIELDS
-from lograil.sources.lines import csv_rows, header_of, numbered_lines, text, typed
+from lograil.sources.lines import cell, csv_rows, numbered_lines, text, typed
 
 
 def raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    names = header_of(spark, path)
-    rows = csv_rows(spark, path, names)
-    fields = [F.col(f"cells.`{name}`") if name in names else F.lit(None).cast("string") for name in RAW_FIELDS]
+    """Records of CSV files, whatever the order of columns in each."""
+    return raw_cells(csv_rows(spark, path))
+
+
+def raw_cells(rows: DataFrame) -> DataFrame:
+    """Raw records from `csv_cells`; a line that fits no header is kept whole with its error."""
+    members = F.map_from_entries(F.array_sort(F.map_entries("cells")))
+    unparsed = F.to_json(F.struct(F.col("line").alias("_unparsed")))
     return rows.select(
-        F.concat("file_name", F.lit(":"), "row_number").alias("record_ref"), "row_number", "file_name",
-        F.when(F.col("misfit"), "CSV column count mismatch").alias("read_error"),
-        F.to_json(F.struct(*[F.coalesce(F.col(f"cells.`{name}`"), F.lit("")).alias(name) for name in sorted(names)])).alias("raw_json"),
-        *[field.alias(name) for field, name in zip(fields, RAW_FIELDS)])
+        F.concat("file_name", F.lit(":"), "row_number").alias("record_ref"), "row_number", "file_name", "read_error",
+        F.when(F.col("read_error").isNull(), F.to_json(members)).otherwise(unparsed).alias("raw_json"),
+        *[cell(name).alias(name) for name in RAW_FIELDS])
 
 
 def raw_json_lines(lines: DataFrame) -> DataFrame:
@@ -43,5 +47,3 @@ def read_events_csv(spark: SparkSession, path: str, source: Source) -> tuple[Dat
 def read_events_jsonl(spark: SparkSession, path: str, source: Source) -> tuple[DataFrame, DataFrame]:
     """Canonical events and rejects of one JSON-lines source."""
     return normalize(raw_json_lines(numbered_lines(spark, path)), source)
-
-

@@ -1,7 +1,9 @@
 """Text lines with their physical line numbers, read in parallel."""
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lograil.functions.once import computed_once
+
 
 def numbered(lines: DataFrame) -> DataFrame:
     """Line numbers for (line, file_name, block, at): splits are numbered on their own and
@@ -22,21 +24,63 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names on the first line, checked to be unique and nonempty."""
-    names = [str(name or "").lstrip("\ufeff") for name in spark.read.csv(path, header=False).first()]
-    if any(not name for name in names) or len(set(names)) != len(names):
-        raise ValueError("CSV headers must be unique and nonempty")
-    return names
+# A cell is quoted, with quotes doubled inside, or has neither quote nor comma.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+UNCLOSED = "CSV cell has an unclosed or stray quote"
+MISFIT = "CSV column count mismatch"
+
+
+def cells_of(line: str | Column) -> Column:
+    """The cells of a CSV line, quotes taken off; null if a quote is unclosed or stray."""
+    joined = F.concat(F.lit(","), line)
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    cells = F.transform(F.regexp_extract_all(joined, F.lit(f",({_CELL})"), F.lit(1)),
+                        lambda c: F.when(F.startswith(c, F.lit('"')), inner(c)).otherwise(c))
+    return F.when(joined.rlike(f"^(?:,{_CELL})++$"), cells)
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, names) of every file: the cells of its own first line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_name"),
+                                         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("block = 0").groupBy("file_name").agg(F.min_by("value", "at").alias("line"))
+    return first.select("file_name", cells_of(F.regexp_replace("line", "^\ufeff", "")).alias("names"))
+
+
+def check_headers(names: DataFrame, problem: Column, message: str) -> None:
+    """Raises when some file's header has the problem."""
+    found = names.where(F.coalesce(problem, F.lit(True))).take(1)
+    if found:
+        raise ValueError(f"{message}: {found[0].file_name}")
+
+
+def csv_cells(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """Data lines (file_name, row_number, line) with `cells`, a map from the names of their own file's
+    header, and `read_error` where the line is no CSV or does not fit that header."""
+    parsed = computed_once(lines.where((F.col("row_number") > 1) & (F.trim("line") != "")), {"values": cells_of("line")})
+    joined = parsed.join(names, "file_name")
+    fits = F.size("values") == F.size("names")
+    error = F.when(F.col("values").isNull(), UNCLOSED).when(~fits, MISFIT)
+    return (joined.withColumn("cells", F.when(fits, F.map_from_arrays("names", "values")))
+            .withColumn("read_error", error).drop("values", "names"))
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row per data line of all files under `path`, each read by its own header.
+
+    Columns are file_name, row_number, line, cells and read_error. A quoted line break ends a line:
+    both its halves have an unclosed quote and neither is taken for a record.
+    """
+    names = headers(spark, path)
+    unique = (F.size(F.array_distinct("names")) == F.size("names")) & ~F.array_contains("names", "")
+    check_headers(names, ~unique, "CSV headers must be unique and nonempty")
+    return csv_cells(numbered_lines(spark, path), names)
 
 
-def csv_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """One row per data line: file_name, row_number, line, `cells` and whether the column count fits."""
-    schema = ", ".join(f"`{name}` string" for name in names) + ", `_corrupt` string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return (numbered_lines(spark, path).where((F.col("row_number") > 1) & (F.trim("line") != ""))
-            .withColumn("cells", F.from_csv("line", F.lit(schema), options))
-            .withColumn("misfit", F.col("cells._corrupt").isNotNull()))
+def cell(name: str) -> Column:
+    """A cell by name; null where it is empty or its file has no such column."""
+    value = F.element_at("cells", F.lit(name))
+    return F.when(value != "", value)
 
 
 def typed(variant: str, path: str):

@@ -1,22 +1,35 @@
 """Append-only run storage, quarantine, and exports."""
-from pyspark.sql import DataFrame
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograil.functions.identity import csv_safe
 
 
 def write_run(run: DataFrame, incidents: DataFrame, path: str) -> None:
-    """Append one run row and its incidents; a run id can be written once."""
-    spark = run.sparkSession
+    """Store one run row and its incidents; a run id can be written once.
+
+    Each run has folders of its own. The run's row comes last and never overwrites, so it marks a
+    complete run; a retry after a break before it replaces the incidents and doubles nothing.
+    """
     ids = [row[0] for row in run.select("analysis_run_id").take(2)]
     if len(ids) != 1:
         raise ValueError("exactly one run row is written at a time")
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/runs/analysis_run_id={ids[0]}")
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    own = f"analysis_run_id={quote(str(ids[0]), safe='')}"
+    if _is_stored(run.sparkSession, f"{path}/runs/{own}"):
         raise ValueError(f"run {ids[0]} is already stored; runs are immutable")
-    # The run row comes last: an interrupted write leaves no run that looks complete.
-    incidents.write.mode("append").partitionBy("analysis_run_id").parquet(f"{path}/incidents")
-    run.write.mode("append").partitionBy("analysis_run_id").parquet(f"{path}/runs")
+    incidents.drop("analysis_run_id").write.mode("overwrite").parquet(f"{path}/incidents/{own}")
+    run.drop("analysis_run_id").write.mode("errorifexists").parquet(f"{path}/runs/{own}")
+
+
+def _is_stored(spark: SparkSession, folder: str) -> bool:
+    try:
+        spark.read.parquet(folder)
+    except AnalysisException:
+        return False
+    return True
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:

@@ -35,8 +35,3 @@ def stream_events(spark: SparkSession, directory: str, source: Source, events_pa
 def stream_dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """First row per event id; state is dropped once the watermark passes it."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows that arrived behind the watermark and were not used, over the recent progress."""
-    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])

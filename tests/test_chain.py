@@ -142,13 +142,12 @@ def walk(rows):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("limit", [1_000, 20, 0])
-def test_episodes_by_fold_and_by_pointer_doubling(spark, limit):
+def test_episodes_of_hot_and_cold_groups(spark):
     rng = random.Random(7)
     rows = [(u, "d", t, f"{u}{i:03d}", t + rng.randrange(0, 90)) for u in ("hot", "cold")
             for i in range(300 if u == "hot" else 12) for t in [rng.randrange(0, 3000)]]
     table = spark.createDataFrame(rows, "user_id string, device_id string, login_us bigint, login_id string, end_us bigint")
-    assert sorted(r.login_id for r in episodes(table, fold_limit=limit).collect()) == walk(rows)
+    assert sorted(r.login_id for r in episodes(table).collect()) == walk(rows)
 
 
 def test_reference_window_is_sixty_minutes(spark):
@@ -167,4 +166,4 @@ def test_forged_candidates_are_reported(spark):
     errors = validate(forged, events, labels(spark, "secret"), Chain()).first().errors
     assert errors == ["active mount context failed", "decision does not match stage completeness"]
     assert candidates(events, labels(spark, "nothing")).count() == 0
-    assert chain.RULE_VERSION == "phase1-v1"
+    assert chain.RULE_VERSION == "login-read-copy/1"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lograil.functions import identity, times
 from lograil.operators import normalize as norm
 from lograil.operators.normalize import Source
+from lograil.operators.intel import group_hits, validate_indicators
 from lograil.sources import alerts, contexts, indicators, sinks
 from lograil.sources.events import read_events_csv, read_events_jsonl
 from lograil.sources.lines import numbered_lines
@@ -130,6 +131,7 @@ def test_indicator_feeds(spark, tmp_path):
     (tmp_path / "i.csv").write_text("type,value,source,source_reference,description,enabled\nip,1.2.3.4,s,r,d,true\nip,1.2.3.5,s,r\n")
     rows = indicators.read_indicators_csv(spark, str(tmp_path / "i.csv")).collect()
     assert [r.read_error for r in rows] == [None, "row does not fit its header"]
+    assert rows[0].enabled is True and rows[0].effective_from is None
     (tmp_path / "i.json").write_text('[{"type":"domain","value":"a.b","source":"s","source_reference":"r","description":"d"}]')
     assert indicators.read_indicators_json(spark, str(tmp_path / "i.json")).first().value == "a.b"
 
@@ -150,3 +152,48 @@ def test_run_is_written_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "incidents")).count() == 2
     with pytest.raises(ValueError):
         sinks.write_run(run, incidents, str(tmp_path))
+
+
+def test_each_csv_file_has_its_own_header(spark, tmp_path):
+    one = "action,app_id,device_id,timestamp,user_id\nlogin_success,a,d1,2026-01-01T09:00:00Z,u1\n"
+    two = "user_id,device_id,action,timestamp,app_id\nu2,d2,login_success,2026-01-01T09:00:00Z,\"a \"\"b\"\", c\"\n"
+    (tmp_path / "a.csv").write_text(one)
+    (tmp_path / "b.csv").write_text(two)
+    events, rejects = read_events_csv(spark, str(tmp_path), Source("ds", "env", "s", "auth"))
+    got = sorted((e.user_id, e.device_id) for e in events.collect())
+    assert got == [("env:user:u1", "env:endpoint:d1"), ("env:user:u2", "env:endpoint:d2")] and rejects.count() == 0
+
+
+def test_a_broken_cell_is_never_an_event(spark, tmp_path):
+    rows = 'login_success,"a\nb",d,2026-01-01T09:00:00Z,u\nlogin_success,a,d,2026-01-01T09:00:00Z,u\nlogin_success,a"x,d,2026-01-01T09:00:00Z,u\n'
+    (tmp_path / "a.csv").write_text("action,app_id,device_id,timestamp,user_id\n" + rows)
+    events, rejects = read_events_csv(spark, str(tmp_path), Source("ds", "env", "s", "auth"))
+    assert events.count() == 1
+    assert sorted((r.row_number, r.error) for r in rejects.collect()) == [(n, "CSV cell has an unclosed or stray quote") for n in (2, 3, 5)]
+
+
+def test_feeds_go_into_validation_and_matching(spark, tmp_path):
+    head = "value,type,source,source_reference,description,enabled,source_confidence,effective_from_utc\n"
+    (tmp_path / "i.csv").write_text(head + "A.b,domain,s,r1,d,,0.5,2026-01-01T00:00:00Z\n1.2.3.4,ip,s,r2,d,yes,,\n1.2.3.5,ip,s,r3,d,TRUE,x,\n"
+                                    "1.2.3.6,ip,s,r4,d,false,,2026-01-01\n1.2.3.7,ip,s,r5,d,true,1,\n")
+    good, bad = indicators.split_feed(indicators.read_indicators_csv(spark, str(tmp_path / "i.csv")))
+    assert sorted(r.read_error for r in bad.collect()) == ["effective_from_utc must be an ISO time with an offset", "enabled must be true or false",
+                                                           "source_confidence must be a number"]
+    checked = validate_indicators(good)
+    assert [(r.normalized_value, r.error) for r in checked.orderBy("normalized_value").collect()] == [("1.2.3.7", None), ("a.b", None)]
+    events = spark.createDataFrame([("e", "1.2.3.7", "2026-02-01 00:00:00")], "event_id string, dst_ip string, t string").select(
+        "event_id", "dst_ip", F.col("t").cast("timestamp").alias("event_time"))
+    assert [(r.event_id, r.source_status) for r in group_hits(events, good).collect()] == [("e", "single_source")]
+
+
+def test_ties_of_one_id_never_accept_two_contents(spark):
+    rows = spark.createDataFrame([("a", "y", 1), ("a", "x", 1), ("b", "z", None)], "event_id string, content_sha256 string, row int")
+    got = {(r.event_id, r.content_sha256): r.status for r in norm.dedup_status(rows, ["row"]).collect()}
+    assert got == {("a", "x"): "accepted", ("a", "y"): "conflict", ("b", "z"): "accepted"}
+
+
+def test_authorizations_of_other_datasets_stay(spark):
+    kind = "dataset_id string, authorization_id string"
+    current = spark.createDataFrame([("d1", "a"), ("d2", "b")], kind)
+    merged = contexts.merge_context(current, spark.createDataFrame([("d2", "c")], kind), "authorizations")
+    assert sorted(map(tuple, merged.collect())) == [("d1", "a"), ("d2", "c")]

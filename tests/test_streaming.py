@@ -1,8 +1,11 @@
+import time
+
 from lograil.operators.chain import Chain, detect
 from lograil.operators.hunts import SHIPPED_RULES
 from lograil.operators.normalize import Source
 from lograil.streaming.chain import chain_steps, stream_chain
-from lograil.streaming.ingest import dropped_late_rows, stream_dedup, stream_events
+from lograil.streaming.ingest import stream_dedup, stream_events
+from lograil.streaming.late import LateRows
 from lograil.streaming.sessions import sessions
 from lograil.streaming.windows import stream_features, stream_mount_join, stream_rule_hits
 from tests.logs import DAY5, SCHEMA, attack, event, frame, history, labels
@@ -44,10 +47,17 @@ def test_closed_windows_only_and_late_rows_dropped(spark, tmp_path):
     first = [event("a", 0, "login_success"), event("b", 3, "login_failure")]
     later = [event("c", 300, "login_success")]
     late = [event("d", 5, "login_success")]
+    counted = LateRows()
+    spark.streams.addListener(counted)
     # A batch judges lateness by the watermark of the batch before it.
     got, query = drain(stream_features(feed(spark, tmp_path, first, later, [event("e", 301, "login_success")], late)), tmp_path)
     assert [(r.event_count, r.login_failures, r.successful_logins) for r in got] == [(2, 1, 1)]
-    assert dropped_late_rows(query) == 1
+    for _ in range(100):  # progress arrives on a thread of its own
+        if counted.dropped[str(query.id)]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(counted)
+    assert counted.dropped[str(query.id)] == 1
 
 
 def test_rule_hits_and_sessions(spark, tmp_path):
