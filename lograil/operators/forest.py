@@ -1,7 +1,7 @@
 """Isolation forest over feature windows: trees are grown and applied by Spark tasks.
 
-The model is a table of nodes. Trees see samples drawn by a hash of (seed, tree,
-row key), so neither partitioning nor row order can change a fitted model.
+The model is a table of nodes. Trees see samples drawn by a hash of (seed, row key), so
+neither partitioning nor row order can change a fitted model.
 """
 import math
 from collections.abc import Iterator
@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 from lograil.operators.features import WIDTH
 
 TREES, SAMPLE = 200, 256
+NODES = 2_000_000
 MINIMUM_WINDOWS = 20
 NODE = "tree_id int, node_id int, feature int, split double, left int, right int, size int"
 
@@ -36,10 +37,10 @@ def check_baseline(training: DataFrame, calibration: DataFrame) -> DataFrame:
     opens = calibration.agg(F.min("window_us"))
     row = sides[0].withColumn("calibration_windows", sides[1].scalar()).withColumn("closes", closes.scalar()).withColumn("opens", opens.scalar())
     return row.withColumn("error", F.coalesce(
-        F.when(F.col("closes").isNull() | F.col("opens").isNull(), "insufficient training/calibration data: datasets must be nonempty"),
-        F.when(F.col("closes") > F.col("opens"), "training must end before calibration, with non-overlapping closed windows"),
+        F.when(F.col("closes").isNull() | F.col("opens").isNull(), "training and calibration both need events"),
+        F.when(F.col("closes") > F.col("opens"), "the last training window must close before calibration opens"),
         F.when((F.col("training_windows") < MINIMUM_WINDOWS) | (F.col("calibration_windows") < MINIMUM_WINDOWS),
-               "insufficient history: require at least 20 established closed training and calibration windows")))
+               "fewer than twenty usable windows on one side")))
 
 
 def check_later(events: DataFrame, cutoff: Column, calibration_end: Column) -> DataFrame:
@@ -47,25 +48,24 @@ def check_later(events: DataFrame, cutoff: Column, calibration_end: Column) -> D
     early = F.count_if((F.col("event_time") <= cutoff) & (F.col("event_time") < calibration_end))
     return events.agg(early.alias("early_events")).withColumn("error", F.when(
         (F.col("early_events") > 0) | (cutoff < calibration_end),
-        "future-trained/calibrated baseline cannot analyze earlier or overlapping data"))
+        "a baseline scores only what lies after its calibration"))
 
 
-def tree_samples(windows: DataFrame, keys: list[str], trees: int = TREES, seed: int = 17) -> DataFrame:
-    """(tree_id, vector): the SAMPLE rows with the smallest hash for each tree.
+def tree_samples(windows: DataFrame, keys: list[str], trees: int = TREES, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
+    """(tree_id, _rank, vector): exactly `sample` usable windows for each tree, or all if there are fewer.
 
-    A row is offered to a tree only when its hash lies under a cut that lets through
-    about eight samples' worth, so the exploded rows do not grow with the input.
+    One pool of at most trees x sample windows has the smallest hashes of (seed, key). It stands in a
+    ring ordered by hash; each tree takes the next `sample` places. Trees share windows only where the
+    ring is shorter than all samples together.
     """
-    rows = usable(windows).select(*keys, "vector")
-    total = rows.agg(F.count("*"))
-    share = F.least(F.lit(1.0), F.lit(8.0 * SAMPLE) / F.greatest(total.scalar(), F.lit(1)))
-    draw = F.xxhash64(F.lit(seed), "tree_id", *keys)
-    # The offer and its test run in one generated loop; rejected offers are never materialised.
-    offered = (rows.withColumn("_cut", F.lit(-(2.0 ** 63)) + share * F.lit(2.0 ** 64))
-               .select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
-               .where(draw.cast("double") <= F.col("_cut")).withColumn("draw", draw))
-    order = Window.partitionBy("tree_id").orderBy("draw", *keys)
-    return offered.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE).select("tree_id", "_rank", "vector")
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
+    pool = usable(windows).select(*keys, "vector", drawn.alias("draw")).orderBy("draw", *keys).limit(trees * sample)
+    # At most trees x sample rows meet in these windows.
+    place, everything = F.row_number().over(Window.orderBy("draw", *keys)) - 1, Window.partitionBy()
+    ring = pool.withColumn("place", place).withColumn("n", F.count("*").over(everything))
+    rank = F.pmod(F.col("place") - F.col("tree_id") * sample, F.col("n")).cast("int")
+    return (ring.select("vector", "place", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
+            .withColumn("_rank", rank).where(F.col("_rank") < sample).select("tree_id", "_rank", "vector"))
 
 
 def _grow(seed: int):
@@ -96,14 +96,14 @@ def _grow(seed: int):
     return grow
 
 
-def fit_forest(windows: DataFrame, keys: list[str], trees: int = TREES, seed: int = 17) -> DataFrame:
-    """Model table; each tree is grown from its sample of at most SAMPLE rows in one task.
+def fit_forest(windows: DataFrame, keys: list[str], trees: int = TREES, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
+    """Model table; each tree is grown from its sample of at most `sample` rows in one task.
 
     The samples are small but growing is not, so the trees are spread over the cores
     instead of being packed by size.
     """
     parts = min(trees, windows.sparkSession.sparkContext.defaultParallelism)
-    samples = tree_samples(windows, keys, trees, seed).repartition(parts, "tree_id")
+    samples = tree_samples(windows, keys, trees, seed, sample).repartition(parts, "tree_id")
     return samples.groupBy("tree_id").applyInPandas(_grow(seed), NODE)
 
 
@@ -130,9 +130,11 @@ def _flat(tree: pd.DataFrame):
 def score_forest(windows: DataFrame, model: DataFrame) -> DataFrame:
     """Add raw_anomaly_score in (0, 1]; null for cold-start and provisional windows.
 
-    The model holds at most trees x (2 x SAMPLE - 1) nodes whatever the data size,
-    which is what makes shipping it to the tasks safe.
+    The model is shipped to the tasks: a forest has at most trees x (2 x sample - 1) nodes whatever
+    the data size. A table with more than NODES rows is refused.
     """
+    if model.count() > NODES:
+        raise ValueError(f"a model of more than {NODES} nodes is not shipped to tasks")
     frame = model.toPandas().sort_values(["tree_id", "node_id"])
     forest = [_flat(tree) for _, tree in frame.groupby("tree_id")]
     shared = windows.sparkSession.sparkContext.broadcast(forest)

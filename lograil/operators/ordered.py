@@ -36,6 +36,11 @@ def _position(at: str, forward: bool) -> str:
     return f"cast(-{at} as bigint)" if forward else f"cast({at} as bigint)"
 
 
+def _with_keys(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Marks of which no key is null; as in a join, a null key meets nothing."""
+    return marks.where(" and ".join(f"{k} is not null" for k in keys))
+
+
 def _running(pick: str, values: list[str], keys: list[str]) -> list[str]:
     line = (f"over (partition by {', '.join(keys)}, _cell order by _pos, _side "
             "rows between unbounded preceding and current row)")
@@ -55,7 +60,7 @@ def nearest_within(probes: DataFrame, marks: DataFrame, keys: list[str], at: str
     pos, side = _position(at, forward), 1 if inclusive else 0
     cell = _cell(pos, horizon)
     left = probes.selectExpr("*", f"{pos} as _pos", f"{side} as _side", f"{cell} as _cell")
-    right = marks.selectExpr(*keys, f"{pos} as _pos", *values, f"{1 - side} as _side",
+    right = _with_keys(marks, keys).selectExpr(*keys, f"{pos} as _pos", *values, f"{1 - side} as _side",
                              f"explode(array({cell}, {cell} + 1)) as _cell")
     rows = left.unionByName(right, allowMissingColumns=True).selectExpr(
         *probes.columns, "_side", *_running("min" if forward else "max", values, [*keys]))
@@ -73,7 +78,7 @@ def nearest(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, value
     pos, side = _position(at, forward), 1 if inclusive else 0
     placed = [f"{pos} as _pos", f"{_cell(pos, cell)} as _cell"]
     left = probes.selectExpr("*", *placed, f"{side} as _side")
-    right = marks.selectExpr(*keys, *placed, *values, f"{1 - side} as _side")
+    right = _with_keys(marks, keys).selectExpr(*keys, *placed, *values, f"{1 - side} as _side")
     rows = left.unionByName(right, allowMissingColumns=True)
     cells = rows.groupBy(*keys, "_cell").agg(*[F.expr(f"{pick}({v}) as {v}") for v in values])
     before = f"over (partition by {', '.join(keys)} order by _cell rows between unbounded preceding and 1 preceding)"
@@ -97,7 +102,7 @@ def count_within(probes: DataFrame, marks: DataFrame, keys: list[str], identity:
     # Both ends of one probe are counted from the start of the cell of `at`.
     left = (probes.select(*keys, identity, F.expr(_cell(at, horizon)).alias("_cell"), F.inline(ends))
             .select(*keys, identity, "_cell", "sign", "pos", F.lit(1).alias("_side"), F.lit(0).alias("_one")))
-    right = (marks.select(*keys, F.col(at).alias("pos"), F.lit(0).alias("_side"), F.lit(1).alias("_one"))
+    right = (_with_keys(marks, keys).select(*keys, F.col(at).alias("pos"), F.lit(0).alias("_side"), F.lit(1).alias("_one"))
              .selectExpr("*", f"explode(array({_cell('pos', horizon)}, {_cell('pos', horizon)} - 1)) as _cell"))
     line = (Window.partitionBy(*keys, "_cell").orderBy("pos", "_side")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -78,11 +78,11 @@ def run_warnings(users: DataFrame, resources: DataFrame, records: DataFrame, eve
     facts = (events.agg(F.count("*").alias("events")).withColumn("few", few.scalar())
              .withColumn("labels", resources.agg(F.count("*")).scalar()).withColumn("rejected", rejected.scalar()))
     return facts.select(F.array_compact(F.array(
-        F.when(F.col("few") > 0, F.concat(F.lit("Insufficient prior-day authentication history for "), F.col("few").cast("string"),
-                                          F.lit(" account(s); no automatic unusual-login claim"))),
-        F.when(F.col("labels") == 0, "No trusted sensitivity metadata: sensitive collection cannot be asserted"),
-        F.when(F.col("events") == 0, "Empty dataset at analysis cutoff"),
-        F.when(F.col("rejected") > 0, F.concat(F.col("rejected").cast("string"), F.lit(" source records quarantined; inspect ingestion errors")))
+        F.when(F.col("few") > 0, F.concat(F.lit("too few earlier login days to judge "), F.col("few").cast("string"),
+                                          F.lit(" accounts"))),
+        F.when(F.col("labels") == 0, "no resource is marked sensitive, so no read can be"),
+        F.when(F.col("events") == 0, "no events up to the cutoff"),
+        F.when(F.col("rejected") > 0, F.concat(F.col("rejected").cast("string"), F.lit(" records in quarantine")))
     )).alias("warnings"))
 
 

@@ -161,8 +161,8 @@ def _risky(spark, folder):
         "candidate_id", F.col("user_id").alias("copy_user"), F.col("device_id").alias("copy_device"),
         F.col("resource_id").alias("copy_resource"), F.lit("file_copy_to_usb").alias("copy_action"), F.col("copy_us"))
     reductions = context.authorize(copies, authorizations(spark, folder))
-    scored = risk.hybrid_risk(events, durable(_scored_windows(spark, folder)), links, reductions)
-    return durable(scored.withColumn("risk", F.round("risk", 6)))
+    scored = risk.hybrid_risk(events, _scored_windows(spark, folder), links, reductions)
+    return scored.withColumn("risk", F.round("risk", 6))
 
 
 @query("SELECT candidate_id, round(pct, 6) AS percentile FROM near", extra=SCORED_SQL, recursive=True)
@@ -211,7 +211,7 @@ SELECT CASE WHEN useful THEN cut ELSE 80.0 END::DOUBLE AS threshold, (SELECT cou
 FROM (SELECT cut, n, cut IS NOT NULL AND (n = 0 OR best >= cut) AS useful FROM choice, (SELECT count(*) AS n, max(risk) AS best FROM risky WHERE stages = 3)) c""",
        extra=SCORED_SQL + "," + UNITS_SQL, recursive=True)
 def threshold_calibration(spark, folder):
-    return risk.calibrate(_risky(spark, folder), risk.active_units(obs(spark, folder), micros()))
+    return risk.calibrate(durable(_risky(spark, folder)), risk.active_units(obs(spark, folder), micros()))
 
 
 @query("""
@@ -231,7 +231,7 @@ SELECT count(*) FILTER (stages = 3) AS complete_candidates, min(risk) FILTER (st
   (SELECT count(raw) FROM rarity) AS scored_windows, (SELECT count(*) FROM rarity, alarm WHERE raw >= quantile) AS window_alarms,
   (SELECT count(*) FROM rarity, alarm WHERE raw = quantile) AS alarm_ties FROM risky""", extra=SCORED_SQL + "," + QUANTILE_SQL, recursive=True)
 def calibration_audit(spark, folder):
-    return evaluate.calibration_audit(_risky(spark, folder), durable(_rarity(spark, folder)), risk.FLOOR,
+    return evaluate.calibration_audit(durable(_risky(spark, folder)), durable(_rarity(spark, folder)), risk.FLOOR,
                                       _alarm(spark, folder).select("quantile").scalar())
 
 

@@ -113,9 +113,9 @@ def test_baseline_admission(spark):
     error = lambda a, b: forest.check_baseline(a, b).first().error
     width = features.WIDTH
     assert error(window(20, 0), window(20, 20 * width)) is None
-    assert "non-overlapping" in error(window(21, 0), window(20, 20 * width))
-    assert "at least 20" in error(window(19, 0), window(20, 20 * width))
-    assert "nonempty" in error(window(0, 0), window(20, 0))
+    assert "before calibration opens" in error(window(21, 0), window(20, 20 * width))
+    assert "fewer than twenty" in error(window(19, 0), window(20, 20 * width))
+    assert "both need" in error(window(0, 0), window(20, 0))
 
 
 def test_baseline_scores_later_data_only(spark):
@@ -137,7 +137,7 @@ def test_warnings_and_reports(spark):
     records = spark.createDataFrame([("rejected",), ("accepted",)], "status string")
     few = frame(spark, [event("x", 0, "login_success")])
     got = reports.run_warnings(established_users(few), known.where("false"), records, few).first().warnings
-    assert [w.split(" ")[0] for w in got] == ["Insufficient", "No", "1"]
+    assert [w.split(" ")[0] for w in got] == ["too", "no", "1"]
     rows = reports.report_rows(detect(events, known), events)
     assert reports.verify_reports(rows, rows).count() == 0
     forged = rows.withColumn("report", F.regexp_replace("report", '"score":100', '"score":10'))

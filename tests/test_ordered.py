@@ -58,3 +58,10 @@ def test_active_intervals(spark, points):
     table = spark.createDataFrame(intervals, "key string, from_us bigint, until_us bigint")
     for row in active_intervals(probes, table, ["key"], "at", "n").collect():
         assert row.n == sum(k == row.key and f <= row["at"] and (u is None or row["at"] < u) for k, f, u in intervals)
+
+
+def test_null_keys_meet_nothing(spark):
+    probes = spark.createDataFrame([(None, 5, 1), ("a", 5, 2)], "key string, at bigint, probe int")
+    marks = spark.createDataFrame([(None, 4), ("a", 4)], "key string, at bigint").withColumn("hit", F.struct("at"))
+    for found in (nearest(probes, marks, ["key"], "at", ["hit"]), nearest_within(probes, marks, ["key"], "at", ["hit"], 10)):
+        assert {r.probe: r.hit is None for r in found.collect()} == {1: True, 2: False}
