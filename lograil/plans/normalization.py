@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 from lograil.functions import identity, times
 from lograil.operators import normalize as norm
 from lograil.operators.ordered import micros
-from lograil.plans.obs import aliases, authorizations, obs, resources, table
+from lograil.plans.obs import aliases, authorizations, hosts, obs, resources, table
 from lograil.plans.registry import query
-from lograil.sources import alerts, contexts
-from lograil.sources.events import raw_json_lines
+from lograil.sources import alerts, contexts, indicators, lines
+from lograil.sources.events import raw_cells, raw_json_lines
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 # k % 4 chooses: UTC mark, explicit offset, naive with a declared zone, naive without one.
@@ -355,3 +355,41 @@ def family_union(spark, folder):
     frames = [rows.where(F.col("source_type") == kind).select("event_id", "source_type", column) for kind, column in own.items()]
     network = rows.where("action = 'file_copy_to_usb'").select("event_id", F.lit("network").alias("source_type"), "dst_ip")
     return norm.union_families([*frames, network])
+
+
+@query("""
+SELECT event_id + 2 AS row_number, CASE WHEN event_id % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS file_name,
+  CASE WHEN error IS NULL THEN user_id || CASE WHEN k % 5 = 0 THEN ' "x", y' ELSE '' END END AS user_id,
+  CASE WHEN error IS NULL THEN device_id END AS device_id, CASE WHEN error IS NULL AND k % 3 <> 0 THEN action END AS action, error
+FROM (SELECT *, CASE WHEN k % 7 = 0 THEN 'CSV cell has an unclosed or stray quote' WHEN k % 11 = 0 THEN 'CSV column count mismatch' END AS error FROM obs)""")
+def csv_records(spark, folder):
+    """CSV lines of two files whose columns stand in another order, with quoted cells, open quotes and misfits."""
+    k, one = F.col("k"), F.col("event_id") % 2 == 0
+    user = F.when(k % 5 == 0, F.concat(F.lit('"'), "user_id", F.lit(' ""x"", y"'))).otherwise(F.col("user_id"))
+    device = F.when(k % 7 == 0, F.concat(F.lit('"'), "device_id")).otherwise(F.col("device_id"))
+    action = F.when(k % 3 == 0, "").otherwise(F.col("action"))
+    more = F.when(k % 11 == 0, ",more").otherwise("")
+    line = F.when(one, F.concat(user, F.lit(","), device, F.lit(","), action, more)).otherwise(F.concat(action, F.lit(","), user, more, F.lit(","), device))
+    rows = obs(spark, folder).select(F.when(one, "a.csv").otherwise("b.csv").alias("file_name"), (F.col("event_id") + 2).alias("row_number"), line.alias("line"))
+    names = rows.select("file_name").distinct().select("file_name", F.when(F.col("file_name") == "a.csv", F.split(F.lit("user_id,device_id,action"), ","))
+                                                       .otherwise(F.split(F.lit("action,user_id,device_id"), ",")).alias("names"))
+    return raw_cells(lines.csv_cells(rows, names)).select("row_number", "file_name", "user_id", "device_id", "action", F.col("read_error").alias("error"))
+
+
+@query("""
+SELECT page_id, domain AS value, CASE page_id % 4 WHEN 0 THEN 0.5 WHEN 3 THEN 1 END::DOUBLE AS source_confidence,
+  page_id % 5 NOT IN (1, 2) AS enabled, CASE page_id % 3 WHEN 0 THEN 1704412800000000 WHEN 1 THEN 1704409200000000 END AS from_us,
+  CASE WHEN page_id % 4 = 1 THEN 'source_confidence must be a number' WHEN page_id % 5 = 2 THEN 'enabled must be true or false'
+    WHEN page_id % 3 = 2 THEN 'effective_from_utc must be an ISO time with an offset' END AS read_error
+FROM hosts""")
+def indicator_feed(spark, folder):
+    """Text cells of a feed derived from the hosts, typed with a reason where one does not parse."""
+    page = F.col("page_id")
+    cells = hosts(spark, folder).select(
+        page, F.lit(None).cast("string").alias("read_error"), F.lit("domain").alias("type"), F.col("domain").alias("value"), F.lit("feed").alias("source"),
+        page.cast("string").alias("source_reference"), F.lit("host").alias("description"), F.lit(None).cast("string").alias("notes"),
+        F.when(page % 4 == 0, "0.5").when(page % 4 == 1, "high").when(page % 4 == 3, " 1 ").alias("source_confidence"),
+        F.when(page % 3 == 0, "2024-01-05T00:00:00Z").when(page % 3 == 1, "2024-01-05 00:00+01:00").otherwise("2024-01-05").alias("effective_from_utc"),
+        F.lit("").alias("effective_until_utc"), F.when(page % 5 == 0, "TRUE").when(page % 5 == 1, "false").when(page % 5 == 2, "no").alias("enabled"))
+    return indicators.typed_feed(cells).select(F.col("source_reference").cast("bigint").alias("page_id"), "value", "source_confidence", "enabled",
+                                               micros("effective_from").alias("from_us"), "read_error")

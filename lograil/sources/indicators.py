@@ -19,7 +19,9 @@ def typed_feed(rows: DataFrame) -> DataFrame:
     given = lambda name: F.col(name).isNotNull() & (F.trim(name) != "")
     number = F.expr("try_cast(trim(source_confidence) as double)")
     truth = F.lower(F.trim("enabled"))
-    moment = lambda name: F.when(F.trim(name).rlike(ISO), F.trim(name).try_cast("timestamp"))
+    # Seconds may be left out of a feed's times, but not of what Spark casts.
+    seconds = lambda text: F.regexp_replace(text, r"^(.{16})(Z|[+-])", "$1:00$2")
+    moment = lambda name: F.when(F.trim(name).rlike(ISO), seconds(F.trim(name)).try_cast("timestamp"))
     problem = F.coalesce(
         F.col("read_error"),
         F.when(given("source_confidence") & (number.isNull() | F.isnan(number)), "source_confidence must be a number"),
