@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lograil.functions import identity, times
 from lograil.operators import normalize as norm
+from lograil.operators.ingest import ingest
 from lograil.operators.ordered import micros
 from lograil.plans.obs import aliases, authorizations, hosts, obs, resources, table
 from lograil.plans.registry import query
@@ -393,3 +394,23 @@ def indicator_feed(spark, folder):
         F.lit("").alias("effective_until_utc"), F.when(page % 5 == 0, "TRUE").when(page % 5 == 1, "false").when(page % 5 == 2, "no").alias("enabled"))
     return indicators.typed_feed(cells).select(F.col("source_reference").cast("bigint").alias("page_id"), "value", "source_confidence", "enabled",
                                                micros("effective_from").alias("from_us"), "read_error")
+
+
+@query("""
+SELECT event_id, upload, source_type, CASE WHEN k % 13 = 0 THEN 'rejected' WHEN upload = 1 THEN 'accepted' WHEN upload = 2 THEN 'duplicate' ELSE 'conflict' END AS status,
+  CASE WHEN k % 13 = 0 THEN 'naive timestamp requires a declared source timezone' WHEN upload = 3 THEN 'another record of this id is already accepted' END AS error
+FROM (SELECT *, 1 AS upload FROM obs UNION ALL SELECT *, 2 FROM obs WHERE event_id % 9 = 0 UNION ALL SELECT *, 3 FROM obs WHERE event_id % 14 = 0)""")
+def ingest_status(spark, folder):
+    """Ingest of all families: every ninth record comes again, every fourteenth with other content."""
+    event = F.col("event_id")
+    uploads = F.array_compact(F.array(F.lit(1), F.when(event % 9 == 0, 2), F.when(event % 14 == 0, 3)))
+    rows = obs(spark, folder).withColumn("upload", F.explode(uploads))
+    body = F.to_json(F.struct(
+        F.concat(F.date_format("event_time", STAMP), F.when(F.col("k") % 13 == 0, "").otherwise("Z")).alias("timestamp"), "action",
+        F.concat(F.lit("v"), event).alias("source_event_id"), "user_id", "device_id", "app_id", "resource_id", "removable_device_id",
+        "bytes_read", "bytes_written", "destination_type", "outcome", F.when(F.col("upload") == 3, "again").alias("session_id")))
+    sent = rows.select("source_type", F.lit("log").alias("file_name"), (event * 4 + F.col("upload")).alias("row_number"), body.alias("line"))
+    feeds = [(raw_json_lines(sent.where(F.col("source_type") == kind).drop("source_type")), norm.Source("ds", "env", kind, kind))
+             for kind in ("auth", "file", "device")]
+    return ingest(feeds, ("row_number",)).records.select(
+        F.floor(F.col("row_number") / 4).alias("event_id"), (F.col("row_number") % 4).cast("int").alias("upload"), "source_type", "status", "error")

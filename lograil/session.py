@@ -33,9 +33,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Write a reused intermediate as a table on shared storage and read it back.
 
     Lineage ends at the files, so a lost executor recomputes nothing before them,
-    and the known file sizes let later joins be planned on facts.
+    and the known file sizes let later joins be planned on facts. All tables of an
+    application lie in one folder, which may be removed when its results are stored.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/intermediate-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/lograil-{spark.sparkContext.applicationId}/{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
