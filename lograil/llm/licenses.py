@@ -1,9 +1,9 @@
 """License detection by ordered signature rules.
 
 Texts become words (ASCII letters and digits lower-cased, and all non-ASCII characters); a rule is a
-regular expression over the words joined by single spaces, with a label, a priority, a weight and a
-keyword that its matches cannot do without. A text without a gate word is settled at once, and only
-rules whose keyword occurs are run. A detection whose words lie inside those of another one of at
+regular expression over the words joined by single spaces, with a label, a priority, a weight and
+keywordss that its matches cannot do without. Only rules whose keywords stand in the text are run, so
+most texts are settled by their set of words. A detection whose words lie inside those of another one of at
 least its priority gives way to it; of equal intervals the earlier rule stays. Places of the three
 base phrases are never suppressed.
 
@@ -24,80 +24,80 @@ from lograil.llm.common import whole
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Label: its names as patterns over words, its keyword. More exact names come before shorter ones.
+# Label: its names as patterns over words, and keywords, one of which any of its names contains.
 NAMES = {
     "mit": ("(?:the )?mit(?: x11| expat)?", "mit"),
     "mit-0": ("mit (?:0|no attribution|zero)", "mit"),
     "apache-1.1": ("apache (?:software )?(?:license )?(?:version |v ?)?1 1", "apache"),
     "apache-2": ("apache (?:software )?(?:license )?(?:version |v ?)?2(?: 0)?", "apache"),
-    "gpl-2": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: only)?", "g"),
-    "gpl-2-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: or (?:any )?later)", "g"),
-    "gpl-3": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: only)?", "g"),
-    "gpl-3-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: or (?:any )?later)", "g"),
-    "lgpl-2.1": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?2 1", "l"),
-    "lgpl-3": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?3(?: 0)?", "l"),
-    "agpl-3": ("(?:gnu )?(?:agpl|affero general public license) ?(?:version |v ?)?3(?: 0)?", "a"),
-    "gfdl": ("(?:gnu )?(?:gfdl|free documentation license)(?: 1 [0-3])?", "f"),
-    "0bsd": ("0bsd|zero clause bsd", "bsd"),
-    "bsd-2": ("bsd (?:2 clause|simplified)|2 clause bsd|freebsd", "bsd"),
+    "gpl-2": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: only)?", "gpl general"),
+    "gpl-2-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: or (?:any )?later)", "gpl general"),
+    "gpl-3": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: only)?", "gpl general"),
+    "gpl-3-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: or (?:any )?later)", "gpl general"),
+    "lgpl-2.1": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?2 1", "lgpl lesser"),
+    "lgpl-3": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?3(?: 0)?", "lgpl lesser"),
+    "agpl-3": ("(?:gnu )?(?:agpl|affero general public license) ?(?:version |v ?)?3(?: 0)?", "agpl affero"),
+    "gfdl": ("(?:gnu )?(?:gfdl|free documentation license)(?: 1 [0-3])?", "gfdl documentation"),
+    "0bsd": ("0bsd|zero clause bsd", "0bsd bsd"),
+    "bsd-2": ("bsd (?:2 clause|simplified)|2 clause bsd|freebsd", "bsd freebsd"),
     "bsd-3": ("bsd (?:3 clause|new|revised|modified)|(?:3 clause|new|modified) bsd", "bsd"),
     "bsd-4": ("bsd (?:4 clause|original)|(?:4 clause|original) bsd", "bsd"),
     "isc": ("isc", "isc"),
-    "mpl-1.1": ("(?:mozilla public license|mpl) ?(?:version |v ?)?1 1", "m"),
-    "mpl-2": ("(?:mozilla public license|mpl) ?(?:version |v ?)?2(?: 0)?", "m"),
-    "epl-1": ("(?:eclipse public license|epl) ?(?:version |v ?)?1(?: 0)?", "e"),
-    "epl-2": ("(?:eclipse public license|epl) ?(?:version |v ?)?2(?: 0)?", "e"),
-    "eupl": ("(?:european union public licen[cs]e|eupl)(?: (?:version |v ?)?1 [12])?", "eu"),
-    "cddl": ("(?:common development and distribution license|cddl)(?: 1 [01])?", "c"),
-    "cpl": ("(?:common public license|cpl)(?: 1 0)?", "c"),
-    "ms-pl": ("microsoft public license|ms pl", "m"),
-    "ms-rl": ("microsoft reciprocal license|ms rl", "m"),
+    "mpl-1.1": ("(?:mozilla public license|mpl) ?(?:version |v ?)?1 1", "mozilla mpl"),
+    "mpl-2": ("(?:mozilla public license|mpl) ?(?:version |v ?)?2(?: 0)?", "mozilla mpl"),
+    "epl-1": ("(?:eclipse public license|epl) ?(?:version |v ?)?1(?: 0)?", "eclipse epl"),
+    "epl-2": ("(?:eclipse public license|epl) ?(?:version |v ?)?2(?: 0)?", "eclipse epl"),
+    "eupl": ("(?:european union public licen[cs]e|eupl)(?: (?:version |v ?)?1 [12])?", "european eupl"),
+    "cddl": ("(?:common development and distribution license|cddl)(?: 1 [01])?", "development cddl"),
+    "cpl": ("(?:common public license|cpl)(?: 1 0)?", "common cpl"),
+    "ms-pl": ("microsoft public license|ms pl", "microsoft ms"),
+    "ms-rl": ("microsoft reciprocal license|ms rl", "microsoft ms"),
     "artistic-1": ("artistic (?:license )?1(?: 0)?", "artistic"),
     "artistic-2": ("artistic (?:license )?2(?: 0)?", "artistic"),
-    "boost": ("boost(?: software)?(?: license)?(?: 1 0)?|bsl 1 0", "b"),
+    "boost": ("boost(?: software)?(?: license)?(?: 1 0)?|bsl 1 0", "boost bsl"),
     "zlib": ("zlib(?: libpng)?", "zlib"),
     "libpng": ("libpng", "libpng"),
     "openssl": ("openssl", "openssl"),
-    "python": ("python(?: software foundation)?|psf", "p"),
+    "python": ("python(?: software foundation)?|psf", "python psf"),
     "php": ("php(?: 3 0[01]?)?", "php"),
     "ruby": ("ruby", "ruby"),
     "perl": ("perl(?: 5)?", "perl"),
     "postgresql": ("postgresql", "postgresql"),
     "unlicense": ("unlicense", "unlicense"),
-    "wtfpl": ("wtfpl|do what the fuck you want to public license", "w"),
-    "beerware": ("beer ?ware", "beer"),
-    "ofl": ("(?:sil )?open font license(?: 1 [01])?|ofl 1 1", "o"),
-    "odbl": ("odbl(?: 1 0)?|open (?:data commons open )?database license", "o"),
-    "odc-by": ("odc by(?: 1 0)?|open data commons attribution", "o"),
+    "wtfpl": ("wtfpl|do what the fuck you want to public license", "wtfpl fuck"),
+    "beerware": ("beer ?ware", "beerware beer"),
+    "ofl": ("(?:sil )?open font license(?: 1 [01])?|ofl 1 1", "font ofl"),
+    "odbl": ("odbl(?: 1 0)?|open (?:data commons open )?database license", "odbl database"),
+    "odc-by": ("odc by(?: 1 0)?|open data commons attribution", "odc attribution"),
     "pddl": ("pddl(?: 1 0)?", "pddl"),
-    "cc0": ("cc0(?: 1 0)?(?: universal)?|(?:cc|creative commons) zero", "cc"),
-    "cc-by": ("(?:cc|creative commons) (?:by|attribution)(?: [1-4] [05])?", "c"),
-    "cc-by-sa": ("(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1-4] [05])?", "c"),
-    "cc-by-nd": ("(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "c"),
-    "cc-by-nc": ("(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1-4] [05])?", "c"),
-    "cc-by-nc-sa": ("(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1-4] [05])?", "c"),
-    "cc-by-nc-nd": ("(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "c"),
-    "llama": ("llama ?[234]?(?: community)?", "llama"),
-    "openrail": ("(?:bigscience |bigcode |creativeml )?open ?rail(?: m)?(?: v1)?", "rail"),
+    "cc0": ("cc0(?: 1 0)?(?: universal)?|(?:cc|creative commons) zero", "cc0 zero"),
+    "cc-by": ("(?:cc|creative commons) (?:by|attribution)(?: [1-4] [05])?", "cc creative"),
+    "cc-by-sa": ("(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1-4] [05])?", "cc creative"),
+    "cc-by-nd": ("(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc creative"),
+    "cc-by-nc": ("(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1-4] [05])?", "cc creative"),
+    "cc-by-nc-sa": ("(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1-4] [05])?", "cc creative"),
+    "cc-by-nc-nd": ("(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc creative"),
+    "llama": ("llama ?[234]?(?: community)?", "llama llama2 llama3 llama4"),
+    "openrail": ("(?:bigscience |bigcode |creativeml )?open ?rail(?: m)?(?: v1)?", "openrail rail"),
     "elastic-2": ("elastic (?:license )?(?:version |v ?)?2(?: 0)?", "elastic"),
-    "sspl": ("server side public license|sspl(?: v?1)?", "s"),
-    "busl": ("business source license|busl(?: 1 1)?", "bus"),
+    "sspl": ("server side public license|sspl(?: v?1)?", "server sspl"),
+    "busl": ("business source license|busl(?: 1 1)?", "business busl"),
     "ncsa": ("(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
-    "afl-3": ("academic free license|afl 3(?: 0)?", "af"),
-    "osl-3": ("open software license|osl 3(?: 0)?", "o"),
-    "upl": ("universal permissive license|upl 1 0", "u"),
+    "afl-3": ("academic free license|afl 3(?: 0)?", "academic afl"),
+    "osl-3": ("open software license|osl 3(?: 0)?", "software osl"),
+    "upl": ("universal permissive license|upl 1 0", "universal upl"),
 }
-# Priority, weight and shape of what may stand around a name; the higher priority wins.
+# Priority, weight, shape of what may stand around a name, and keywords of it; the higher priority wins.
 SHAPES = (
-    (9, 0.98, "spdx license identifier (?:NAME)"),
+    (9, 0.98, "spdx license identifier (?:NAME)", "spdx"),
     (8, 0.95, "(?:licen[sc]ed|released|distributed|available|provided|published|covered|redistributed|offered) "
-              "(?:only |freely )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: (?:public )?licen[sc]e)?"),
-    (7, 0.9, "under (?:the )?(?:terms of (?:the )?)?(?:NAME) (?:public )?licen[sc]e"),
-    (6, 0.85, "licen[sc]e (?:is |type |name )?(?:the )?(?:NAME)(?: licen[sc]e)?"),
-    (5, 0.8, "(?:NAME) (?:public |software |style )?licen[sc]e[ds]?"),
-    (4, 0.7, "subject to (?:the )?(?:terms of (?:the )?)?(?:NAME)"),
+              "(?:only |freely )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: (?:public )?licen[sc]e)?", "under"),
+    (7, 0.9, "under (?:the )?(?:terms of (?:the )?)?(?:NAME) (?:public )?licen[sc]e", "under"),
+    (6, 0.85, "licen[sc]e (?:is |type |name )?(?:the )?(?:NAME)(?: licen[sc]e)?", "license licence"),
+    (5, 0.8, "(?:NAME) (?:public |software |style )?licen[sc]e[ds]?", "license licence licensed licenced licenses licences"),
+    (4, 0.7, "subject to (?:the )?(?:terms of (?:the )?)?(?:NAME)", "subject"),
 )
-# Sentences of license texts and notices: label, priority, weight, pattern, keyword.
+# Sentences of license texts and notices: label, priority, weight, pattern, keywords.
 SENTENCES = (
     ("mit", 10, 0.95, "permission is hereby granted free of charge to any person obtaining a copy", "permission"),
     ("isc", 10, 0.9, "permission to use copy modify and or distribute this software for any purpose", "permission"),
@@ -113,12 +113,9 @@ SENTENCES = (
     ("proprietary", 6, 0.7, "(?:no part of this|may not be) (?:[^ ]+ ){0,6}reproduced", "reproduced"),
     ("copyright", 1, 0.3, "copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
     ("no-warranty", 1, 0.3, "provided as is without (?:any )?warranty", "warranty"),
-    ("non-commercial", 4, 0.6, "(?:non commercial|noncommercial|research) (?:use|purposes?) only", "only"),
-    ("eula", 5, 0.6, "end user licen[sc]e agreement", "end user"),
+    ("non-commercial", 4, 0.6, "(?:non commercial|noncommercial|research) (?:use|purposes?) only", "commercial noncommercial research"),
+    ("eula", 5, 0.6, "end user licen[sc]e agreement", "agreement"),
 )
-# Every rule's match holds one of these, so a text with none of them has no detection.
-GATES = (b"licen", b"under ", b"subject to", b"permission", b"redistribution", b"neither", b"gnu", b"unencumbered", b"domain",
-         b"reserved", b"proprietary", b"reproduced", b"copyright", b"warranty", b"only", b"cc ", b"cc0")
 LETTERS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -128,20 +125,40 @@ class Rule:
     priority: int
     weight: float
     pattern: str
-    keyword: bytes
+    needs: tuple[str, ...]      # of each of these lists of words a match contains one
     base: bool = False
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[tuple[Rule, re.Pattern], ...]:
     """All rules in order: base phrases, sentences, then every name in every shape."""
-    listed = [Rule(label, 20, 0.95, phrase, phrase.encode(), True) for phrase, label in BASE.items()]
-    listed += [Rule(label, priority, weight, pattern, word.encode()) for label, priority, weight, pattern, word in SENTENCES]
-    listed += [Rule(label, priority, weight, shape.replace("NAME", name), word.encode())
-               for priority, weight, shape in SHAPES for label, (name, word) in NAMES.items()]
+    listed = [Rule(label, 20, 0.95, phrase, tuple(phrase.split()), True) for phrase, label in BASE.items()]
+    listed += [Rule(label, priority, weight, pattern, (words,)) for label, priority, weight, pattern, words in SENTENCES]
+    listed += [Rule(label, priority, weight, shape.replace("NAME", name), (words, around))
+               for priority, weight, shape, around in SHAPES for label, (name, words) in NAMES.items()]
     return tuple((rule, re.compile(b"(?<![^ ])(?:" + rule.pattern.encode() + b")(?![^ ])")) for rule in listed)
 
 
+@lru_cache(maxsize=1)
+def _keywords() -> tuple[dict[bytes, list[int]], list[list[frozenset[bytes]]]]:
+    """Rules by the words of their first list, and the other lists of each rule."""
+    by_word: dict[bytes, list[int]] = {}
+    others = []
+    for n, (rule, _) in enumerate(rules()):
+        lists = [frozenset(x.encode().split()) for x in rule.needs]
+        for word in lists[0]:
+            by_word.setdefault(word, []).append(n)
+        others.append(lists[1:])
+    return by_word, others
+
+
+def possible(words: set[bytes]) -> list[int]:
+    """Numbers of the rules of whose keywords a text with these words has enough."""
+    by_word, others = _keywords()
+    found = {n for word in words & by_word.keys() for n in by_word[word]}
+    return sorted(n for n in found if not any(words.isdisjoint(x) for x in others[n]))
+
+
 def words_of(data: bytes) -> list[bytes]:
     return data.lower().translate(LETTERS).split()
 
@@ -165,11 +182,11 @@ def suppress(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
 def scan(data: bytes) -> tuple[int, list[tuple[Rule, int, int]]]:
     """Number of words, and detections as (rule, first word, word behind the last)."""
     words = words_of(data)
-    text = b" ".join(words)
-    if not any(gate in text for gate in GATES):
+    numbers = possible(set(words))
+    if not numbers:
         return len(words), []
-    matches = [(n, rule, m.start(), m.end()) for n, (rule, pattern) in enumerate(rules()) if rule.keyword in text
-               for m in pattern.finditer(text)]
+    text = b" ".join(words)
+    matches = [(n, rules()[n][0], m.start(), m.end()) for n in numbers for m in rules()[n][1].finditer(text)]
     if not matches:
         return len(words), []
     gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
