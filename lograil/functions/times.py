@@ -25,6 +25,16 @@ def declared(zone: str | None) -> Column:
     return F.lit(zone).cast("string")
 
 
+def _extended(text: Column) -> Column:
+    """ISO basic forms and left-out minutes or seconds in the extended form; other text as it is."""
+    ends = r"(?=$|Z|[+-]\d)"
+    for pattern, form in ((r"^(\d{4})(\d{2})(\d{2})(?=T|$)", "$1-$2-$3"), (rf"^({_DATE}[T ]\d{{2}})(\d{{2}})(\d{{2}})", "$1:$2:$3"),
+                          (rf"^({_DATE}[T ]\d{{2}})(\d{{2}}){ends}", "$1:$2"), (rf"^({_DATE}[T ]\d{{2}}){ends}", "$1:00"),
+                          (rf"^({_DATE}[T ]\d{{2}}:\d{{2}}){ends}", "$1:00")):
+        text = F.regexp_replace(text, pattern, form)
+    return text
+
+
 def _instant(text: Column) -> Column:
     cleaned = F.regexp_replace(F.regexp_replace(text, r"([T ]\d{2}:\d{2}.*[+-]\d{2})(\d{2})$", "$1:$2"), ",", ".")
     return F.try_to_timestamp(cleaned)
@@ -36,6 +46,8 @@ def parse_event_time(text: Column, zone: Column) -> Column:
     A value with an offset is taken as it is; a naive one needs the source's zone
     and must name exactly one instant there.
     """
+    text = _extended(text)
+
     def judged(seen: Column, utc: Column) -> Column:
         zoned, naive = text.rlike(ZONED), text.rlike(NAIVE)
         gap = F.from_utc_timestamp(utc, zone) != seen

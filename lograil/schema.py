@@ -1,29 +1,14 @@
-"""Canonical event schema: one row per observation, fixed and declared."""
+"""Fields of raw records, and the columns of context tables."""
 from pyspark.sql import types as T
 
-_TEXT = ("event_id", "dataset_id", "environment_id", "source_id", "source_type", "action",
-         "source_event_id", "outcome", "user_id", "device_id", "app_id", "session_id", "src_ip", "dst_ip",
-         "domain", "file_path", "file_hash", "resource_id", "resource_scope", "removable_device_id",
-         "destination_type", "process_id", "process_name", "geo_country", "source_file_sha256",
-         "raw_record_sha256", "raw_record_ref", "original_timestamp", "timezone_assumption", "schema_version")
-REQUIRED = ("event_id", "dataset_id", "environment_id", "source_id", "source_type", "action")
 BYTE_COUNTS = ("bytes_read", "bytes_written", "bytes_sent")
 GEO = ("geo_latitude", "geo_longitude")
 
-EVENT = T.StructType(
-    [T.StructField(name, T.StringType(), name not in REQUIRED) for name in _TEXT]
-    + [T.StructField("source_record_number", T.LongType()), T.StructField("event_time", T.TimestampType(), False),
-       T.StructField("ingested_at", T.TimestampType())]
-    + [T.StructField(name, T.LongType()) for name in BYTE_COUNTS]
-    + [T.StructField(name, T.DoubleType()) for name in GEO]
-    + [T.StructField("normalization_warnings", T.ArrayType(T.StringType()))])
-
 # Raw records arrive as text; typing and checking is the normaliser's work.
 RAW_FIELDS = ("timestamp", "action", "source_event_id", "outcome", "user_id", "device_id", "app_id", "session_id",
               "src_ip", "dst_ip", "domain", "file_path", "file_hash", "resource_id", "resource_scope",
               "removable_device_id", "destination_type", "process_id", "process_name", "geo_country",
               *BYTE_COUNTS, *GEO)
-RAW = T.StructType([T.StructField(name, T.StringType()) for name in RAW_FIELDS])
 
 RESOURCES = T.StructType([
     T.StructField("resource_id", T.StringType()), T.StructField("sensitive", T.BooleanType()),

@@ -1,9 +1,11 @@
 """Continuous ingest: normalise each micro-batch and split it into events and quarantine."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lograil.operators.normalize import Source, normalize
+from lograil.operators.ingest import ingest
+from lograil.operators.normalize import Source
 from lograil.sources.events import raw_json_lines
 from lograil.sources.lines import numbered
 
@@ -12,8 +14,9 @@ def stream_events(spark: SparkSession, directory: str, source: Source, events_pa
                   checkpoint: str, **trigger) -> StreamingQuery:
     """JSON-lines files of a directory -> two tables with one folder per micro-batch.
 
-    A repeated batch overwrites its own folder, so a restart neither loses nor
-    doubles rows.
+    Each batch is judged by the batch job `ingest`, against the events of earlier batches: repeated
+    records go, conflicts join the quarantine. A repeated batch overwrites its own folder, so a
+    restart neither loses nor doubles rows.
     """
     lines = spark.readStream.text(directory).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name"),
@@ -22,9 +25,9 @@ def stream_events(spark: SparkSession, directory: str, source: Source, events_pa
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("at", F.monotonically_increasing_id()).persist()
         try:
-            events, rejects = normalize(raw_json_lines(numbered(rows)), source)
-            events.write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
-            rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch_id={batch_id}")
+            done = ingest([(raw_json_lines(numbered(rows)), source)], earlier=_earlier(spark, events_path, batch_id))
+            done.events.write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
+            done.rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch_id={batch_id}")
         finally:
             rows.unpersist()
 
@@ -32,6 +35,14 @@ def stream_events(spark: SparkSession, directory: str, source: Source, events_pa
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:  # the first batch
+        return None
+    return stored.where(F.col("batch_id") < batch_id).select("event_id", "content_sha256")
+
+
 def stream_dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """First row per event id; state is dropped once the watermark passes it."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])

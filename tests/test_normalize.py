@@ -197,3 +197,11 @@ def test_authorizations_of_other_datasets_stay(spark):
     current = spark.createDataFrame([("d1", "a"), ("d2", "b")], kind)
     merged = contexts.merge_context(current, spark.createDataFrame([("d2", "c")], kind), "authorizations")
     assert sorted(map(tuple, merged.collect())) == [("d1", "a"), ("d2", "c")]
+
+
+def test_iso_basic_forms_and_left_out_seconds(spark):
+    forms = ("20240101T101500Z", "2024-01-01T10Z", "2024-01-01T10:15Z", "20240101T1015+0000", "20240101", "2024-01-01T10:15:30.5Z", "2024-1-1T10Z", "202401")
+    time = times.parse_event_time(F.col("x"), F.lit("UTC"))
+    got = spark.createDataFrame([(f,) for f in forms], "x string").select(time.alias("t")).collect()
+    assert [str(r.t.event_time)[:21] for r in got] == ["2024-01-01 10:15:00", "2024-01-01 10:00:00", "2024-01-01 10:15:00", "2024-01-01 10:15:00",
+                                                       "2024-01-01 00:00:00", "2024-01-01 10:15:30.5", "None", "None"]

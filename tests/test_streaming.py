@@ -97,3 +97,16 @@ def test_chain_on_a_stream_equals_the_batch_detector(spark, tmp_path):
     key = lambda r: (r.login_id, r.read_id, r.copy_id, r.mount_id, r.decision)
     assert sorted(map(key, got), key=str) == sorted(map(key, batch), key=str)
     assert {r.decision for r in got} == {"incident", "partial_observation"}
+
+
+def test_repeats_and_conflicts_of_earlier_batches(spark, tmp_path):
+    line = '{"timestamp":"2026-01-01T09:00:00Z","action":"login_success","user_id":"%s","device_id":"d","app_id":"a","source_event_id":"v%d"}\n'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text(line % ("u", 1) + line % ("u", 2))
+    paths = [str(tmp_path / n) for n in ("events", "rejects", "ck")]
+    start = lambda: stream_events(spark, str(tmp_path / "in"), Source("ds", "env", "s", "auth"), *paths).awaitTermination(120)
+    start()
+    (tmp_path / "in" / "b.jsonl").write_text(line % ("u", 1) + line % ("other", 2) + line % ("u", 3))
+    start()
+    assert sorted(r.source_event_id for r in spark.read.parquet(paths[0]).collect()) == ["v1", "v2", "v3"]
+    assert [(r.row_number, r.error) for r in spark.read.parquet(paths[1]).collect()] == [(2, "another record of this id is already accepted")]
