@@ -98,7 +98,9 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b): all pairs of distinct values of `prints` (fp) that differ in 1 to `bits` bits."""
     keys = F.array(*[F.struct(F.lit(n).alias("set"), F.col("fp").bitwiseAND(F.lit(mask)).alias("shared"))
                      for n, mask in enumerate(_masks(bits))])
-    postings = (prints.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
+    # Few bytes become many rows here, so they are spread over tasks by number and not by size.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = (prints.select("fp").distinct().repartition(parts, "fp").select("fp", F.explode(keys).alias("key"))
                 .groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1))
     return postings.select("members").mapInArrow(partial(_links, bits), "a bigint, b bigint").distinct()
 
