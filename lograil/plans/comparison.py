@@ -343,7 +343,7 @@ def case_outcomes(spark, folder):
 SELECT candidate_id, array_to_string(list_filter([
   CASE WHEN login_us >= read_us THEN 'the read does not follow the login in time' END,
   CASE WHEN copy_id IS NOT NULL AND read_us >= copy_us THEN 'the copy does not follow the read in time' END,
-  CASE WHEN bytes_written % 3 = 0 THEN 'the copy's mount is another one' END,
+  CASE WHEN bytes_written % 3 = 0 THEN 'the copy cites another mount' END,
   CASE WHEN bytes_written % 4 = 0 THEN 'the decision does not fit the stages' END], lambda e: e IS NOT NULL), ',') AS errors FROM found""",
        extra=ALL_SQL, recursive=True)
 def revalidate(spark, folder):

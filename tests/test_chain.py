@@ -164,6 +164,6 @@ def test_forged_candidates_are_reported(spark):
     found = detect(events, labels(spark, "secret"))
     forged = found.withColumn("mount_id", F.lit("read")).withColumn("decision", F.lit("partial_observation"))
     errors = validate(forged, events, labels(spark, "secret"), Chain()).first().errors
-    assert errors == ["the copy's mount is another one", "the decision does not fit the stages"]
+    assert errors == ["the copy cites another mount", "the decision does not fit the stages"]
     assert candidates(events, labels(spark, "nothing")).count() == 0
     assert chain.RULE_VERSION == "login-read-copy/1"
