@@ -129,8 +129,9 @@ def _members(docs: DataFrame, prints: DataFrame, groups: DataFrame, chunk: int)
 def _differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, chunk: int) -> DataFrame:
     """Keys of groups in which some text differs from the representative's."""
     pieces = _chunks(_members(docs, prints, groups, chunk), chunk)
-    first = (pieces.where(F.col("doc_id").eqNullSafe(F.col("top.doc_id"))).groupBy(*KEY, "at")
-             .agg(F.first("piece").alias("model")))
+    # Stored, so that both sides of the join come from plain exchanges and a hot group can be split.
+    first = durable(pieces.where(F.col("doc_id").eqNullSafe(F.col("top.doc_id"))).groupBy(*KEY, "at")
+                    .agg(F.first("piece").alias("model")))
     return (pieces.join(first, [*KEY, "at"], "left")
             .groupBy(*KEY).agg(F.bool_and(F.col("piece").eqNullSafe(F.col("model"))).alias("equal"))
             .where(~F.col("equal")).select(*KEY))
