@@ -180,5 +180,7 @@ def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     joined = keyed.join(build, same(keyed, build, "doc_id", "text_sha256"), "left").select(
         "doc", "stay", keyed["doc_id"].alias("k1"), keyed["text_sha256"].alias("k2"))
     clear = joined.where(F.col("stay").isNull()).select("doc.*")
+    if changed.where(F.col("stay") > 0).isEmpty():
+        return clear
     once = joined.where(F.col("stay") > 0).groupBy("k1", "k2").agg(F.first("doc").alias("doc")).select("doc.*")
     return clear.union(once)
