@@ -34,8 +34,8 @@ START = CLASSES - 1
 @dataclass(frozen=True)
 class Sampling:
     strength: float = 1.0       # of every restaurant
-    rounds: int = 2             # passes over all words before the averaged one
-    sweeps: int = 3             # in each pass
+    rounds: int = 1             # passes over all words before the averaged one
+    sweeps: int = 4             # in each pass
     samples: int = 3            # sweeps that are averaged
     moves: int = 16             # parts into which a sweep divides a dish's customers
     exact: int = 64             # up to so many customers the odds of sitting alone come from exact numbers
@@ -287,14 +287,48 @@ def _asked(found: dict[int, set]):
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(totals: Totals, strength: float, docs: pa.Table, answers: pa.Table) -> pa.Table:
+# A word's seating in few bytes: the parent's tables, then for each context with customers its
+# number, customers and tables; tables are sums over samples. Wide entries hold large numbers.
+_NARROW = np.dtype([("context", "u1"), ("customers", "u1"), ("tables", "u1")])
+_WIDE = np.dtype([("context", "u1"), ("customers", "<u8"), ("tables", "<u8")])
+
+
+def _packed(counts: np.ndarray, tables: np.ndarray, parents: np.ndarray) -> list[bytes]:
+    word, context = np.nonzero(counts)
+    ends = np.searchsorted(word, np.arange(len(counts) + 1))
+    entries = {kind: np.empty(len(word), kind) for kind in (_NARROW, _WIDE)}
+    for rows in entries.values():
+        with np.errstate(over="ignore"):
+            rows["context"], rows["customers"], rows["tables"] = context, counts[word, context], tables[word, context]
+    wide = np.maximum(counts.max(axis=1, initial=0), tables.max(axis=1, initial=0)) > 255
+    heads = parents.astype("<u8")
+    return [bytes([w]) + h.tobytes() + entries[_WIDE if w else _NARROW][a:b].tobytes() for w, h, a, b in zip(wide.tolist(), heads, ends, ends[1:])]
+
+
+def _unpacked(seats: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Customers, tables and the parent's tables of a list of packed words."""
+    counts, tables = np.zeros((len(seats), CLASSES), np.int64), np.zeros((len(seats), CLASSES), np.int64)
+    parents = np.frombuffer(b"".join([x[1:9] for x in seats]), "<u8").astype(np.int64)
+    wide = np.frombuffer(b"".join([x[:1] for x in seats]), np.uint8)
+    for flag, kind in ((0, _NARROW), (1, _WIDE)):
+        rows = np.flatnonzero(wide == flag)
+        parts = [seats[i][9:] for i in rows]
+        entries = np.frombuffer(b"".join(parts), kind)
+        word = np.repeat(rows, [len(x) // kind.itemsize for x in parts])
+        counts[word, entries["context"]], tables[word, entries["context"]] = entries["customers"], entries["tables"]
+    return counts, tables, parents
+
+
+def _score(totals: Totals, sampling: Sampling, docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Scores of a block's documents from the block's words; a word without an answer is unknown."""
-    n = answers.num_rows
+    n, strength = answers.num_rows, sampling.strength
     number = dict(zip(answers["token"].to_pylist(), range(n)))
-    seats = np.zeros((n + 1, CLASSES), np.float32)
-    seats[:n] = np.frombuffer(b"".join(answers["seats"].to_pylist()), "<f4").reshape(n, CLASSES)
-    known = np.append(answers["n"].to_numpy(), 0)
-    p1 = _parent(np.append(answers["rest"].to_numpy(), 0.0), np.zeros(n + 1), totals, strength)
+    counts, tables, parents = _unpacked([*answers["seats"].to_pylist(), *_packed(*np.zeros((2, 1, CLASSES), np.int64), np.zeros(1))])
+    seats = (counts - totals.discount / sampling.samples * tables).astype(np.float32)
+    known = counts.sum(axis=1)
+    p1 = _parent(tables.sum(axis=1) / sampling.samples, parents / sampling.samples, totals, strength)
+    # The last row is the unknown word's: no customers anywhere.
+    del counts, tables
     base = np.log10((known + 1) / (totals.tokens + totals.types + 1))
     more = strength + totals.discount * np.array(totals.tables)
     size = strength + np.array(totals.customers)
@@ -316,18 +350,17 @@ def score(docs: DataFrame, seated: DataFrame, totals: Totals, sampling: Sampling
     blocks = max(16, math.ceil(size / sampling.block))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", "text").repartition("block")
     asked = dealt.mapInArrow(_words, "block int, token binary")
-    seats = F.transform(F.arrays_zip("counts", "tables"), lambda x: (x["counts"] - totals.discount * x["tables"]).cast("float"))
-    packed = F.arrow_udf(_packed, "binary")(seats)
-    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)
-    rest = F.aggregate("tables", F.lit(0.0), lambda a, t: a + t) - totals.parent_discount * F.col("parent")
-    model = seated.select("token", packed.alias("seats"), total.alias("n"), rest.alias("rest"))
-    answers = asked.join(model, "token").select("block", "token", "seats", "n", "rest")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(partial(_score, totals, sampling.strength), SCORES)
-
-
-def _packed(seats: pa.Array) -> pa.Array:
-    values = seats.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, CLASSES)
-    return pa.array([row.tobytes() for row in values], pa.binary())
+    model = seated.mapInArrow(partial(_pack_rows, sampling.samples), "token binary, seats binary")
+    answers = asked.join(model, "token").select("block", "token", "seats")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(partial(_score, totals, sampling), SCORES)
+
+
+def _pack_rows(samples: int, batches):
+    for rows in _blocks(batches):
+        sums = np.rint(_fixed(rows["tables"], CLASSES) * samples).astype(np.int64)
+        parents = np.rint(rows["parent"].to_numpy() * samples).astype(np.int64)
+        seats = _packed(_fixed(rows["counts"], CLASSES), sums, parents)
+        yield pa.record_batch([rows["token"].combine_chunks(), pa.array(seats, pa.binary())], ["token", "seats"])
 
 
 def language_model_scores(docs: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:

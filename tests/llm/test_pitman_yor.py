@@ -96,3 +96,12 @@ def test_sweeps_settle_where_sequential_seating_does():
 
 def test_empty_table(spark):
     assert py.language_model_scores(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_packed_seats_come_back():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 3, (50, py.CLASSES)) * rng.choice([1, 1, 1, 200, 10**12], (50, 1))
+    counts[7] = 0
+    tables = np.minimum(counts, 5)
+    got = py._unpacked(py._packed(counts, tables, tables.sum(axis=1)))
+    assert all(np.array_equal(a, b) for a, b in zip(got, (counts, tables, tables.sum(axis=1))))
