@@ -121,11 +121,11 @@ def episodes(rows: DataFrame, keys: list[str] = ACTOR) -> DataFrame:
 def _chained(rows: DataFrame, keys: list[str]) -> DataFrame:
     start = F.struct(F.col("login_us").alias("at"), F.col("login_id").alias("id"))
     starts = rows.select(*keys, F.col("login_us").alias("end_us"), start.alias("next"))
-    # `hop` jumps 2^k kept candidates ahead after round k, `reached` holds the first 2^k of each chain.
+    # `hop` jumps 2^k kept candidates ahead after round k, `reached` holds the first 2^k behind each head.
     hop = durable(nearest(rows.select(*keys, "login_id", "end_us"), starts, keys, "end_us", ["next"], forward=True)
                   .where("next is not null").select(*keys, F.col("login_id").alias("source"),
                                                     F.col("next.id").alias("target")))
-    reached = durable(rows.groupBy(*keys).agg(F.min(start).alias("first")).select(*keys, F.col("first.id").alias("login_id")))
+    reached = durable(_heads(rows, keys))
     known = reached.count()
     while True:
         ahead = reached.withColumnRenamed("login_id", "source").join(hop, [*keys, "source"]).select(
@@ -140,6 +140,17 @@ def _chained(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(reached, [*keys, "login_id"], "left_semi").select(*rows.columns)
 
 
+def _heads(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates that begin after the end of every earlier one of their key: surely kept.
+
+    They cut a key's chain into short pieces that are followed side by side.
+    """
+    ends = rows.select(*keys, "login_us", F.col("end_us").alias("until"))
+    first = rows.groupBy(*keys, "login_us").agg(F.min("login_id").alias("login_id"))
+    return (nearest(first, ends, keys, "login_us", ["until"]).where("until is null or until < login_us")
+            .select(*keys, "login_id"))
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """Stage count, structural risk, decision, evidence and candidate id of each episode."""
     complete = F.col("copy_id").isNotNull()
