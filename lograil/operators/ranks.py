@@ -2,6 +2,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lograil.session import durable
+
 
 def value_ranks(values: DataFrame, column: str, weight: Column | None = None, ranges: int | None = None) -> DataFrame:
     """(value, below, upto, total) per distinct value, counting rows or weights.
@@ -16,7 +18,8 @@ def value_ranks(values: DataFrame, column: str, weight: Column | None = None, ra
         F.sum(weight if weight is not None else F.lit(1)).cast("bigint").alias("n"))
     cuts = values.agg(F.array_distinct(F.percentile_approx(column, [i / ranges for i in range(1, ranges)])))
     part = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col("value"))), F.lit(0))
-    placed = counts.withColumn("_cuts", cuts.scalar()).withColumn("_part", part).drop("_cuts")
+    # Stored, since the counts before each range and the ranks inside it both start from it.
+    placed = durable(counts.withColumn("_cuts", cuts.scalar()).withColumn("_part", part).drop("_cuts"))
     totals = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
     # At most ranges + 1 rows take part in this window.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
