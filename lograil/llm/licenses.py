@@ -24,29 +24,36 @@ from lograil.llm.common import whole
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+
+
+def _joined(name: str, digit: int) -> str:
+    """Words that a short name begins with a version behind it: apart from it or, as in gplv3, joined to it."""
+    return f"{name} {name}{digit} {name}v {name}v{digit} {name}version"
+
+
 # Label: its names as patterns over words, and keywords, one of which any of its names contains.
 NAMES = {
     "mit": ("(?:the )?mit(?: x11| expat)?", "mit"),
     "mit-0": ("mit (?:0|no attribution|zero)", "mit"),
     "apache-1.1": ("apache (?:software )?(?:license )?(?:version |v ?)?1 1", "apache"),
     "apache-2": ("apache (?:software )?(?:license )?(?:version |v ?)?2(?: 0)?", "apache"),
-    "gpl-2": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: only)?", "gpl general"),
-    "gpl-2-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: or (?:any )?later)", "gpl general"),
-    "gpl-3": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: only)?", "gpl general"),
-    "gpl-3-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: or (?:any )?later)", "gpl general"),
-    "lgpl-2.1": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?2 1", "lgpl lesser"),
-    "lgpl-3": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?3(?: 0)?", "lgpl lesser"),
-    "agpl-3": ("(?:gnu )?(?:agpl|affero general public license) ?(?:version |v ?)?3(?: 0)?", "agpl affero"),
+    "gpl-2": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: only)?", "general " + _joined("gpl", 2)),
+    "gpl-2-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?(?: or (?:any )?later)", "general " + _joined("gpl", 2)),
+    "gpl-3": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: only)?", "general " + _joined("gpl", 3)),
+    "gpl-3-or-later": ("(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?(?: or (?:any )?later)", "general " + _joined("gpl", 3)),
+    "lgpl-2.1": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?2 1", "lesser " + _joined("lgpl", 2)),
+    "lgpl-3": ("(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?3(?: 0)?", "lesser " + _joined("lgpl", 3)),
+    "agpl-3": ("(?:gnu )?(?:agpl|affero general public license) ?(?:version |v ?)?3(?: 0)?", "affero " + _joined("agpl", 3)),
     "gfdl": ("(?:gnu )?(?:gfdl|free documentation license)(?: 1 [0-3])?", "gfdl documentation"),
     "0bsd": ("0bsd|zero clause bsd", "0bsd bsd"),
     "bsd-2": ("bsd (?:2 clause|simplified)|2 clause bsd|freebsd", "bsd freebsd"),
     "bsd-3": ("bsd (?:3 clause|new|revised|modified)|(?:3 clause|new|modified) bsd", "bsd"),
     "bsd-4": ("bsd (?:4 clause|original)|(?:4 clause|original) bsd", "bsd"),
     "isc": ("isc", "isc"),
-    "mpl-1.1": ("(?:mozilla public license|mpl) ?(?:version |v ?)?1 1", "mozilla mpl"),
-    "mpl-2": ("(?:mozilla public license|mpl) ?(?:version |v ?)?2(?: 0)?", "mozilla mpl"),
-    "epl-1": ("(?:eclipse public license|epl) ?(?:version |v ?)?1(?: 0)?", "eclipse epl"),
-    "epl-2": ("(?:eclipse public license|epl) ?(?:version |v ?)?2(?: 0)?", "eclipse epl"),
+    "mpl-1.1": ("(?:mozilla public license|mpl) ?(?:version |v ?)?1 1", "mozilla " + _joined("mpl", 1)),
+    "mpl-2": ("(?:mozilla public license|mpl) ?(?:version |v ?)?2(?: 0)?", "mozilla " + _joined("mpl", 2)),
+    "epl-1": ("(?:eclipse public license|epl) ?(?:version |v ?)?1(?: 0)?", "eclipse " + _joined("epl", 1)),
+    "epl-2": ("(?:eclipse public license|epl) ?(?:version |v ?)?2(?: 0)?", "eclipse " + _joined("epl", 2)),
     "eupl": ("(?:european union public licen[cs]e|eupl)(?: (?:version |v ?)?1 [12])?", "european eupl"),
     "cddl": ("(?:common development and distribution license|cddl)(?: 1 [01])?", "development cddl"),
     "cpl": ("(?:common public license|cpl)(?: 1 0)?", "common cpl"),
