@@ -1,21 +1,24 @@
 """A hierarchical Pitman-Yor language model over all training documents, and scores of all documents.
 
-A token's context is the class of the token before it: its last byte modulo 16, or the beginning of
-the text. Each context is a restaurant of the Chinese restaurant process; all share the unigram
-restaurant as parent, whose own parent is uniform over the vocabulary and one unknown token. Customers
-are the corpus' counts; the seating (how many tables serve a word in a restaurant) is sampled by Gibbs:
-a sweep takes customers from their tables and seats them again, for all words at once in numpy. Words
-are dealt over tasks; only the restaurants' totals, a few numbers, pass between rounds. The last sweeps
-are averaged, and predictive probabilities follow from the averages.
-
-Counting sees every training token. To score, documents are dealt into blocks of bounded size; a block
-asks for its distinct words only, so what is shuffled is a block's vocabulary and not its tokens.
+A token's context is the token before it, or the beginning of the text: as many restaurants of the
+Chinese restaurant process as there are words. The parent of a context is the restaurant of its class
+(last byte modulo 16, or the beginning); all classes share the unigram restaurant, whose own parent is
+uniform over the vocabulary and one unknown token. Customers of a context are the corpus' counts, those
+of a parent the tables of its children; the seating (how many tables serve a word in a restaurant) is
+sampled by Gibbs: a sweep takes customers from their tables and seats them again, in numpy. Pairs seen
+once sit alone and are never moved. What a pair needs of its context and word is frozen inside a pass
+and joined by shuffle before it. The last sweeps are averaged, and predictive probabilities follow from
+the averages.
+
+Counting sees every training token. Tokens go by numbers: a hash of 58 bits and their class. To score,
+documents are dealt into blocks of bounded size; a block asks for its distinct words and pairs only.
 
 Defined cases: a null text is empty and has the closing token alone; a null id is a training row;
 repeated rows count as often as they occur; without training rows every token has probability 1.
 """
+import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache, partial
 
 import numpy as np
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from lograil.llm.common import fold, whole
 from lograil.session import durable
 
-END = b""           # no word is empty
+END = b""           # no word is empty; as a context it stands for the beginning
+WORD = -1           # in place of a context: the row is of a word
 CLASSES = 17        # sixteen classes of last bytes, and the beginning
 START = CLASSES - 1
 
@@ -39,7 +43,7 @@ class Sampling:
     samples: int = 3            # sweeps that are averaged
     moves: int = 16             # parts into which a sweep divides a dish's customers
     exact: int = 64             # up to so many customers the odds of sitting alone come from exact numbers
-    vocabulary: int = 400_000   # words that a counting task gathers before it passes them on
+    pairs: int = 2_000_000      # pairs that a task gathers before it passes them on
     block: int = 16 << 20       # bytes of text in a scoring block
     seed: int = 11
 
@@ -61,57 +65,86 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def number_of(token: bytes) -> int:
+    """A positive number for a token; its last five bits are the class the token is as a context."""
+    digest = int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little") >> 1
+    return digest & ~31 | (token[-1] & 15 if token else START)
+
+
 class _Vocabulary(dict):
-    """Token to number; `classes` has the class a token is as a context."""
+    """Token to place in `numbers`, in order of appearance; the closing token is the first."""
 
     def __init__(self):
         super().__init__()
-        self.classes = []
+        self.numbers = []
+        self[END]
 
     def __missing__(self, token):
-        self[token] = number = len(self)
-        self.classes.append(token[-1] & 15 if token else START)
-        return number
+        self[token] = place = len(self)
+        self.numbers.append(number_of(token))
+        return place
+
+    def pairs(self, text: bytes) -> np.ndarray:
+        """Places of the token before and of the token, in one key for each token."""
+        words = tokens_of(text)
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.concatenate([[0], places[:-1]]) << 32 | places
 
 
-def _contexts(classes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[START], classes[:-1]])
+def _emit(vocabulary: _Vocabulary, keys: np.ndarray, counts: np.ndarray):
+    """Pairs, then words with their tokens, as (token, prev, word, n)."""
+    numbers, tokens = np.array(vocabulary.numbers), list(vocabulary)
+    known = np.bincount(keys & 0xFFFFFFFF, counts, len(numbers)).astype(np.int64)
+    names = ["token", "prev", "word", "n"]
+    for at in range(0, len(keys), 1 << 16):
+        part, n = keys[at:at + (1 << 16)], counts[at:at + (1 << 16)]
+        yield pa.record_batch([pa.nulls(len(part), pa.binary()), pa.array(numbers[part >> 32]), pa.array(numbers[part & 0xFFFFFFFF]), pa.array(n)], names)
+    for at in range(0, len(tokens) if len(keys) else 0, 1 << 16):
+        part = tokens[at:at + (1 << 16)]
+        yield pa.record_batch([pa.array(part, pa.binary()), pa.array([WORD] * len(part), pa.int64()), pa.array(numbers[at:at + len(part)]),
+                               pa.array(known[at:at + len(part)])], names)
 
 
-def _emit(vocabulary: _Vocabulary, counts: np.ndarray):
-    names = list(vocabulary)
-    for at in range(0, len(names), 1 << 16):
-        part = counts[at:min(at + (1 << 16), len(names))]
-        yield pa.record_batch([pa.array(names[at:at + len(part)], pa.binary())] + [pa.array(np.ascontiguousarray(part[:, k])) for k in range(CLASSES)],
-                              ["token"] + [f"c{k}" for k in range(CLASSES)])
+def _merged(keys: np.ndarray, counts: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, n = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (keys[:0], counts[:0])
+    both, inverse = np.unique(np.concatenate([keys, found]), return_inverse=True)
+    return both, np.bincount(inverse, np.concatenate([counts, n]), len(both)).astype(np.int64)
 
 
 def _count(limit: int, batches):
-    vocabulary, counts = _Vocabulary(), np.zeros((1 << 12, CLASSES), np.int64)
+    vocabulary, keys, counts, fresh, held = _Vocabulary(), np.empty(0, np.int64), np.empty(0, np.int64), [], 0
     for batch in batches:
-        keys = []
         for text in batch.column("text").to_pylist():
-            words = tokens_of(text)
-            ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-            classes = np.fromiter(map(vocabulary.classes.__getitem__, ids), np.int64, len(words))
-            keys.append(ids * CLASSES + _contexts(classes))
-        if len(vocabulary) > len(counts):
-            counts = np.concatenate([counts, np.zeros((max(len(vocabulary), len(counts)), CLASSES), np.int64)])
-        if keys:
-            found, n = np.unique(np.concatenate(keys), return_counts=True)
-            counts.reshape(-1)[found] += n
-        if len(vocabulary) > limit:
-            yield from _emit(vocabulary, counts)
-            vocabulary, counts = _Vocabulary(), np.zeros((1 << 12, CLASSES), np.int64)
-    yield from _emit(vocabulary, counts)
+            fresh.append(vocabulary.pairs(text))
+            held += len(fresh[-1])
+            if held > limit:
+                keys, counts = _merged(keys, counts, fresh)
+                fresh, held = [], 0
+                if len(keys) > limit:
+                    yield from _emit(vocabulary, keys, counts)
+                    vocabulary, keys, counts = _Vocabulary(), keys[:0], counts[:0]
+    yield from _emit(vocabulary, *_merged(keys, counts, fresh))
+
+
+def count_pairs(docs: DataFrame, sampling: Sampling = Sampling()) -> tuple[DataFrame, DataFrame]:
+    """Words (token, word, known) and pairs (prev, word, customers) of all rows of `docs` (text); stored."""
+    found = docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(
+        partial(_count, sampling.pairs), "token binary, prev bigint, word bigint, n bigint")
+    stored = durable(found.groupBy("token", "prev", "word").agg(F.sum("n").alias("n")))
+    return (stored.where(F.col("prev") == WORD).select("token", "word", F.col("n").alias("known")),
+            stored.where(F.col("prev") != WORD).select("prev", "word", F.col("n").alias("customers")))
+
+
+def by_class(words: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
+    """token, word, known, counts: sums of a column of the pairs over the contexts of each class; stored."""
+    kind = F.col("prev").bitwiseAND(F.lit(31))
+    sums = pairs.groupBy("word").agg(*[F.sum(F.when(kind == k, F.col(value)).otherwise(0)).cast("bigint").alias(f"c{k}") for k in range(CLASSES)])
+    return durable(words.join(sums, "word").select("token", "word", "known", F.array(*[f"c{k}" for k in range(CLASSES)]).alias("counts")))
 
 
 def count(docs: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
-    """token, counts (an entry for each context) over all rows of `docs` (text); stored."""
-    columns = [f"c{k}" for k in range(CLASSES)]
-    found = docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(
-        partial(_count, sampling.vocabulary), "token binary, " + ", ".join(f"{c} bigint" for c in columns))
-    return durable(found.groupBy("token").agg(*[F.sum(c).alias(c) for c in columns]).select("token", F.array(*columns).alias("counts")))
+    """token, word, known, counts (an entry for each class of contexts) over all rows of `docs` (text); stored."""
+    return by_class(*count_pairs(docs, sampling), "customers")
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -237,14 +270,16 @@ def _round(totals: Totals, sampling: Sampling, number: int, batches):
     for rows in _blocks(batches):
         counts = _fixed(rows["counts"], CLASSES).astype(np.int64)
         tables, parent = _fixed(rows["tables"], CLASSES), rows["parent"].to_numpy()
-        tables, parent = tables.astype(np.int64), parent.astype(np.int64)
+        # Customers may have changed since the tables were counted.
+        tables = np.clip(tables.astype(np.int64), counts > 0, counts)
+        parent = np.clip(parent.astype(np.int64), 1, np.maximum(tables.sum(axis=1), 1))
         rng = np.random.default_rng([sampling.seed, number, len(counts), int(counts.sum()) & 0x7FFFFFFF])
         kept = []
         for t, p in _seat(counts, tables, parent, totals, sampling, rng, sampling.samples if last else sampling.sweeps):
             kept = [*kept, (t.astype(np.float64), p.astype(np.float64))] if last else [(t, p)]
         tables, parent = sum(t for t, _ in kept) / len(kept), sum(p for _, p in kept) / len(kept)
-        yield pa.record_batch([rows["token"].combine_chunks(), rows["counts"].combine_chunks(), _lists(tables, pa.float64()), pa.array(parent, pa.float64())],
-                              ["token", "counts", "tables", "parent"])
+        yield pa.record_batch([rows[c].combine_chunks() for c in ("token", "word", "known", "counts")] + [_lists(tables, pa.float64()), pa.array(parent, pa.float64())],
+                              ["token", "word", "known", "counts", "tables", "parent"])
 
 
 def _totals(seated: DataFrame, before: Totals) -> Totals:
@@ -253,35 +288,107 @@ def _totals(seated: DataFrame, before: Totals) -> Totals:
     return Totals(before.tokens, before.types, before.customers, tables, sum(tables), float(row[CLASSES] or 0), before.discount, before.parent_discount)
 
 
+SEATED = "token binary, word bigint, known bigint, counts array<bigint>, tables array<double>, parent double"
+
+
+def _guess(customers):
+    return F.when(customers > 0, F.greatest(F.floor(F.pow(customers, F.lit(0.8))), F.lit(1))).otherwise(0).cast("double")
+
+
+def _begun(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("tables", F.transform("counts", _guess)).withColumn("parent", F.lit(1.0))
+
+
+def _passed(seated: DataFrame, totals: Totals, sampling: Sampling, number: int) -> tuple[DataFrame, Totals]:
+    seated = durable(seated.mapInArrow(partial(_round, totals, sampling, number), SEATED))
+    return seated, _totals(seated, totals)
+
+
 def seat(counts: DataFrame, sampling: Sampling = Sampling()) -> tuple[DataFrame, Totals]:
-    """token, counts, tables, parent after sampling (the averages of the last pass; stored), and the totals."""
+    """token, word, known, counts, tables, parent after sampling (the averages of the last pass; stored), and the totals."""
     totals = first_totals(counts)
-    guess = F.transform("counts", lambda c: F.when(c > 0, F.greatest(F.floor(F.pow(c, F.lit(0.8))), F.lit(1))).otherwise(0).cast("double"))
-    seated = counts.withColumn("tables", guess).withColumn("parent", F.lit(1.0))
+    seated = _begun(counts)
     for number in range(sampling.rounds + 1):
-        seated = durable(seated.mapInArrow(partial(_round, totals, sampling, number), "token binary, counts array<bigint>, tables array<double>, parent double"))
-        totals = _totals(seated, totals)
+        seated, totals = _passed(seated, totals, sampling, number)
     return seated, totals
 
 
-def _words(batches):
-    """Distinct tokens of each block, as (block, token); a task's partition holds few blocks."""
-    found: dict[int, set] = {}
-    for batch in batches:
-        for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-            found.setdefault(block, {END}).update(text.lower().split())
-        if sum(map(len, found.values())) > 1_500_000:
-            yield from _asked(found)
-            found = {}
-    yield from _asked(found)
+def _class_probability(totals: Totals, strength: float):
+    """Of column `word`'s row of class restaurants: its probability in the class of `prev`."""
+    kind = F.col("prev").bitwiseAND(F.lit(31)).cast("int")
+    of = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), kind)
+    uniform = (strength + totals.parent_discount * totals.parent_tables) / (totals.types + 1)
+    p1 = (F.aggregate("class_tables", F.lit(0.0), lambda a, x: a + x) - totals.parent_discount * F.col("parent") + uniform) / (strength + totals.parents)
+    more = of([strength + totals.discount * x for x in totals.tables])
+    return (F.get("class_counts", kind) - totals.discount * F.get("class_tables", kind) + more * p1) / of([strength + x for x in totals.customers])
+
 
+def _seat_pairs(discount: float, sampling: Sampling, number: int, batches):
+    """One pass over pairs with two customers or more, given the weight of a new table."""
+    last = number == sampling.rounds
+    for rows in _blocks(batches):
+        customers, tables, odds = (rows[c].to_numpy() for c in ("customers", "tables", "odds"))
+        rng = np.random.default_rng([sampling.seed, number, len(customers), int(rows["word"][0].as_py()) & 0x7FFFFFFF, int(customers.sum()) & 0x7FFFFFFF])
+        tables, kept = np.clip(tables.astype(np.int64), 1, customers), []
+        for _ in range(sampling.samples if last else sampling.sweeps):
+            tables = sweep(rng, customers, tables, odds, discount, sampling)
+            kept = [*kept, tables.astype(np.float64)] if last else [tables.astype(np.float64)]
+        yield pa.record_batch([rows["prev"].combine_chunks(), rows["word"].combine_chunks(), rows["customers"].combine_chunks(), pa.array(sum(kept) / len(kept))],
+                              ["prev", "word", "customers", "tables"])
+
+
+def _context_tables(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("prev").agg(F.sum("tables").alias("served"))
+
+
+def seat_pairs(words: DataFrame, pairs: DataFrame, sampling: Sampling = Sampling()) -> tuple[DataFrame, DataFrame, Totals, float]:
+    """Pairs (prev, word, customers, tables) and class restaurants (as of `seat`) after sampling, their totals, and the contexts' discount."""
+    ones, twos = pairs.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
+    discount = _discount(ones, twos)
+    alone_rows = pairs.where("customers = 1").withColumn("tables", F.lit(1.0))
+    moved = pairs.where("customers > 1").withColumn("tables", _guess(F.col("customers")))
+    state, totals = None, None
+    for number in range(sampling.rounds + 1):
+        everyone = alone_rows.unionByName(moved)
+        counts = by_class(words, everyone.withColumn("tables", F.round("tables")), "tables")
+        first = first_totals(counts)
+        if state is None:
+            before, totals = _begun(counts), first
+        else:
+            before = counts.join(state.select("word", "tables", "parent"), "word").select("token", "word", "known", "counts", "tables", "parent")
+            totals = replace(totals, tokens=first.tokens, customers=first.customers)
+        state, totals = _passed(before, totals, sampling, number)
+        weights = state.select("word", F.col("counts").alias("class_counts"), F.col("tables").alias("class_tables"), "parent")
+        ready = moved.join(weights, "word").select("prev", "word", "customers", "tables", _class_probability(totals, sampling.strength).alias("p"))
+        ready = ready.join(_context_tables(everyone), "prev").select("prev", "word", "customers", "tables", ((sampling.strength + discount * F.col("served")) * F.col("p")).alias("odds"))
+        moved = durable(ready.mapInArrow(partial(_seat_pairs, discount, sampling, number), "prev bigint, word bigint, customers bigint, tables double"))
+    return alone_rows.unionByName(moved), state, totals, discount
+
+
+def _asked(batches, limit: int):
+    """Distinct words and pairs of each block, as (block, prev, word); a task's partition holds few blocks."""
+    vocabulary, found, held = _Vocabulary(), {}, 0
+
+    def passed():
+        numbers = np.array(vocabulary.numbers)
+        for block, keys in found.items():
+            keys = np.unique(np.concatenate(keys))
+            words = np.union1d([0], keys & 0xFFFFFFFF)
+            prev = np.concatenate([np.full(len(words), WORD), numbers[keys >> 32]])
+            word = np.concatenate([numbers[words], numbers[keys & 0xFFFFFFFF]])
+            for at in range(0, len(word), 1 << 16):
+                part = word[at:at + (1 << 16)]
+                yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(prev[at:at + (1 << 16)]), pa.array(part)], ["block", "prev", "word"])
 
-def _asked(found: dict[int, set]):
-    for block, words in found.items():
-        words = list(words)
-        for at in range(0, len(words), 1 << 16):
-            part = words[at:at + (1 << 16)]
-            yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "token"])
+    for batch in batches:
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
+            keys = np.unique(vocabulary.pairs(text))
+            found.setdefault(block, []).append(keys)
+            held += len(keys)
+        if held > 2 * limit:
+            yield from passed()
+            vocabulary, found, held = _Vocabulary(), {}, 0
+    yield from passed()
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -319,40 +426,57 @@ def _unpacked(seats: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return counts, tables, parents
 
 
-def _score(totals: Totals, sampling: Sampling, docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Scores of a block's documents from the block's words; a word without an answer is unknown."""
-    n, strength = answers.num_rows, sampling.strength
-    number = dict(zip(answers["token"].to_pylist(), range(n)))
-    counts, tables, parents = _unpacked([*answers["seats"].to_pylist(), *_packed(*np.zeros((2, 1, CLASSES), np.int64), np.zeros(1))])
-    seats = (counts - totals.discount / sampling.samples * tables).astype(np.float32)
-    known = counts.sum(axis=1)
-    p1 = _parent(tables.sum(axis=1) / sampling.samples, parents / sampling.samples, totals, strength)
+def _score(totals: Totals, tokens: int, discount: float, sampling: Sampling, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Scores of a block's documents from the block's words and pairs; a word without an answer is unknown."""
+    strength, prev = sampling.strength, answers["prev"].to_numpy()
+    rows = answers.filter(pa.array(prev == WORD))
+    numbers, at = np.unique(rows["word"].to_numpy(), return_index=True)
+    rows, n = rows.take(pa.array(at)), len(numbers)
     # The last row is the unknown word's: no customers anywhere.
+    counts, tables, parents = _unpacked([*rows["seats"].to_pylist(), *_packed(*np.zeros((2, 1, CLASSES), np.int64), np.zeros(1))])
+    p1 = _parent(tables.sum(axis=1) / sampling.samples, parents / sampling.samples, totals, strength)
+    more, size = strength + totals.discount * np.array(totals.tables), strength + np.array(totals.customers)
+    classes = ((counts - totals.discount * tables / sampling.samples + more * p1[:, None]) / size).astype(np.float32)
     del counts, tables
-    base = np.log10((known + 1) / (totals.tokens + totals.types + 1))
-    more = strength + totals.discount * np.array(totals.tables)
-    size = strength + np.array(totals.customers)
-    out = []
-    for doc_id, held_out, text in zip(docs["doc_id"].to_pylist(), docs["held_out"].to_pylist(), docs["text"].to_pylist()):
-        words = tokens_of(text)
-        ids = np.fromiter((number.get(w, n) for w in words), np.int64, len(words))
-        context = _contexts(np.fromiter((w[-1] & 15 if w else START for w in words), np.int64, len(words)))
-        p = (seats[ids, context] + more[context] * p1[ids]) / size[context]
-        out.append((doc_id, held_out, len(words), int((known[ids] > 0).sum()), totals.tokens, float(base[ids].sum()), float(np.log10(p).sum())))
+    known = np.append(rows["customers"].to_numpy(), 0)
+    served = np.append(rows["tables"].to_numpy(), 0.0)
+    base = np.log10((known + 1) / (tokens + totals.types + 1))
+    pairs = answers.filter(pa.array(prev != WORD))
+    keys = np.searchsorted(numbers, pairs["prev"].to_numpy()) * (n + 1) + np.searchsorted(numbers, pairs["word"].to_numpy())
+    keys, at = np.unique(keys, return_index=True)
+    seats = np.append((pairs["customers"].to_numpy() - discount * pairs["tables"].to_numpy())[at], 0.0)
+    keys = np.append(keys, (n + 1) ** 2)
+    vocabulary, out = _Vocabulary(), []
+    texts = [vocabulary.pairs(text) for text in docs["text"].to_pylist()]
+    of = np.array(vocabulary.numbers)
+    place = np.searchsorted(numbers, of)
+    place = np.where(np.append(numbers, -1)[place] == of, place, n)
+    for doc_id, held_out, both in zip(docs["doc_id"].to_pylist(), docs["held_out"].to_pylist(), texts):
+        context, ids = place[both >> 32], place[both & 0xFFFFFFFF]
+        wanted = context * (n + 1) + ids
+        seat_at = np.searchsorted(keys, wanted)
+        own = np.where(keys[seat_at] == wanted, seats[seat_at], 0.0)
+        p = (own + (strength + discount * served[context]) * classes[ids, of[both >> 32] & 31]) / (strength + known[context])
+        out.append((doc_id, held_out, len(ids), int((known[ids] > 0).sum()), tokens, float(base[ids].sum()), float(np.log10(p).sum())))
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     names = [x.split()[0] for x in SCORES.split(", ")]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)
 
 
-def score(docs: DataFrame, seated: DataFrame, totals: Totals, sampling: Sampling = Sampling()) -> DataFrame:
+def score(docs: DataFrame, pairs: DataFrame, seated: DataFrame, totals: Totals, discount: float, sampling: Sampling = Sampling()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs` (doc_id, held_out, text)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tokens = seated.agg(F.sum("known")).first()[0] or 0
     blocks = max(16, math.ceil(size / sampling.block))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", "text").repartition("block")
-    asked = dealt.mapInArrow(_words, "block int, token binary")
-    model = seated.mapInArrow(partial(_pack_rows, sampling.samples), "token binary, seats binary")
-    answers = asked.join(model, "token").select("block", "token", "seats")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(partial(_score, totals, sampling), SCORES)
+    asked = dealt.mapInArrow(partial(_asked, limit=sampling.pairs), "block int, prev bigint, word bigint")
+    # The closing token is no context; the beginning's row is kept under it, with as many customers.
+    served = _context_tables(pairs).withColumnRenamed("prev", "word")
+    words = seated.mapInArrow(partial(_pack_rows, sampling.samples), "word bigint, known bigint, seats binary").join(served, "word", "left")
+    model = (words.select(F.lit(WORD).cast("bigint").alias("prev"), "word", F.col("known").alias("customers"), F.coalesce("served", F.lit(0.0)).alias("tables"), "seats")
+             .unionByName(pairs.withColumn("seats", F.lit(None).cast("binary"))))
+    answers = asked.join(model, ["prev", "word"]).select("block", "prev", "word", "customers", "tables", "seats")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(partial(_score, totals, tokens, discount, sampling), SCORES)
 
 
 def _pack_rows(samples: int, batches):
@@ -360,12 +484,11 @@ def _pack_rows(samples: int, batches):
         sums = np.rint(_fixed(rows["tables"], CLASSES) * samples).astype(np.int64)
         parents = np.rint(rows["parent"].to_numpy() * samples).astype(np.int64)
         seats = _packed(_fixed(rows["counts"], CLASSES), sums, parents)
-        yield pa.record_batch([rows["token"].combine_chunks(), pa.array(seats, pa.binary())], ["token", "seats"])
+        yield pa.record_batch([rows["word"].combine_chunks(), rows["known"].combine_chunks(), pa.array(seats, pa.binary())], ["word", "known", "seats"])
 
 
 def language_model_scores(docs: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
     """Scores of all rows of `docs` (doc_id, text) under the model of those whose id leaves no rest 2 modulo 7."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold("doc_id", 7, 2).alias("held_out"), whole("text").cast("binary").alias("text"))
-    counts = count(rows.where(~F.col("held_out")).select(F.col("text")), sampling)
-    seated, totals = seat(counts, sampling)
-    return score(rows, seated, totals, sampling)
+    words, pairs = count_pairs(rows.where(~F.col("held_out")).select(F.col("text")), sampling)
+    return score(rows, *seat_pairs(words, pairs, sampling), sampling)

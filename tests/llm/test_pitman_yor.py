@@ -105,3 +105,41 @@ def test_packed_seats_come_back():
     tables = np.minimum(counts, 5)
     got = py._unpacked(py._packed(counts, tables, tables.sum(axis=1)))
     assert all(np.array_equal(a, b) for a, b in zip(got, (counts, tables, tables.sum(axis=1))))
+
+
+def test_contexts_are_words_and_probabilities_add_up_to_one(spark):
+    """'on' and 'in', 'x' and 'h' end alike: the class is the same, what follows is not."""
+    texts = ["on monday x one", "in winter h two"] * 40 + TEXTS
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = Counter()
+    for t in texts:
+        pairs.update(zip([b"", *tokens(t)[:-1]], tokens(t)))
+    words, counted = py.count_pairs(docs)
+    name = {r.word: bytes(r.token) for r in words.collect()}
+    assert {(name[r.prev], name[r.word]): r.customers for r in counted.collect()} == pairs
+    seated, classes, totals, discount = py.seat_pairs(words, counted)
+    rows = seated.collect()
+    assert len(rows) == len(pairs) > py.CLASSES and all(1 <= r.tables <= r.customers for r in rows)
+    got = py.score(spark.createDataFrame([(i, False, t) for i, t in enumerate([b"on monday", b"on winter", b"in winter", b"in monday"])],
+                                         "doc_id bigint, held_out boolean, text binary"), seated, classes, totals, discount).collect()
+    got = {r.doc_id: r.score for r in got}
+    assert got[0] > got[1] + 0.5 and got[2] > got[3] + 0.5
+    served = {r.word: r for r in classes.collect()}
+    order = list(served)
+    matrix = np.array([served[w].counts for w in order] + [[0] * py.CLASSES]), np.array([served[w].tables for w in order] + [[0.0] * py.CLASSES])
+    p1 = py._parent(matrix[1].sum(1), np.array([served[w].parent for w in order] + [0.0]), totals, 1.0)
+    below = (matrix[0] - totals.discount * matrix[1] + (1 + totals.discount * np.array(totals.tables)) * p1[:, None]) / (1 + np.array(totals.customers))
+    assert below.sum(0) == pytest.approx(np.ones(py.CLASSES))
+    probability = {}
+    for u in (b"on", b"in", b"the", b""):
+        k = py.number_of(u)
+        own = {r.word: r for r in rows if r.prev == k}
+        more, size = 1 + discount * sum(r.tables for r in own.values()), 1 + sum(r.customers for r in own.values())
+        for w, p in zip([*order, None], below[:, k & 31]):
+            c = (own[w].customers - discount * own[w].tables if w in own else 0) + more * p
+            probability[u, name.get(w)] = c / size
+        assert sum(p for (v, _), p in probability.items() if v == u) == pytest.approx(1)
+    whole = math.log10(probability[b"", b"on"] * probability[b"on", b"monday"])
+    assert got[0] - whole < 0 and got[0] - got[1] > math.log10(probability[b"on", b"monday"] / probability[b"on", b"winter"]) - 1
+    empty = py.score(spark.createDataFrame([(0, False, b"")], "doc_id bigint, held_out boolean, text binary"), seated, classes, totals, discount).first()
+    assert empty.score == pytest.approx(math.log10(probability[b"", b""]), abs=1e-5)
