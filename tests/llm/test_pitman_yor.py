@@ -143,3 +143,8 @@ def test_contexts_are_words_and_probabilities_add_up_to_one(spark):
     assert got[0] - whole < 0 and got[0] - got[1] > math.log10(probability[b"on", b"monday"] / probability[b"on", b"winter"]) - 1
     empty = py.score(spark.createDataFrame([(0, False, b"")], "doc_id bigint, held_out boolean, text binary"), seated, classes, totals, discount).first()
     assert empty.score == pytest.approx(math.log10(probability[b"", b""]), abs=1e-5)
+
+
+def test_two_passes_settle_before_the_averaged_one():
+    sampling = py.Sampling()
+    assert (sampling.rounds, sampling.sweeps, sampling.samples) == (2, 3, 3)
