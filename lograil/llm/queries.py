@@ -5,7 +5,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograil.llm import exact, licenses, packing, pieces, pitman_yor, simhash, toxicity, urls, vectors, warc
+from lograil.llm import (
+    conversations,
+    exact,
+    licenses,
+    packing,
+    pieces,
+    pitman_yor,
+    quality,
+    simhash,
+    spelling,
+    toxicity,
+    urls,
+    vectors,
+    warc,
+)
 from lograil.llm.common import table
 from lograil.session import shared_folder
 
@@ -107,3 +121,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "fingerprint", "component_id")
+
+
+@query
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                  table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))

@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n for n in range(1, 11) if sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1] == list(range(1, 11))
+    assert [n for n in range(1, 14) if sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1] == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
