@@ -359,22 +359,30 @@ def family_union(spark, folder):
 
 
 @query("""
-SELECT event_id + 2 AS row_number, CASE WHEN event_id % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS file_name,
+SELECT 1 + sum(CASE WHEN k % 7 = 0 THEN 3 ELSE 1 END) OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS row_number, CASE WHEN event_id % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS file_name,
   CASE WHEN error IS NULL THEN user_id || CASE WHEN k % 5 = 0 THEN ' "x", y' ELSE '' END END AS user_id,
-  CASE WHEN error IS NULL THEN device_id END AS device_id, CASE WHEN error IS NULL AND k % 3 <> 0 THEN action END AS action, error
-FROM (SELECT *, CASE WHEN k % 7 = 0 THEN 'CSV cell has an unclosed or stray quote' WHEN k % 11 = 0 THEN 'CSV column count mismatch' END AS error FROM obs)""")
+  CASE WHEN error IS NULL THEN device_id || CASE WHEN k % 7 = 0 THEN chr(10) || 'one,two,three' || chr(10) ELSE '' END END AS device_id,
+  CASE WHEN error IS NULL AND k % 3 <> 0 THEN action END AS action, error
+FROM (SELECT *, CASE WHEN k % 11 = 0 AND (k % 13 <> 0 OR k % 7 = 0) THEN 'the CSV record has another number of cells than its header'
+  WHEN k % 13 = 0 AND k % 7 <> 0 THEN 'a quoted CSV cell is not closed, or text follows its closing quote' END AS error FROM obs)""")
 def csv_records(spark, folder):
-    """CSV lines of two files whose columns stand in another order, with quoted cells, open quotes and misfits."""
-    k, one = F.col("k"), F.col("event_id") % 2 == 0
+    """Two files whose columns stand in another order, with cells over three lines whose middle line looks like a record,
+    quotes, text behind a closing quote and misfits; in splits of a thousand events that cut such cells."""
+    k, event, one = F.col("k"), F.col("event_id"), F.col("event_id") % 2 == 0
     user = F.when(k % 5 == 0, F.concat(F.lit('"'), "user_id", F.lit(' ""x"", y"'))).otherwise(F.col("user_id"))
-    device = F.when(k % 7 == 0, F.concat(F.lit('"'), "device_id")).otherwise(F.col("device_id"))
+    device = (F.when(k % 7 == 0, F.concat(F.lit('"'), "device_id", F.lit('\none,two,three\n"')))
+              .when(k % 13 == 0, F.concat(F.lit('"'), "device_id", F.lit('" x'))).otherwise(F.col("device_id")))
     action = F.when(k % 3 == 0, "").otherwise(F.col("action"))
     more = F.when(k % 11 == 0, ",more").otherwise("")
-    line = F.when(one, F.concat(user, F.lit(","), device, F.lit(","), action, more)).otherwise(F.concat(action, F.lit(","), user, more, F.lit(","), device))
-    rows = obs(spark, folder).select(F.when(one, "a.csv").otherwise("b.csv").alias("file_name"), (F.col("event_id") + 2).alias("row_number"), line.alias("line"))
-    names = rows.select("file_name").distinct().select("file_name", F.when(F.col("file_name") == "a.csv", F.split(F.lit("user_id,device_id,action"), ","))
-                                                       .otherwise(F.split(F.lit("action,user_id,device_id"), ",")).alias("names"))
-    return raw_cells(lines.csv_cells(rows, names)).select("row_number", "file_name", "user_id", "device_id", "action", F.col("read_error").alias("error"))
+    record = F.when(one, F.concat(user, F.lit(","), device, F.lit(","), action, more)).otherwise(F.concat(action, F.lit(","), user, more, F.lit(","), device))
+    name = F.when(one, "a.csv").otherwise("b.csv")
+    physical = obs(spark, folder).select(name.alias("file_name"), event, F.posexplode(F.split(record, "\n")).alias("part", "line"))
+    place = event * 4 + F.col("part") + 1
+    rows = physical.select("file_name", "line", (F.floor(place / 997)).alias("block"), place.alias("at"))
+    names = spark.createDataFrame([("a.csv", "user_id,device_id,action"), ("b.csv", "action,user_id,device_id")], "file_name string, line string")
+    rows = rows.unionByName(names.withColumn("block", F.lit(-1).cast("bigint")).withColumn("at", F.lit(-1).cast("bigint")))
+    cells = lines.csv_cells(lines.csv_records(rows), names.select("file_name", F.split("line", ",").alias("names")))
+    return raw_cells(cells).select("row_number", "file_name", "user_id", "device_id", "action", F.col("read_error").alias("error"))
 
 
 @query("""

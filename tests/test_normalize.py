@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from lograil.functions import identity, times
 from lograil.operators import normalize as norm
 from lograil.operators.normalize import Source
 from lograil.operators.intel import group_hits, validate_indicators
-from lograil.sources import alerts, contexts, indicators, sinks
+from lograil.sources import alerts, contexts, indicators, lines, sinks
 from lograil.sources.events import read_events_csv, read_events_jsonl
 from lograil.sources.lines import numbered_lines
 
@@ -74,7 +76,7 @@ def test_csv_keeps_other_rows(spark, tmp_path):
     events, rejects = read_events_csv(spark, str(tmp_path / "a.csv"), Source("ds", "env", "s", "auth"))
     assert [(e.app_id, e.source_record_number) for e in events.collect()] == [("env:app:a", 2)]
     assert sorted((r.row_number, r.error) for r in rejects.collect()) == [
-        (3, "CSV column count mismatch"), (4, "CSV column count mismatch"), (5, "login_failure requires app_id")]
+        (3, lines.MISFIT), (4, lines.MISFIT), (5, "login_failure requires app_id")]
     sinks.write_rejects(rejects, str(tmp_path / "quarantine"))
     assert spark.read.parquet(str(tmp_path / "quarantine")).count() == 3
     (tmp_path / "b.csv").write_text("a,a\n1,2\n")
@@ -165,11 +167,47 @@ def test_each_csv_file_has_its_own_header(spark, tmp_path):
 
 
 def test_a_broken_cell_is_never_an_event(spark, tmp_path):
-    rows = 'login_success,"a\nb",d,2026-01-01T09:00:00Z,u\nlogin_success,a,d,2026-01-01T09:00:00Z,u\nlogin_success,a"x,d,2026-01-01T09:00:00Z,u\n'
+    good = "login_success,a,d,2026-01-01T09:00:00Z,u\n"
+    rows = 'login_success,"a\nb",d,2026-01-01T09:00:00Z,u\n' + good + 'login_success,"a"x,d,2026-01-01T09:00:00Z,u\n' + good + 'login_success,"a,d\n' + good * 2
     (tmp_path / "a.csv").write_text("action,app_id,device_id,timestamp,user_id\n" + rows)
     events, rejects = read_events_csv(spark, str(tmp_path), Source("ds", "env", "s", "auth"))
-    assert events.count() == 1
-    assert sorted((r.row_number, r.error) for r in rejects.collect()) == [(n, "CSV cell has an unclosed or stray quote") for n in (2, 3, 5)]
+    assert sorted((e.source_record_number, e.app_id) for e in events.collect()) == [(3, "env:app:a%0Ab"), (4, "env:app:a"), (6, "env:app:a")]
+    assert sorted((r.row_number, r.error) for r in rejects.collect()) == [(n, lines.UNCLOSED) for n in (5, 9)]
+
+
+def csv_records_of(spark, path, size, limit=lines.LIMIT):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        return {r.row_number: (r.line, r.too_long) for r in lines.csv_records(lines.placed_lines(spark, path), limit).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("size", [40, 300, 10 ** 6])
+def test_records_over_line_breaks_and_splits(spark, tmp_path, size):
+    """The same records and line numbers as a sequential reader, wherever splits cut them."""
+    rng, path = random.Random(size), tmp_path / "a.csv"
+    rows = [["".join(rng.choice('ab",\n é') for _ in range(rng.choice([0, 1, 3, 8]))) for _ in range(3)] for _ in range(250)]
+    with open(path, "w", newline="") as file:
+        csv.writer(file, lineterminator="\n").writerows([["x", "y", "z"], *rows])
+    with open(path, newline="") as file:
+        reader = csv.reader(file, strict=True)
+        expected = {reader.line_num: row for row in reader}
+    found = csv_records_of(spark, str(path), size)
+    assert found.keys() == expected.keys() and not any(long for _, long in found.values())
+    cells = spark.createDataFrame([(n, line) for n, (line, _) in found.items()], "n int, line string").select("n", lines.cells_of("line").alias("c")).collect()
+    assert {r.n: r.c for r in cells} == expected
+
+
+def test_only_the_beginning_of_a_record_without_end_is_gathered(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n" + '3,"open\n' + "4,5\n" * 400)
+    found = csv_records_of(spark, str(tmp_path / "a.csv"), 200, 1000)
+    assert found[1] == ("x,y", False) and found[2] == ("1,2", False) and set(found) == {1, 2, 403}
+    line, long = found[403]
+    assert long and line.startswith('3,"open\n4,5\n') and len(line) <= 1001
+    rows = lines.csv_cells(lines.csv_records(lines.placed_lines(spark, str(tmp_path / "a.csv")), 1000), lines.headers(spark, str(tmp_path / "a.csv"))).collect()
+    assert sorted((r.row_number, r.read_error) for r in rows) == [(2, None), (403, lines.TOO_LONG)]
 
 
 def test_feeds_go_into_validation_and_matching(spark, tmp_path):
