@@ -1,10 +1,19 @@
+import datetime
+import json
+import random
 import time
 
+import pytest
+
 from lograil.operators.chain import Chain, detect
 from lograil.operators.hunts import SHIPPED_RULES
-from lograil.operators.normalize import Source
+from lograil.operators.ingest import ingest
+from lograil.operators.normalize import Source, dedup_status
+from lograil.sources.events import raw_json_lines
+from lograil.sources.lines import numbered_lines
 from lograil.streaming.chain import chain_steps, stream_chain
-from lograil.streaming.ingest import stream_dedup, stream_events
+from lograil.streaming.dedup import stream_dedup, stream_status
+from lograil.streaming.ingest import stream_events
 from lograil.streaming.late import LateRows
 from lograil.streaming.sessions import sessions
 from lograil.streaming.windows import stream_features, stream_mount_join, stream_rule_hits
@@ -26,12 +35,17 @@ def drain(stream, folder, mode="append"):
     return stream.sparkSession.table(name).collect(), query
 
 
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def test_ingest_splits_events_and_quarantine(spark, tmp_path):
     (tmp_path / "in").mkdir()
     good = '{"timestamp":"2026-01-01T09:00:00Z","action":"login_success","user_id":"u","device_id":"d","app_id":"a"}'
     (tmp_path / "in" / "a.jsonl").write_text(good + "\n\nnot json\n")
     paths = [str(tmp_path / n) for n in ("events", "rejects", "ck")]
-    stream_events(spark, str(tmp_path / "in"), Source("ds", "env", "s", "auth"), *paths).awaitTermination(120)
+    stream_events(spark, str(tmp_path / "in"), Source("ds", "env", "s", "auth"), *paths)[1].awaitTermination(120)
     events, rejects = spark.read.parquet(paths[0]).collect(), spark.read.parquet(paths[1]).collect()
     assert [(e.user_id, e.source_record_number) for e in events] == [("env:user:u", 1)]
     assert [(r.row_number, r.error) for r in rejects] == [(3, "line is not valid JSON")]
@@ -81,7 +95,6 @@ def test_mount_join(spark, tmp_path):
 
 
 def test_chain_on_a_stream_equals_the_batch_detector(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     past = frame(spark, history())
     steps = attack()
     second = [event("login2", DAY5 + 200, "login_success", app_id="a1", device_id="d2"),
@@ -104,9 +117,62 @@ def test_repeats_and_conflicts_of_earlier_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text(line % ("u", 1) + line % ("u", 2))
     paths = [str(tmp_path / n) for n in ("events", "rejects", "ck")]
-    start = lambda: stream_events(spark, str(tmp_path / "in"), Source("ds", "env", "s", "auth"), *paths).awaitTermination(120)
+    start = lambda: stream_events(spark, str(tmp_path / "in"), Source("ds", "env", "s", "auth"), *paths)[1].awaitTermination(120)
     start()
     (tmp_path / "in" / "b.jsonl").write_text(line % ("u", 1) + line % ("other", 2) + line % ("u", 3))
     start()
     assert sorted(r.source_event_id for r in spark.read.parquet(paths[0]).collect()) == ["v1", "v2", "v3"]
     assert [(r.row_number, r.error) for r in spark.read.parquet(paths[1]).collect()] == [(2, "another record of this id is already accepted")]
+
+
+RECORDS = "event_id string, content_sha256 string, record_ref string, size bigint, event_time timestamp, notes array<string>"
+
+
+def test_statuses_equal_a_batch_replay(spark, tmp_path):
+    """Twenty micro-batches get the statuses of one batch over all, and each reads its own rows alone."""
+    rng, batches = random.Random(6), []
+    for n in range(20):
+        batches.append([(f"id{rng.randrange(60)}", rng.choice("ab"), f"{n:02d}:{i:02d}", 2 ** 63 - 1 - i, None if i % 3 else time_of(n), [str(i)] if i % 2 else None)
+                        for i in range(8)])
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, RECORDS).coalesce(1).write.parquet(f"{tmp_path}/in/{n:02d}")
+    stream = spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got, query = drain(stream_status(stream, buckets=4), tmp_path)
+    whole = spark.createDataFrame([r for rows in batches for r in rows], RECORDS)
+    expected = dedup_status(whole, ["record_ref"]).select(*whole.columns, "status").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, expected), key=str)
+    assert {r.status for r in got} == {"accepted", "duplicate", "conflict"}
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(progress) == 20 and {p["numInputRows"] for p in progress} == {8}
+
+
+def time_of(minute):
+    return datetime.datetime(2026, 1, 1, 9, minute, 0, 1)
+
+
+def test_status_state_expires(spark, tmp_path):
+    row = [("a", "x", "1", 1, None, None)]
+    for n in range(2):
+        spark.createDataFrame(row, RECORDS).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(RECORDS).parquet(f"{tmp_path}/in/*")
+        query = (stream_status(stream, keep=1000, buckets=2).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start())
+        query.awaitTermination(120)
+        time.sleep(1.5)
+    assert [r.status for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["accepted", "accepted"]
+
+
+def test_stream_ingest_equals_batch_ingest(spark, tmp_path):
+    """Files arriving one after the other leave the events and the quarantine of one batch over all of them."""
+    rng, source = random.Random(8), Source("ds", "env", "s", "auth")
+    (tmp_path / "in").mkdir()
+    paths = [str(tmp_path / n) for n in ("events", "rejects", "ck")]
+    for n in range(4):
+        rows = [json.dumps({"timestamp": "2026-01-01T09:00:00Z", "action": rng.choice(["login_success", "login_success", "login_failure", "file_read"]), "user_id": f"u{rng.randrange(3)}",
+                            "device_id": "d", "app_id": "a", "source_event_id": f"v{rng.randrange(12)}"}) for _ in range(10)]
+        (tmp_path / "in" / f"{n}.jsonl").write_text("\n".join(rows) + "\n{odd\n")
+        stream_events(spark, str(tmp_path / "in"), source, *paths)[1].awaitTermination(120)
+    done = ingest([(raw_json_lines(numbered_lines(spark, str(tmp_path / "in"))), source)])
+    key = lambda rows: sorted((r.record_ref, r.error) for r in rows)
+    assert sorted(r.raw_record_ref for r in spark.read.parquet(paths[0]).collect()) == sorted(r.raw_record_ref for r in done.events.collect())
+    assert key(spark.read.parquet(paths[1]).collect()) == key(done.rejects.collect())
