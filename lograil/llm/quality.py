@@ -4,12 +4,13 @@ A text is cut into blocks, so that a dictionary matters throughout a long one, a
 compressed with either dictionary. The sum of the differences in size, over the bytes of the text, is its
 `difference`; a logistic curve fitted to labelled rows turns it into the probability of label 1.
 
-The labelled documents are split by a hash of the id. One part gives the dictionaries: from each label a
-bounded sample (`Fit.blocks`) of its distinct blocks, anywhere in the texts, chosen by a hash of their
-content so that copies weigh once. The other part gives the curve: all its rows are scored by Spark
-and only counts of each label in steps of the difference reach the driver, at most 2 * `Fit.steps` + 1 rows.
+The labelled documents are split by a hash of the id. One part gives the dictionaries: of each label a
+bounded sample of documents (`Fit.documents`) and of those, anywhere in their texts, a bounded sample of
+distinct blocks (`Fit.blocks`), both chosen by hashes. The other part gives the curve: differences are
+worked out for all documents in one pass, met with the labels by id, and only counts of each label in
+steps of the difference reach the driver, at most 2 * `Fit.steps` + 1 rows.
 
-Scoring is one pass without a shuffle. Defined cases: null and empty texts have difference 0; a null id
+No text is shuffled. Defined cases: null and empty texts have difference 0; a null id
 has no label; documents with contradictory labels or labels other than 0 and 1 teach nothing, repeated labels
 count once; equal rows are all used; with too few blocks to train on, a dictionary holds the blocks as they are;
 without labels every score is one half.
@@ -31,6 +32,7 @@ from lograil.session import durable
 class Fit:
     """Settings; the driver holds at most 2 * blocks * block bytes of text at any corpus size."""
     block: int = 1024       # bytes compressed at once
+    documents: int = 4000   # of each label, from which blocks are taken
     blocks: int = 4000      # of each label
     dictionary: int = 112_640
     level: int = 3
@@ -136,51 +138,74 @@ def calibrated(differences: np.ndarray, good: np.ndarray, bad: np.ndarray, ridge
     return Curve(float(theta[0] / scale), float(theta[1]))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
-    """good, builds, data: the usable labelled rows of `docs`, and whether they belong to the dictionaries' part."""
-    usable = (labels.where(F.col("doc_id").isNotNull() & ~fold("doc_id", 5, 0)).groupBy("doc_id")
-              .agg(F.min("quality").alias("good"), F.max("quality").alias("most"))
-              .where((F.col("good") == F.col("most")) & F.col("good").isin(0, 1)).select("doc_id", F.col("good").cast("int").alias("good")))
+def _usable(labels: DataFrame, fit: Fit) -> DataFrame:
+    """doc_id, good, builds: the usable labels, and whether they belong to the dictionaries' part; stored."""
+    found = (labels.where(F.col("doc_id").isNotNull() & ~fold("doc_id", 5, 0)).groupBy("doc_id")
+             .agg(F.min("quality").alias("good"), F.max("quality").alias("most")).where((F.col("good") == F.col("most")) & F.col("good").isin(0, 1)))
     builds = F.xxhash64(F.lit(fit.seed), "doc_id").bitwiseAND(F.lit(1)) == 0
-    return docs.select("doc_id", _text().alias("data")).join(usable, "doc_id").select("good", builds.alias("builds"), "data")
+    return durable(found.select("doc_id", F.col("good").cast("int").alias("good"), builds.alias("builds")))
 
 
-def _sampled(rows: DataFrame, fit: Fit) -> dict[int, list[bytes]]:
+def _sampled(docs: DataFrame, usable: DataFrame, fit: Fit) -> dict[int, list[bytes]]:
     """About fit.blocks distinct blocks of each label, never more; in an order that depends on them alone."""
+    by_hash = [F.xxhash64(F.lit(fit.seed + 1), "doc_id"), "doc_id"]
+    parts = [usable.where(F.col("builds") & (F.col("good") == good)).orderBy(*by_hash).limit(fit.documents) for good in (0, 1)]
+    chosen = F.broadcast(durable(parts[0].union(parts[1]).select("doc_id", "good")))    # at most 2 * fit.documents ids
+    rows = docs.select("doc_id", _text().alias("data")).join(chosen, "doc_id").select("good", "data")
     size = F.octet_length("data")
     totals = {r.good: r.n or 0 for r in rows.groupBy("good").agg(F.sum(F.ceil(size / fit.block)).alias("n")).collect()}
-    out: dict[int, list[bytes]] = {}
-    for good in (0, 1):
-        share = min(fit.blocks / max(totals.get(good, 0), 1), 1.0)
-        starts = F.explode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(fit.block)))
-        blocks = rows.where(F.col("good") == good).select("data", starts.alias("at")).select(F.expr(f"substring(data, at, {fit.block})").alias("block"))
-        order = F.xxhash64(F.lit(fit.seed), "block")
-        chosen = blocks.where((F.octet_length("block") > 0) & (F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))).distinct()
-        out[good] = sorted(bytes(r.block) for r in chosen.orderBy(order, "block").limit(fit.blocks).collect())
-    return out
-
-
-def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
-    """The model for `docs` (doc_id, text) and `labels` (doc_id, quality); held-out ids are not read."""
-    rows = _labelled(docs, labels, fit)
-    blocks = _sampled(rows.where("builds"), fit)
-    order = np.random.default_rng(fit.seed)
-    model = Model(fit, tuple(dictionary([blocks[label][i] for i in order.permutation(len(blocks[label]))], fit) for label in (0, 1)))
-    found = rows.where(~F.col("builds")).select("good", _differences(docs.sparkSession, model)("data").alias("difference"))
+    shares = {good: min(fit.blocks / max(totals.get(good, 0), 1), 1.0) for good in (0, 1)}
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(fit.block)))
+    blocks = rows.select("good", "data", starts.alias("at")).select("good", F.expr(f"substring(data, at, {fit.block})").alias("block"))
+    order = F.xxhash64(F.lit(fit.seed), "block")
+    below = F.pmod(order, F.lit(1 << 30)) < F.when(F.col("good") == 1, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30)))
+    found = durable(blocks.where((F.octet_length("block") > 0) & below).distinct())
+    return {good: sorted(bytes(r.block) for r in found.where(F.col("good") == good).orderBy(order, "block").limit(fit.blocks).collect()) for good in (0, 1)}
+
+
+def dictionaries(docs: DataFrame, usable: DataFrame, fit: Fit) -> Model:
+    """A model without a curve yet, its dictionaries built from labelled rows of `docs` (doc_id, text)."""
+    blocks, rng = _sampled(docs, usable, fit), np.random.default_rng(fit.seed)
+    return Model(fit, tuple(dictionary([blocks[label][i] for i in rng.permutation(len(blocks[label]))], fit) for label in (0, 1)))
+
+
+def differences(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, difference for every row of `docs` (doc_id, text)."""
+    return docs.select("doc_id", _differences(docs.sparkSession, model)(_text()).alias("difference"))
+
+
+def _curve(found: DataFrame, usable: DataFrame, fit: Fit) -> Curve:
+    """From the differences of the labelled rows that built no dictionary."""
     step = F.greatest(F.lit(-fit.steps), F.least(F.lit(fit.steps), F.round(F.col("difference") * fit.steps))).cast("int")
-    counts = durable(found.groupBy(step.alias("step")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))).orderBy("step").collect()
-    columns = np.array([[r.step, r.good, r.bad] for r in counts], float).reshape(-1, 3)
-    return Model(fit, model.dictionaries, calibrated(columns[:, 0] / fit.steps, columns[:, 1], columns[:, 2], fit.ridge))
+    rows = found.join(usable.where(~F.col("builds")), "doc_id").groupBy(step.alias("step")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    columns = np.array([[r.step, r.good, r.bad] for r in rows.orderBy("step").collect()], float).reshape(-1, 3)
+    return calibrated(columns[:, 0] / fit.steps, columns[:, 1], columns[:, 2], fit.ridge)
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, difference for every row of `docs` (doc_id, text)."""
-    found = docs.select("doc_id", _differences(docs.sparkSession, model)(_text()).alias("difference"))
+def scored(found: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted, difference from doc_id and difference."""
     z = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("difference") * model.curve.slope + model.curve.offset))
     return found.withColumn("score", 1 / (1 + F.exp(-z))).select(
         "doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= model.fit.cut).cast("int").alias("predicted"), "difference")
 
 
+def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[Model, DataFrame]:
+    """The model for `docs` (doc_id, text) and `labels` (doc_id, quality), and the stored differences of all docs.
+
+    Labels of held-out ids are not read.
+    """
+    usable = _usable(labels, fit)
+    model = dictionaries(docs, usable, fit)
+    found = durable(differences(docs, model))
+    return Model(fit, model.dictionaries, _curve(found, usable, fit)), found
+
+
+def classify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted, difference for every row of `docs` (doc_id, text)."""
+    return scored(differences(docs, model), model)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
-    """Scores of all rows of `docs` (doc_id, text) by a model of its labelled rows."""
-    return classify(docs, fitted(docs, labels, fit))
+    """The same by a model of the labelled rows of `docs` themselves."""
+    model, found = fitted(docs, labels, fit)
+    return scored(found, model)
