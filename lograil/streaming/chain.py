@@ -1,4 +1,5 @@
 """The chain detector on a stream, against a history frozen per batch run."""
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from lograil.operators.chain import Chain
 from lograil.operators.context import with_sensitivity
 from lograil.operators.history import completed, history_snapshot, snapshot_totals, unusual, with_time
+from lograil.streaming.mounts import stream_active_mount
+from lograil.streaming.slots import WIDTH, Slots
 
 STEP = ["device_id", "user_id", "event_id", "event_time", "us", "kind", "resource_id", "removable_device_id", "bytes_written"]
 FOUND = T.StructType([T.StructField(name, kind) for name, kind in (
@@ -40,79 +43,83 @@ def chain_steps(events: DataFrame, history: DataFrame, resources: DataFrame, min
             .when((action == "file_read") & F.col("sensitive") & (F.col("seen") == 0) & enough, "read")
             .when((action == "file_copy_to_usb") & (F.col("destination_type") == "removable_media") & (F.col("bytes_written") > 0), "copy")
             .when(action == "usb_mount", "mount").when(action == "usb_unmount", "unmount"))
-    return (rows.withColumn("kind", kind).where(completed() & F.col("kind").isNotNull() & F.col("user_id").isNotNull() & F.col("device_id").isNotNull())
+    return (rows.withColumn("kind", kind).where(completed() & F.col("kind").isNotNull() & F.col("device_id").isNotNull() & (F.col("user_id").isNotNull() | (F.col("kind") == "unmount")))
             .withColumn("event_id", F.col("event_id").cast("string")).select(*STEP))
 
 
 class ChainProcessor(StatefulProcessor):
-    """Waits until a login's window is behind the watermark, then settles it in event order.
+    """Waits until a login's window is behind the watermark, then settles the logins of its minute in event order.
 
-    Keyed by device, because an unmount by any user of the device ends a mount.
-    State holds the steps of at most one window plus the mount look-back.
+    Keyed by (device, user); copies come with their active mount. State holds the steps of at most one window,
+    by minute, and the end of the last episode.
     """
 
     def __init__(self, config: Chain):
         self.config = config
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.steps = handle.getListState("steps", "user_id string, event_id string, us bigint, kind string, resource_id string, removable_device_id string")
-        self.ends = handle.getMapState("ends", "user_id string", "us bigint")
+        self.slots = Slots(handle, "steps", "us bigint, event_id string, kind string, resource_id string, mount_id string")
+        self.until = handle.getValueState("until", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        added = []
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                added.append((row.user_id, row.event_id, int(row.us), row.kind, row.resource_id, row.removable_device_id))
-                if row.kind == "login":
-                    self.handle.registerTimer((int(row.us) + self.config.window) // 1000 + 1)
-        if added:
-            self.steps.appendList(added)
+        batch = pd.concat(list(rows))
+        for slot, part in batch.groupby(batch.us // WIDTH):
+            columns = (part.us.tolist(), part.event_id.tolist(), part.kind.tolist(), part.resource_id.tolist(), part.mount_id.tolist())
+            self.slots.add(int(slot), list(zip(*columns)), self._due(int(slot)))
         return iter(())
 
+    def _due(self, slot: int) -> int:
+        # A minute more than the window: copies come when the watermark has passed their own minute.
+        return (slot + 2) * WIDTH + self.config.window
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        steps = sorted((tuple(s) for s in self.steps.get()), key=lambda s: (s[2], s[1]))
-        closing = [s for s in steps if s[3] == "login" and s[2] + self.config.window < due]
-        found = [hit for login in closing for hit in self._settle(login, steps, key[0])]
-        done = {s[1] for s in closing}
-        waiting = [s[2] for s in steps if s[3] == "login" and s[1] not in done]
-        floor = min(waiting, default=due - self.config.window) - self.config.mount
-        self.steps.put([s for s in steps if s[1] not in done and s[2] >= floor])
-        yield pd.DataFrame(found, columns=[f.name for f in FOUND.fields])
-
-    def _settle(self, login, steps, device):
-        user, login_id, start = login[:3]
-        until = self.ends.getValue((user,))
-        if until is not None and start <= until[0]:
-            return
-        inside = [s for s in steps if s[0] == user and start < s[2] <= start + self.config.window]
-        reads = [s for s in inside if s[3] == "read"]
-        if not reads:
-            return
-        read, copy, mount = reads[0], None, None
-        for s in (s for s in inside if s[3] == "copy"):
-            own = next((r for r in reads if r[4] == s[4] and r[2] < s[2]), None)
-            attached = self._mount(s, steps) if own else None
-            if attached:
-                read, copy, mount = own, s, attached
+        slot = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.config.window) // WIDTH - 2
+        logins = sorted(s for s in self.slots.read(slot) if s[2] == "login")
+        until, window, found = self.until.get(), None, []
+        until = until[0] if until else None
+        for login in logins:
+            if until is not None and login[0] <= until:
+                continue
+            if window is None:      # read once for all logins of the minute
+                last = slot + -(-self.config.window // WIDTH)
+                window = sorted((s for at in range(slot, last + 1) for s in self.slots.read(at) if s[2] != "login"), key=lambda s: s[:2])
+            hit = self._settle(login, window)
+            if hit:
+                read, copy = hit
+                until = (copy or read)[0]
+                found.append((key[1], key[0], login[1], read[1], copy and copy[1], copy and copy[4], "incident" if copy else "partial_observation"))
+        self.slots.drop(slot)
+        if until is not None:
+            self.until.update((until,))
+        if found:
+            yield pd.DataFrame(found, columns=[f.name for f in FOUND.fields])
+
+    def _settle(self, login, window):
+        """The read and, if there is one, the copy that answer a login; the read is the first of the copied resource."""
+        first, reads = None, {}
+        for step in window[bisect_right(window, login[0], key=lambda s: s[0]):]:
+            if step[0] > login[0] + self.config.window:
                 break
-        self.ends.updateValue((user,), ((copy or read)[2],))
-        yield (user, device, login_id, read[1], copy and copy[1], mount and mount[1], "incident" if copy else "partial_observation")
-
-    def _mount(self, copy, steps):
-        mounts = [s for s in steps if s[3] == "mount" and s[0] == copy[0] and s[5] == copy[5]
-                  and copy[2] - self.config.mount <= s[2] < copy[2]]
-        if not mounts:
-            return None
-        ended = any(s[3] == "unmount" and s[5] == copy[5] and mounts[-1][2] <= s[2] <= copy[2] for s in steps)
-        return None if ended else mounts[-1]
+            if step[2] == "read":
+                first = first or step
+                reads.setdefault(step[3], step)
+            elif step[3] in reads and reads[step[3]][0] < step[0]:
+                return reads[step[3]], step
+        return first and (first, None)
 
     def close(self) -> None:
         pass
 
 
 def stream_chain(steps: DataFrame, config: Chain = Chain(), delay: str = "30 minutes") -> DataFrame:
-    """Episodes whose window has closed, as `detect` would find them. Needs the RocksDB state store."""
-    return (steps.withWatermark("event_time", delay).groupBy("device_id")
+    """Episodes whose window has closed, as `detect` would find them. Needs the RocksDB state store.
+
+    Two stateful operators: active mounts by (device, medium), for an unmount by any user ends a mount; then
+    episodes by (device, user).
+    """
+    marked = steps.withWatermark("event_time", delay)
+    same = ["device_id", "user_id", "event_id", "event_time", "us", "kind", "resource_id", "mount_id"]
+    copies = stream_active_mount(marked, config).withColumn("kind", F.lit("copy"))
+    others = marked.where(F.col("kind").isin("login", "read")).withColumn("mount_id", F.lit(None).cast("string"))
+    return (others.select(*same).union(copies.select(*same)).groupBy("device_id", "user_id")
             .transformWithStateInPandas(ChainProcessor(config), FOUND, "Append", "EventTime"))

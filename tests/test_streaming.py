@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from lograil.operators.chain import Chain, detect
+from lograil.operators.chain import Chain, active_mount, detect, eligible_copies
 from lograil.operators.hunts import SHIPPED_RULES
 from lograil.operators.ingest import ingest
 from lograil.operators.normalize import Source, dedup_status
@@ -15,6 +15,7 @@ from lograil.streaming.chain import chain_steps, stream_chain
 from lograil.streaming.dedup import stream_dedup, stream_status
 from lograil.streaming.ingest import stream_events
 from lograil.streaming.late import LateRows
+from lograil.streaming.mounts import mount_steps, stream_active_mount
 from lograil.streaming.sessions import sessions
 from lograil.streaming.windows import stream_features, stream_mount_join, stream_rule_hits
 from tests.logs import DAY5, SCHEMA, attack, event, frame, history, labels
@@ -94,6 +95,23 @@ def test_mount_join(spark, tmp_path):
     assert [(r.copy_id, r.mount_id) for r in got] == [("copy", "mount")]
 
 
+def test_active_mount_equals_the_batch(spark, tmp_path):
+    """One row a copy: the latest mount of its user, unless anyone unmounted the medium since."""
+    rng, rows = random.Random(12), []
+    for i in range(240):
+        action = rng.choice(["usb_mount", "usb_unmount", "file_copy_to_usb", "file_copy_to_usb"])
+        more = {"destination_type": "removable_media", "bytes_written": 5, "resource_id": "r"} if action == "file_copy_to_usb" else {}
+        rows.append({**event(f"e{i:03d}", DAY5 + rng.randrange(0, 300) // 2, action, removable_device_id=rng.choice("mn"), device_id="hot", **more),
+                     "user_id": rng.choice(["u1", "u2", "u3"])})
+    rng.shuffle(rows)
+    closing = [event(n, DAY5 + t, "usb_mount", removable_device_id="x", device_id="d9") for n, t in (("z", 2000), ("zz", 2100))]
+    stream = feed(spark, tmp_path, rows[:80], rows[80:160], rows[160:], closing[:1], closing[1:])
+    got, _ = drain(stream_active_mount(mount_steps(stream).withWatermark("event_time", "12 hours")), tmp_path)
+    whole = frame(spark, rows)
+    batch = active_mount(eligible_copies(whole), whole, Chain().mount).select("event_id", "mount_id", "mount_us").collect()
+    assert sorted((r.event_id, r.mount_id, r.mount_us) for r in got) == sorted(map(tuple, batch)) and len(got) > 10
+
+
 def test_chain_on_a_stream_equals_the_batch_detector(spark, tmp_path):
     past = frame(spark, history())
     steps = attack()
