@@ -9,6 +9,7 @@ sequences whose lengths are powers of two, which need no padding; so nothing is
 Defined cases: a null text is empty and yields the closing id alone; ids, repeated rows and null ids
 are kept as they are; an empty table has no pieces.
 """
+import re
 import struct
 import unicodedata
 import zlib
@@ -18,7 +19,6 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,52 +39,70 @@ class Limits:
             raise ValueError("limits are at least 1, and tokens is a power of two")
 
 
+# The contractions that the vocabulary file splits off.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+LAST_LATIN = "\u024f"
+
+
+def _latin_split() -> re.Pattern:
+    """The pattern by which the vocabulary file splits text, for texts up to the last Latin letter."""
+    latin = [chr(c) for c in range(ord(LAST_LATIN) + 1)]
+    letters, digits = ("".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return re.compile("|".join([*CONTRACTIONS, f"[{letters}]+", f"[{digits}]", rf"[^\s{letters}{digits}]+"]))
+
+
 class WordEncoder:
     """Ids of a word-end BPE file as little-endian 32-bit bytes, equal to the library's own encoding.
 
-    The file lower-cases, normalises and never joins across white space, so a text's ids are those of
-    its stretches without white space. Their ids are remembered; new stretches of Latin letters are
-    split by the file's pattern and given to its merge model, others to the whole library.
+    The file lower-cases, composes characters and never joins across white space. A text of Latin letters, which
+    are composed already, is split by the file's pattern, and its words' ids are remembered, so that only words not met lately go through the merge
+    model; other texts go stretch by stretch between white space, each encoded by the whole library.
     """
 
-    # The pattern by which the vocabulary file splits text.
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    ODD = regex.compile(r"<\||[\x1c-\x1f]")  # special tokens, and what str.split takes for white space alone
-    LIMIT = 700_000
+    SPLIT = _latin_split()
+    ODD = re.compile(r"<\||[\x1c-\x1f]")  # special tokens, and what str.split takes for white space alone
+    OTHER = re.compile(f"[^\0-{LAST_LATIN}]")
 
     def __init__(self, path: str, closing: int):
         self.library, self.closing = Tokenizer.from_file(path), np.array([closing], "<u4").tobytes()
         self.model, self.bytes_as_letters = self.library.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known = _Remembered(self._stretch)
+        self.words, self.stretches = _Remembered(self._word, 400_000), _Remembered(self._whole, 50_000)
 
-    def _stretch(self, stretch: str) -> bytes:
-        if max(stretch) >= "ɐ":
-            ids = self.library.encode(stretch, add_special_tokens=False).ids
-        else:
-            plain = stretch if stretch.isascii() else unicodedata.normalize("NFC", stretch)
-            ids = [piece.id for word in self.SPLIT.findall(plain.lower()) for piece in self.model.tokenize(self._letters(word))]
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = "".join(piece for piece, _ in self.bytes_as_letters.pre_tokenize_str(word))
+        ids = [piece.id for piece in self.model.tokenize(word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _letters(self, word: str) -> str:
-        if word.isascii() and word.isprintable():
-            return word
-        return "".join(piece for piece, _ in self.bytes_as_letters.pre_tokenize_str(word))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.ODD.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.closing
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, text.split())) + self.closing
+            return self._whole(text) + self.closing
+        if self.OTHER.search(text):
+            return b"".join(map(self._stretch, text.split())) + self.closing
+        return b"".join(map(self.words.__getitem__, self.SPLIT.findall(text.lower()))) + self.closing
+
+    def _stretch(self, stretch: str) -> bytes:
+        if self.OTHER.search(stretch):
+            return self.stretches[stretch]
+        return b"".join(map(self.words.__getitem__, self.SPLIT.findall(stretch.lower())))
 
 
 class _Remembered(dict):
-    def __init__(self, function):
+    """Values of a function for what was asked lately: at most twice `limit` of them; those still asked for stay."""
+
+    def __init__(self, function, limit: int):
         super().__init__()
-        self.function = function
+        self.function, self.limit, self.before = function, limit, {}
 
     def __missing__(self, key):
-        self[key] = value = self.function(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.get(key)
+        self[key] = value = self.function(key) if value is None else value
         return value
 
 
@@ -92,7 +110,8 @@ class _Remembered(dict):
 class Example:
     doc_id: int | None
     ids: bytes                      # 4 bytes an id
-    loss: np.ndarray | None = None  # running count of loss-bearing ids, from 0; None: all bear loss
+    loss: np.ndarray | None = None  # running count of loss-bearing ids, from 0; None: all do but the silent ones
+    silent: int = 0                 # ids at the end that bear no loss
     start: int = 0                  # ids before it are packed
     slot: int | None = None         # where the packer holds it
 
@@ -101,13 +120,16 @@ class Example:
         return len(self.ids) // 4
 
     def lost(self, start: int, stop: int) -> int:
-        return stop - start if self.loss is None else int(self.loss[stop] - self.loss[start])
+        if self.loss is None:
+            bearing = self.total - self.silent
+            return min(stop, bearing) - min(start, bearing)
+        return int(self.loss[stop] - self.loss[start])
 
     def reach(self, room: int, loss: int) -> int:
         """How many ids from `start` on fit both rooms."""
         most = min(room, self.total - self.start)
         if self.loss is None:
-            return min(most, loss)
+            return most if self.lost(self.start, self.start + most) <= loss else loss
         return int(np.searchsorted(self.loss[self.start:self.start + most + 1], self.loss[self.start] + loss, "right")) - 1
 
 
@@ -216,7 +238,7 @@ def _encoded(path: str, closing: int, batches):
     encode = encoder(path, closing)
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            yield Example(doc_id, encode(text))
+            yield Example(doc_id, encode(text), silent=1)
 
 
 def _given(batches):
@@ -229,6 +251,7 @@ def _given(batches):
 def pack_documents(docs: DataFrame, path: str, closing: int = 2, limits: Limits = Limits(), with_ids: bool = False) -> DataFrame:
     """Pieces of all documents (doc_id, text), encoded by the vocabulary file at `path` with `closing` behind each.
 
+    All ids bear loss but the closing one, which no text asks for.
     A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian
     32-bit, null unless asked for).
     """
