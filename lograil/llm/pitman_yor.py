@@ -6,9 +6,10 @@ Chinese restaurant process as there are words. The parent of a context is the re
 uniform over the vocabulary and one unknown token. Customers of a context are the corpus' counts, those
 of a parent the tables of its children; the seating (how many tables serve a word in a restaurant) is
 sampled by Gibbs: a sweep takes customers from their tables and seats them again, in numpy. Pairs seen
-once sit alone and are never moved. What a pair needs of its context and word is frozen inside a pass
-and joined by shuffle before it. The last sweeps are averaged, and predictive probabilities follow from
-the averages.
+once sit alone and are never moved. What a pair needs of its context and word, and the totals of all
+restaurants, are frozen inside a pass and joined by shuffle before it. Every draw comes from a hash of its
+place (seed, pass, sweep, part, restaurant, word), so neither order nor partitions nor a repeated task
+change a seating. The last sweeps are averaged, and predictive probabilities follow from the averages.
 
 Counting sees every training token. Tokens go by numbers: a hash of 58 bits and their class. To score,
 documents are dealt into blocks of bounded size; a block asks for its distinct words and pairs only.
@@ -135,13 +136,21 @@ def count_pairs(docs: DataFrame, sampling: Sampling = Sampling()) -> tuple[DataF
             stored.where(F.col("prev") != WORD).select("prev", "word", F.col("n").alias("customers")))
 
 
-def by_class(words: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
-    """token, word, known, counts: sums of a column of the pairs over the contexts of each class; stored."""
+def _class_sums(pairs: DataFrame, value: str) -> DataFrame:
+    """word, c0 to c16: sums of a column of the pairs over the contexts of each class."""
     kind = F.col("prev").bitwiseAND(F.lit(31))
-    sums = pairs.groupBy("word").agg(*[F.sum(F.when(kind == k, F.col(value)).otherwise(0)).cast("bigint").alias(f"c{k}") for k in range(CLASSES)])
+    return pairs.groupBy("word").agg(*[F.sum(F.when(kind == k, F.col(value)).otherwise(0)).cast("bigint").alias(f"c{k}") for k in range(CLASSES)])
+
+
+def _with_counts(words: DataFrame, sums: DataFrame) -> DataFrame:
     return durable(words.join(sums, "word").select("token", "word", "known", F.array(*[f"c{k}" for k in range(CLASSES)]).alias("counts")))
 
 
+def by_class(words: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
+    """token, word, known, counts: sums of a column of the pairs over the contexts of each class; stored."""
+    return _with_counts(words, _class_sums(pairs, value))
+
+
 def count(docs: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
     """token, word, known, counts (an entry for each class of contexts) over all rows of `docs` (text); stored."""
     return by_class(*count_pairs(docs, sampling), "customers")
@@ -199,21 +208,62 @@ def alone(customers: np.ndarray, tables: np.ndarray, discount: float, exact: int
     return np.where(small, _alone_exact(discount, exact)[c, t], np.clip(np.where(tables >= customers, 1.0, many), 0, 1))
 
 
-def sweep(rng, customers: np.ndarray, tables: np.ndarray, odds: np.ndarray, discount: float, sampling: Sampling) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64 bits of 64 bits."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def places(seed: int, number: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A key for each (restaurant, word) of a pass; what is drawn for it follows from the key."""
+    with np.errstate(over="ignore"):
+        lead = _mixed(np.array([seed * 1_000_003 + number], np.uint64))
+        return _mixed(_mixed(first.astype(np.int64).view(np.uint64) + lead) + second.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
+    """The draw-th number in [0, 1) of each key."""
+    with np.errstate(over="ignore"):
+        return (_mixed(keys + np.uint64(draw + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)) * 2.0 ** -53
+
+
+SINGLE = 24     # up to so many customers are drawn one by one, more by the normal curve
+
+
+def successes(keys: np.ndarray, draw: int, trials: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """How many of `trials` succeed, each with probability `odds`; draws from `draw` on, at most SINGLE of them."""
+    out = (uniform(keys, draw) < odds).astype(np.int64)
+    for k in range(1, int(min(trials.max(initial=1), SINGLE))):
+        more = np.flatnonzero((trials > k) & (trials <= SINGLE))
+        out[more] += uniform(keys[more], draw + k) < odds[more]
+    many = np.flatnonzero(trials > SINGLE)
+    if len(many):
+        n, p = trials[many], odds[many]
+        normal = np.sqrt(-2 * np.log(1 - uniform(keys[many], draw))) * np.cos(2 * np.pi * uniform(keys[many], draw + 1))
+        out[many] = np.clip(np.rint(n * p + np.sqrt(n * p * (1 - p)) * normal), 0, n).astype(np.int64)
+    return out
+
+
+def sweep(keys: np.ndarray, number: int, customers: np.ndarray, tables: np.ndarray, odds: np.ndarray, discount: float, sampling: Sampling) -> np.ndarray:
     """Seats every dish's customers again, part by part; `odds` is the weight of a new table. Customers are at least 2.
 
     A part of one customer is a plain Gibbs step. Dishes with more customers than parts move several
-    at once, each by the odds at the part's beginning.
+    at once, each by the odds at the part's beginning. `number` is the sweep's, `keys` are the dishes' (`places`).
     """
     part = np.maximum(customers // sampling.moves, 1)
     for move in range(sampling.moves):
         live = np.flatnonzero(customers > move)
-        c, t, b = customers[live], tables[live], part[live]
-        t = np.maximum(t - rng.binomial(b, alone(c, t, discount, sampling.exact)), (b < c).astype(np.int64))
+        if not len(live):
+            break
+        c, t, b, k = customers[live], tables[live], part[live], keys[live]
+        draw = (number * sampling.moves + move) * 2 * SINGLE
+        t = np.maximum(t - successes(k, draw, b, alone(c, t, discount, sampling.exact)), (b < c).astype(np.int64))
         left = c - b
         t = np.minimum(t, left)
         new = odds[live] / (odds[live] + np.maximum(left - discount * t, 0))
-        tables[live] = np.clip(t + rng.binomial(b, new), 1, c)
+        tables[live] = np.clip(t + successes(k, draw + SINGLE, b, new), 1, c)
     return tables
 
 
@@ -222,24 +272,21 @@ def _parent(n1: np.ndarray, t1: np.ndarray, totals: Totals, strength: float) ->
     return (n1 - totals.parent_discount * t1 + uniform) / (strength + totals.parents)
 
 
-def _seat(counts: np.ndarray, tables: np.ndarray, parent: np.ndarray, totals: Totals, sampling: Sampling, rng, sweeps: int):
-    """Sweeps over a block of words; yields (tables, parent's tables) after each.
-
-    Totals stand for all words; while the block is seated they move as its own sums do.
-    """
+def _seat(counts: np.ndarray, tables: np.ndarray, parent: np.ndarray, words: np.ndarray, totals: Totals, sampling: Sampling, number: int, sweeps: int):
+    """Sweeps over words; yields (tables, parent's tables) after each. Totals stand for all words of the corpus."""
     word, context = np.nonzero(counts > 1)
-    customers = counts[word, context]
-    grand, begin = np.array(totals.tables), np.maximum(tables.sum(axis=0), 1)
-    for _ in range(sweeps):
+    customers, keys = counts[word, context], places(sampling.seed, number, context, words[word])
+    parent_keys = places(sampling.seed, number, np.full(len(words), CLASSES), words)
+    uniform_odds = sampling.strength + totals.parent_discount * totals.parent_tables
+    grand = sampling.strength + totals.discount * np.array(totals.tables)
+    for n in range(sweeps):
         p1 = _parent(tables.sum(axis=1), parent, totals, sampling.strength)
-        moving = grand * np.maximum(tables.sum(axis=0), 1) / begin if len(counts) >= 1000 else grand
-        odds = (sampling.strength + totals.discount * moving[context]) * p1[word]
-        tables[word, context] = sweep(rng, customers, tables[word, context], odds, totals.discount, sampling)
+        tables[word, context] = sweep(keys, n, customers, tables[word, context], grand[context] * p1[word], totals.discount, sampling)
         n1 = tables.sum(axis=1)
         parent = np.clip(parent, 1, n1)
         many = np.flatnonzero(n1 > 1)
-        uniform = (sampling.strength + totals.parent_discount * totals.parent_tables) / (totals.types + 1)
-        parent[many] = sweep(rng, n1[many], parent[many], np.full(len(many), uniform), totals.parent_discount, sampling)
+        odds = np.full(len(many), uniform_odds / (totals.types + 1))
+        parent[many] = sweep(parent_keys[many], n, n1[many], parent[many], odds, totals.parent_discount, sampling)
         yield tables, parent
 
 
@@ -273,9 +320,8 @@ def _round(totals: Totals, sampling: Sampling, number: int, batches):
         # Customers may have changed since the tables were counted.
         tables = np.clip(tables.astype(np.int64), counts > 0, counts)
         parent = np.clip(parent.astype(np.int64), 1, np.maximum(tables.sum(axis=1), 1))
-        rng = np.random.default_rng([sampling.seed, number, len(counts), int(counts.sum()) & 0x7FFFFFFF])
         kept = []
-        for t, p in _seat(counts, tables, parent, totals, sampling, rng, sampling.samples if last else sampling.sweeps):
+        for t, p in _seat(counts, tables, parent, rows["word"].to_numpy(), totals, sampling, number, sampling.samples if last else sampling.sweeps):
             kept = [*kept, (t.astype(np.float64), p.astype(np.float64))] if last else [(t, p)]
         tables, parent = sum(t for t, _ in kept) / len(kept), sum(p for _, p in kept) / len(kept)
         yield pa.record_batch([rows[c].combine_chunks() for c in ("token", "word", "known", "counts")] + [_lists(tables, pa.float64()), pa.array(parent, pa.float64())],
@@ -328,10 +374,10 @@ def _seat_pairs(discount: float, sampling: Sampling, number: int, batches):
     last = number == sampling.rounds
     for rows in _blocks(batches):
         customers, tables, odds = (rows[c].to_numpy() for c in ("customers", "tables", "odds"))
-        rng = np.random.default_rng([sampling.seed, number, len(customers), int(rows["word"][0].as_py()) & 0x7FFFFFFF, int(customers.sum()) & 0x7FFFFFFF])
+        keys = places(sampling.seed, number, rows["prev"].to_numpy(), rows["word"].to_numpy())
         tables, kept = np.clip(tables.astype(np.int64), 1, customers), []
-        for _ in range(sampling.samples if last else sampling.sweeps):
-            tables = sweep(rng, customers, tables, odds, discount, sampling)
+        for n in range(sampling.samples if last else sampling.sweeps):
+            tables = sweep(keys, n, customers, tables, odds, discount, sampling)
             kept = [*kept, tables.astype(np.float64)] if last else [tables.astype(np.float64)]
         yield pa.record_batch([rows["prev"].combine_chunks(), rows["word"].combine_chunks(), rows["customers"].combine_chunks(), pa.array(sum(kept) / len(kept))],
                               ["prev", "word", "customers", "tables"])
@@ -347,10 +393,12 @@ def seat_pairs(words: DataFrame, pairs: DataFrame, sampling: Sampling = Sampling
     discount = _discount(ones, twos)
     alone_rows = pairs.where("customers = 1").withColumn("tables", F.lit(1.0))
     moved = pairs.where("customers > 1").withColumn("tables", _guess(F.col("customers")))
+    # What lone pairs add to classes and contexts never changes: it is summed once.
+    lone_sums, lone_served = durable(_class_sums(alone_rows, "tables")), durable(_context_tables(alone_rows))
     state, totals = None, None
     for number in range(sampling.rounds + 1):
-        everyone = alone_rows.unionByName(moved)
-        counts = by_class(words, everyone.withColumn("tables", F.round("tables")), "tables")
+        sums = lone_sums.unionByName(_class_sums(moved.withColumn("tables", F.round("tables")), "tables")).groupBy("word").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(CLASSES)])
+        counts = _with_counts(words, sums)
         first = first_totals(counts)
         if state is None:
             before, totals = _begun(counts), first
@@ -360,7 +408,7 @@ def seat_pairs(words: DataFrame, pairs: DataFrame, sampling: Sampling = Sampling
         state, totals = _passed(before, totals, sampling, number)
         weights = state.select("word", F.col("counts").alias("class_counts"), F.col("tables").alias("class_tables"), "parent")
         ready = moved.join(weights, "word").select("prev", "word", "customers", "tables", _class_probability(totals, sampling.strength).alias("p"))
-        ready = ready.join(_context_tables(everyone), "prev").select("prev", "word", "customers", "tables", ((sampling.strength + discount * F.col("served")) * F.col("p")).alias("odds"))
+        ready = ready.join(lone_served.unionByName(_context_tables(moved)).groupBy("prev").agg(F.sum("served").alias("served")), "prev").select("prev", "word", "customers", "tables", ((sampling.strength + discount * F.col("served")) * F.col("p")).alias("odds"))
         moved = durable(ready.mapInArrow(partial(_seat_pairs, discount, sampling, number), "prev bigint, word bigint, customers bigint, tables double"))
     return alone_rows.unionByName(moved), state, totals, discount
 

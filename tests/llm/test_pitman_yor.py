@@ -79,10 +79,11 @@ def test_odds_of_sitting_alone():
 
 
 def test_sweeps_settle_where_sequential_seating_does():
-    rng, n, odds, discount = np.random.default_rng(1), 4000, 2.0, 0.5
-    tables = py.sweep(rng, np.full(n, 40), np.full(n, 40), np.full(n, odds), discount, py.Sampling())
-    for _ in range(8):
-        tables = py.sweep(rng, np.full(n, 40), tables, np.full(n, odds), discount, py.Sampling(moves=40))
+    n, odds, discount = 4000, 2.0, 0.5
+    keys = py.places(1, 0, np.zeros(n), np.arange(n))
+    tables = py.sweep(keys, 0, np.full(n, 40), np.full(n, 40), np.full(n, odds), discount, py.Sampling())
+    for k in range(1, 9):
+        tables = py.sweep(keys, k, np.full(n, 40), tables, np.full(n, odds), discount, py.Sampling(moves=40))
     log = np.full(42, -np.inf)
     log[0] = 0
     for c in range(40):
@@ -148,3 +149,25 @@ def test_contexts_are_words_and_probabilities_add_up_to_one(spark):
 def test_two_passes_settle_before_the_averaged_one():
     sampling = py.Sampling()
     assert (sampling.rounds, sampling.sweeps, sampling.samples) == (2, 3, 3)
+
+
+@pytest.mark.parametrize("trials", [1, 7, py.SINGLE, 60, 5000])
+def test_successes_are_binomial(trials):
+    keys = py.places(3, 1, np.full(20_000, 5), np.arange(20_000))
+    got = py.successes(keys, 4, np.full(20_000, trials), np.full(20_000, 0.3))
+    assert got.min() >= 0 and got.max() <= trials
+    assert got.mean() == pytest.approx(0.3 * trials, rel=0.03) and got.var() == pytest.approx(0.21 * trials, rel=0.06)
+    assert abs(np.corrcoef(got[:-1], got[1:])[0, 1]) < 0.03
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """Rows dealt and shuffled in other ways give the same seating, so a repeated task does too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    old, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found.append({r.doc_id: r.score for r in py.language_model_scores(docs.repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(found[0]) == 200 and found[0] == pytest.approx(found[1], rel=1e-6) and found[0] == pytest.approx(found[2], rel=1e-6)
