@@ -2,9 +2,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograil.functions.identity import record_sha256
 from lograil.operators.chain import ACTOR, Chain, detect, episodes
 from lograil.operators.features import WIDTH, window_start
+from lograil.operators.merkle import fingerprint
 from lograil.operators.ordered import micros
 from lograil.session import durable
 
@@ -89,16 +89,9 @@ def sensitivity(events: DataFrame, resources: DataFrame, excluded: DataFrame, co
     return evidence_diff(before, detect(exclude(events, excluded), resources, config))
 
 
-def table_sha256(table: DataFrame) -> Column:
-    """Aggregate identifying a table's rows whatever their order (use inside agg)."""
-    digest = record_sha256(table.columns)
-    word = lambda start: F.sum(F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)"))
-    return F.sha2(F.concat_ws(":", F.count("*"), word(1), word(13)), 256)
-
-
 def run_inputs(inputs: dict[str, DataFrame]) -> DataFrame:
-    """(input, sha256) rows of a run's tables."""
-    rows = [t.agg(table_sha256(t).alias("sha256")).select(F.lit(name).alias("input"), "sha256") for name, t in inputs.items()]
+    """(input, sha256, rows) of a run's tables: the roots of their hash trees."""
+    rows = [fingerprint(t, t.columns).select(F.lit(name).alias("input"), F.col("fingerprint").alias("sha256"), F.col("event_count").alias("rows")) for name, t in inputs.items()]
     result = rows[0]
     for row in rows[1:]:
         result = result.unionByName(row)
@@ -107,7 +100,7 @@ def run_inputs(inputs: dict[str, DataFrame]) -> DataFrame:
 
 def changed_inputs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Inputs whose hash differs between two runs, or which only one of them has."""
-    a, b = left.withColumnRenamed("sha256", "left_sha256"), right.withColumnRenamed("sha256", "right_sha256")
+    a, b = (side.withColumnsRenamed({"sha256": f"{name}_sha256", "rows": f"{name}_rows"}) for side, name in ((left, "left"), (right, "right")))
     return a.join(b, "input", "full_outer").withColumn("changed", ~F.col("left_sha256").eqNullSafe(F.col("right_sha256")))
 
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from lograil.functions.identity import record_sha256
-from lograil.operators import chain, compare, evaluate, normalize, paging, reports, revisions, validate
+from lograil.operators import chain, compare, evaluate, merkle, normalize, paging, reports, revisions, validate
 from lograil.operators.history import completed
 from lograil.operators.ordered import MINUTE, micros, utc_day
 from lograil.plans.detection import ALL_SQL, CONFIG, EVENTS_SQL, chain_sql, found, joined
@@ -87,23 +87,35 @@ def sensitivity(spark, folder):
                                        joined("new_stages").alias("new_stages"))
 
 
-@query("""
-SELECT t.input, t.input IN ('authorizations', 'events') AS changed FROM (VALUES ('events'), ('resources'), ('authorizations')) AS t(input)""")
+LONGER_SQL = """
+longer AS (SELECT * REPLACE (until_us + 60000000 AS until_us) FROM authorizations),
+fewer AS (SELECT * FROM obs WHERE NOT (%s)),
+otherwise AS (SELECT * REPLACE (CASE WHEN user_id = 'u1' THEN 'u-one' ELSE user_id END AS user_id) FROM authorizations)""" % EXCLUDED
+DIFFERENT = "(SELECT count(*) > 0 FROM ((SELECT * FROM {0} EXCEPT ALL SELECT * FROM {1}) UNION ALL (SELECT * FROM {1} EXCEPT ALL SELECT * FROM {0})))"
+
+
+@query(f"""
+SELECT 'events' AS input, {DIFFERENT.format('obs', 'fewer')} AS changed, (SELECT count(*) FROM obs) AS left_rows, (SELECT count(*) FROM fewer) AS right_rows
+UNION ALL SELECT 'resources', {DIFFERENT.format('resources', 'resources')}, (SELECT count(*) FROM resources), (SELECT count(*) FROM resources)
+UNION ALL SELECT 'authorizations', {DIFFERENT.format('authorizations', 'longer')}, (SELECT count(*) FROM authorizations), (SELECT count(*) FROM longer)""", extra=LONGER_SQL)
 def run_comparison(spark, folder):
-    """Two runs: the second has fewer events and extended authorizations."""
+    """Two runs: the second has fewer events and extended authorizations; its labels come in another order."""
     events, labels, grants = obs(spark, folder), resources(spark, folder), authorizations(spark, folder)
     left = compare.run_inputs({"events": events, "resources": labels, "authorizations": grants})
     longer = grants.withColumn("effective_until", F.col("effective_until") + F.expr("interval 1 minute"))
     right = compare.run_inputs({"events": events.where(f"NOT ({EXCLUDED})"), "resources": labels.repartition(3), "authorizations": longer})
-    return compare.changed_inputs(left, right).select("input", "changed")
+    return compare.changed_inputs(left, right).select("input", "changed", "left_rows", "right_rows")
 
 
-@query("SELECT 1::BIGINT AS changed_inputs, TRUE AS context_only")
+@query(f"""
+SELECT (e::BIGINT + a::BIGINT) AS changed_inputs, NOT e AS context_only
+FROM (SELECT {DIFFERENT.format('obs', 'obs')} AS e, {DIFFERENT.format('authorizations', 'otherwise')} AS a)""", extra=LONGER_SQL)
 def context_gate(spark, folder):
-    """Only the authorizations differ, so the comparison counts as controlled."""
+    """At most the authorizations differ, those of one account, so the comparison counts as controlled."""
     grants = authorizations(spark, folder)
+    other = grants.withColumn("user_id", F.when(F.col("user_id") == "u1", "u-one").otherwise(F.col("user_id")))
     left = compare.run_inputs({"events": obs(spark, folder), "authorizations": grants})
-    right = compare.run_inputs({"events": obs(spark, folder), "authorizations": grants.where("user_id <> 'u1'")})
+    right = compare.run_inputs({"events": obs(spark, folder).repartition(5), "authorizations": other})
     return compare.context_only(compare.changed_inputs(left, right))
 
 
@@ -218,13 +230,36 @@ def provenance_errors(spark, folder):
     return reports.provenance_errors(events, held, files)
 
 
-@query("""
-SELECT sha256(string_agg(line, '|' ORDER BY line)) AS fingerprint, sum(n)::BIGINT AS event_count FROM (
-  SELECT concat_ws(':', day, count(*), sum(('0x' || substr(h, 1, 12))::BIGINT)::HUGEINT, sum(('0x' || substr(h, 13, 12))::BIGINT)::HUGEINT) AS line, count(*) AS n
-  FROM (SELECT day, sha256(to_json({action: action, bytes_read: bytes_read, bytes_written: bytes_written, device_id: device_id, outcome: outcome,
-    resource_id: resource_id, user_id: user_id})::VARCHAR) AS h FROM obs) GROUP BY day)""")
+RECORD_SQL = """sha256(to_json({{action: action, bytes_read: bytes_read, bytes_written: {0}, device_id: device_id, outcome: outcome,
+  resource_id: resource_id, user_id: user_id}})::VARCHAR)"""
+
+
+def _nodes(level: int, below: str) -> str:
+    return f"""(SELECT substr(range, 1, {level}) AS range, sha256(string_agg(range || ':' || sha256, '|' ORDER BY range || ':' || sha256)) AS sha256, sum(n) AS n
+  FROM {below} GROUP BY ALL)"""
+
+
+@query("SELECT sha256 AS fingerprint, n::BIGINT AS event_count FROM level0", extra=f"""
+rows_of AS (SELECT h, count(*) AS n FROM (SELECT {RECORD_SQL.format('bytes_written')} AS h FROM obs) GROUP BY h),
+level6 AS (SELECT substr(h, 1, 6) AS range, sha256(string_agg(h || ':' || n, '|' ORDER BY h || ':' || n)) AS sha256, sum(n) AS n FROM rows_of GROUP BY ALL),
+level4 AS {_nodes(4, 'level6')}, level2 AS {_nodes(2, 'level4')}, level0 AS {_nodes(0, 'level2')}""")
 def fingerprint(spark, folder):
-    return reports.fingerprint(obs(spark, folder), RECORD, utc_day(micros()))
+    return merkle.fingerprint(obs(spark, folder), RECORD)
+
+
+TAMPERED = "CASE WHEN k % 23 = 0 THEN bytes_written + 1 ELSE bytes_written END"
+
+
+@query("""
+SELECT substr(h, 1, 3) AS range, sum(a)::BIGINT AS left_rows, sum(b)::BIGINT AS right_rows FROM both_sides
+GROUP BY ALL HAVING bool_or(a <> b)""", extra=f"""
+sides AS (SELECT {RECORD_SQL.format('bytes_written')} AS h, 1 AS a, 0 AS b FROM obs UNION ALL SELECT {RECORD_SQL.format(TAMPERED)}, 0, 1 FROM obs),
+both_sides AS (SELECT h, sum(a) AS a, sum(b) AS b FROM sides GROUP BY h)""")
+def changed_ranges(spark, folder):
+    """Ranges of row hashes in which a run differs from one whose byte counts were raised here and there."""
+    events = obs(spark, folder)
+    left, right = (durable(merkle.tree(rows, RECORD, 3)) for rows in (events, events.withColumn("bytes_written", F.expr(TAMPERED))))
+    return merkle.changed_ranges(left, right, 3)
 
 
 @query("SELECT event_id, user_id, device_id, action FROM obs")

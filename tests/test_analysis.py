@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lograil.operators import context, evaluate, features, forest, hunts, intel, ranks, reports, risk
+from lograil.operators import context, evaluate, features, forest, hunts, intel, merkle, ranks, reports, risk
 from lograil.operators.chain import detect
 from lograil.operators.history import established_users
 from tests.logs import LABEL, START, attack, event, frame, history, labels
@@ -146,10 +146,24 @@ def test_warnings_and_reports(spark):
 
 
 def test_fingerprint_ignores_order_but_not_repeats(spark):
-    day = F.lit(0)
     rows = frame(spark, history()).select("event_id", "action")
-    mark = lambda df: reports.fingerprint(df, ["event_id", "action"], day).first().fingerprint
+    mark = lambda df: merkle.fingerprint(df, ["event_id", "action"]).first().fingerprint
     assert mark(rows) == mark(rows.repartition(4, F.rand(1))) != mark(rows.unionByName(rows.limit(1)))
+    assert merkle.fingerprint(rows.limit(0), ["event_id"]).first().event_count == 0
+
+
+def test_tree_finds_the_changed_rows(spark):
+    """Of many rows the few that one side lost, gained or repeats are found through their ranges."""
+    rows = spark.range(3000).selectExpr("id", "concat('v', id % 100) as v")
+    other = rows.where("id <> 77").unionByName(spark.createDataFrame([(9999, "new"), (5, "v5")], "id bigint, v string"))
+    left, right = (merkle.tree(t, ["id", "v"], 3) for t in (rows, other))
+    ranges = merkle.changed_ranges(left, right, 3)
+    found = merkle.changed_rows(rows, other, ranges, ["id", "v"], 3).collect()
+    assert 1 <= ranges.count() <= 3 and sorted((r.left_n, r.right_n) for r in found) == [(0, 1), (1, 0), (1, 2)]
+    assert merkle.changed_ranges(left, left, 3).count() == 0
+    assert {r.level for r in left.collect()} == {0, 2, 3}
+    everything = merkle.changed_ranges(left, left.limit(0), 3)
+    assert everything.agg(F.sum("left_rows"), F.sum("right_rows")).first()[:] == (3000, 0)
 
 
 def test_no_double_credit(spark):
