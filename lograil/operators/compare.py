@@ -1,11 +1,11 @@
 """Comparing runs: correspondence, sensitivity, replay, re-verification."""
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograil.operators.chain import ACTOR, Chain, detect, episodes
 from lograil.operators.features import WIDTH, window_start
 from lograil.operators.merkle import fingerprint
-from lograil.operators.ordered import micros
+from lograil.operators.ordered import micros, nearest
 from lograil.session import durable
 
 STAGES = ("authentication", "collection", "transfer")
@@ -125,22 +125,34 @@ def replay_stops(events: DataFrame) -> DataFrame:
     return times.unionByName(closures).unionByName(start).distinct()
 
 
-def replay_sweep(found: DataFrame, cutoffs: list[int]) -> DataFrame:
+def replay_sweep(found: DataFrame, cutoffs: list[int], window: int) -> DataFrame:
     """Decision counts at many cutoffs from one pass over the candidates.
 
-    `found` is `candidates` output. At a cutoff a candidate exists once its first
-    read happened and is complete once its copy did; thinning runs per cutoff.
+    `found` is `candidates` output for this chain window. At a cutoff a candidate exists once its first
+    read happened and is complete once its copy did. When the window of a login is over, its candidate is what
+    it stays, and so is its place in the kept chain: the chain is followed once over all candidates, and each kept one is
+    counted at the first cutoff behind its window and carried on. At a cutoff only candidates of open windows are thinned
+    anew, behind the end of the settled chain; so a candidate has a row for each cutoff inside its window and no more.
     """
     marks = F.array(*[F.lit(c).cast("bigint") for c in sorted(cutoffs)])
-    states = found.select("*", F.explode(F.filter(marks, lambda c: c >= F.col("first_read_us"))).alias("cutoff_us"))
+    found = durable(found)
+    kept = durable(episodes(found).select(*ACTOR, "login_us", "end_us", F.col("copy_us").isNotNull().alias("complete")))
+    closes = F.col("login_us") + F.lit(window)
+    settled = kept.select(F.array_min(F.filter(marks, lambda c: c >= closes)).alias("cutoff_us"), "complete")
+    opened = found.select("*", F.explode(F.filter(marks, lambda c: (c >= F.col("first_read_us")) & (c < closes))).alias("cutoff_us"))
     copied = F.col("copy_us") <= F.col("cutoff_us")
-    states = states.select(*ACTOR, "cutoff_us", "login_id", "login_us", F.coalesce(copied, F.lit(False)).alias("complete"),
+    opened = opened.select(*ACTOR, "cutoff_us", "login_id", "login_us", F.coalesce(copied, F.lit(False)).alias("complete"),
                            F.when(copied, F.col("copy_us")).otherwise(F.col("first_read_us")).alias("end_us"))
-    counts = episodes(states, [*ACTOR, "cutoff_us"]).groupBy("cutoff_us").agg(
-        F.count_if("complete").alias("incident_count"), F.count_if(~F.col("complete")).alias("partial_count"))
+    ends = kept.select(*ACTOR, closes.alias("cutoff_us"), F.col("end_us").alias("until"))
+    behind = nearest(opened, ends, ACTOR, "cutoff_us", ["until"], inclusive=True).where("until is null or login_us > until").drop("until")
+    tail = episodes(behind, [*ACTOR, "cutoff_us"])
+    counts = lambda rows: rows.groupBy("cutoff_us").agg(F.count_if("complete").alias("incidents"), F.count_if(~F.col("complete")).alias("partials"))
     every = found.sparkSession.range(1).select(F.explode(marks).alias("cutoff_us"))
-    return every.join(counts, "cutoff_us", "left").select(
-        "cutoff_us", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("incident_count", "partial_count")])
+    so_far = Window.orderBy("cutoff_us").rowsBetween(Window.unboundedPreceding, 0)      # a row for each cutoff
+    carried = every.join(counts(settled), "cutoff_us", "left").select("cutoff_us", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in ("incidents", "partials")])
+    open_now = counts(tail).withColumnsRenamed({"incidents": "open_incidents", "partials": "open_partials"})
+    return carried.join(open_now, "cutoff_us", "left").select(
+        "cutoff_us", *[(F.col(f"{c}s") + F.coalesce(f"open_{c}s", F.lit(0))).alias(f"{c}_count") for c in ("incident", "partial")])
 
 
 def verify_result(stored: DataFrame, recomputed: DataFrame) -> DataFrame:

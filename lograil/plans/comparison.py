@@ -152,7 +152,7 @@ sweep AS (
   SELECT s.c, s.user_id, s.device_id, s.rn, s.done_s, s.login_us > w.until_s, CASE WHEN s.login_us > w.until_s THEN s.end_s ELSE w.until_s END
   FROM sweep w JOIN states s ON s.c = w.c AND s.user_id = w.user_id AND s.device_id = w.device_id AND s.rn = w.rn + 1)""", recursive=True)
 def replay_sweep(spark, folder):
-    return compare.replay_sweep(chain.candidates(obs(spark, folder), resources(spark, folder), CONFIG), CUTOFFS)
+    return compare.replay_sweep(chain.candidates(obs(spark, folder), resources(spark, folder), CONFIG), CUTOFFS, CONFIG.window)
 
 
 @query("""

@@ -167,3 +167,25 @@ def test_forged_candidates_are_reported(spark):
     assert errors == ["the copy cites another mount", "the decision does not fit the stages"]
     assert candidates(events, labels(spark, "nothing")).count() == 0
     assert chain.RULE_VERSION == "login-read-copy/1"
+
+
+def test_sweep_over_a_thousand_cutoffs(spark):
+    """Decision counts at every cutoff as thinning the candidates of that moment one by one would give them."""
+    rng, window, rows = random.Random(4), 60, []
+    for user in ("u", "v"):
+        for at in sorted(rng.sample(range(900), 70)):
+            read = at + rng.randrange(1, window + 1)
+            copy = rng.choice([None, rng.randrange(read, at + window + 1)])
+            rows.append((user, "d", f"{user}{at:03d}", at, read, copy, copy or read))
+    found = spark.createDataFrame(rows, "user_id string, device_id string, login_id string, login_us bigint, first_read_us bigint, copy_us bigint, end_us bigint")
+    got = {r.cutoff_us: (r.incident_count, r.partial_count) for r in compare.replay_sweep(found, list(range(1000)), window).collect()}
+    expected = {}
+    for cutoff in range(1000):
+        counts, until = [0, 0], {}
+        for user, _, _, login, read, copy, _ in rows:
+            done = copy is not None and copy <= cutoff
+            if read <= cutoff and login > until.get(user, -1):
+                until[user] = copy if done else read
+                counts[not done] += 1
+        expected[cutoff] = tuple(counts)
+    assert got == expected
