@@ -2,29 +2,25 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lograil.operators.history import completed
+from lograil.operators.features import feature_rows, finished_windows, window_sums
+from lograil.operators.history import completed, history_snapshot, snapshot_totals
 from lograil.operators.hunts import Rule, sigma_scan
 from lograil.operators.intel import group_hits
 
 
-def stream_features(events: DataFrame, delay: str = "30 minutes") -> DataFrame:
-    """Quarter-hour counts per (user, device). Append mode emits closed windows only,
-    update mode also the provisional ones.
+def stream_features(events: DataFrame, history: DataFrame, resources: DataFrame, delay: str = "30 minutes") -> DataFrame:
+    """The features of `window_features` per (user, device) and quarter hour, against a frozen history and labels.
 
-    Distinct counts come from sets, which a quarter hour bounds; streams allow no
-    exact distinct aggregate.
+    Append mode emits closed windows only, update mode also the provisional ones. Distinct counts come from sets, which
+    a quarter hour bounds; streams allow no exact distinct aggregate. Novelty and labels are joined as static tables,
+    per event before the window and per window behind it.
     """
-    read = (F.col("action") == "file_read") & completed()
-    done = completed()
-    return (events.withWatermark("event_time", delay).groupBy("user_id", "device_id", F.window("event_time", "15 minutes").alias("w")).agg(
-        F.count("*").alias("event_count"), F.count_if(F.col("action") == "login_failure").alias("login_failures"),
-        F.count_if((F.col("action") == "login_success") & done).alias("successful_logins"),
-        F.size(F.collect_set(F.when(read, F.col("resource_id")))).alias("distinct_resources"),
-        F.coalesce(F.sum(F.when(done, F.col("bytes_read"))), F.lit(0)).alias("bytes_read"),
-        F.coalesce(F.sum(F.when(done, F.col("bytes_written"))), F.lit(0)).alias("bytes_written"),
-        F.size(F.collect_set(F.when(done, F.col("dst_ip")))).alias("distinct_destinations"))
-        .select("user_id", "device_id", F.unix_micros("w.start").alias("window_us"), "event_count", "login_failures",
-                "successful_logins", "distinct_resources", "bytes_read", "bytes_written", "distinct_destinations"))
+    known, totals = history_snapshot(history), snapshot_totals(history)
+    rows = feature_rows(events.withWatermark("event_time", delay), known, resources)
+    windows = (rows.groupBy("user_id", "device_id", F.window("event_time", "15 minutes").alias("w"))
+               .agg(*window_sums(lambda column: F.size(F.collect_set(column)).cast("bigint")))
+               .withColumn("window_us", F.unix_micros("w.start")).drop("w"))
+    return finished_windows(windows, known, totals)
 
 
 def stream_rule_hits(events: DataFrame, rules: list[Rule]) -> DataFrame:

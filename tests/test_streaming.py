@@ -1,11 +1,12 @@
-import datetime
 import json
 import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 
 from lograil.operators.chain import Chain, active_mount, detect, eligible_copies
+from lograil.operators.features import window_features
 from lograil.operators.hunts import SHIPPED_RULES
 from lograil.operators.ingest import ingest
 from lograil.operators.normalize import Source, dedup_status
@@ -18,7 +19,7 @@ from lograil.streaming.late import LateRows
 from lograil.streaming.mounts import mount_steps, stream_active_mount
 from lograil.streaming.sessions import sessions
 from lograil.streaming.windows import stream_features, stream_mount_join, stream_rule_hits
-from tests.logs import DAY5, SCHEMA, attack, event, frame, history, labels
+from tests.logs import DAY5, SCHEMA, START, attack, event, frame, history, labels
 
 
 def feed(spark, folder, *batches):
@@ -65,7 +66,7 @@ def test_closed_windows_only_and_late_rows_dropped(spark, tmp_path):
     counted = LateRows()
     spark.streams.addListener(counted)
     # A batch judges lateness by the watermark of the batch before it.
-    got, query = drain(stream_features(feed(spark, tmp_path, first, later, [event("e", 301, "login_success")], late)), tmp_path)
+    got, query = drain(stream_features(feed(spark, tmp_path, first, later, [event("e", 301, "login_success")], late), frame(spark, []), labels(spark)), tmp_path)
     assert [(r.event_count, r.login_failures, r.successful_logins) for r in got] == [(2, 1, 1)]
     for _ in range(100):  # progress arrives on a thread of its own
         if counted.dropped[str(query.id)]:
@@ -75,6 +76,22 @@ def test_closed_windows_only_and_late_rows_dropped(spark, tmp_path):
     assert counted.dropped[str(query.id)] == 1
 
 
+def test_closed_windows_equal_the_batch_features(spark, tmp_path):
+    """All twelve features, with novelty against a frozen history and labels that begin and end."""
+    rng, rows = random.Random(3), []
+    for i in range(160):
+        action = rng.choice(["login_success", "login_failure", "file_read", "file_read", "file_copy_to_usb"])
+        rows.append({**event(f"e{i}", DAY5 + rng.randrange(180), action, app_id=rng.choice("ab"), resource_id=rng.choice(["work", "secret", "x"]), dst_ip=rng.choice(["1", "2", None]),
+                             bytes_read=rng.choice([None, 3]), bytes_written=rng.choice([None, 7]), destination_type="removable_media", outcome=rng.choice([None, "success", "failure"])),
+                     "user_id": rng.choice(["u", "v", None]), "device_id": rng.choice(["d1", "d2"])})
+    closing = [event(n, DAY5 + t, "login_success", device_id="d9") for n, t in (("z", 900), ("zz", 2000))]
+    known = labels(spark, "secret", start=START + timedelta(minutes=DAY5 + 60), end=START + timedelta(minutes=DAY5 + 120))
+    stream = feed(spark, tmp_path, rows[:90], rows[90:], closing[:1], closing[1:])
+    got, _ = drain(stream_features(stream, frame(spark, history()), known, "6 hours"), tmp_path)
+    batch = window_features(frame(spark, [*rows, closing[0]]), frame(spark, history()), known).drop("provisional")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.collect())) and len(got) > 20
+
+
 def test_rule_hits_and_sessions(spark, tmp_path):
     hits, _ = drain(stream_rule_hits(feed(spark, tmp_path, list(attack().values())), list(SHIPPED_RULES)).select("event_id", "rule_id"), tmp_path)
     assert sorted(hits) == [("copy", "explicit-copy"), ("login", "auth-success"), ("mount", "usb-mount"), ("read", "file-read")]
@@ -165,7 +182,7 @@ def test_statuses_equal_a_batch_replay(spark, tmp_path):
 
 
 def time_of(minute):
-    return datetime.datetime(2026, 1, 1, 9, minute, 0, 1)
+    return datetime(2026, 1, 1, 9, minute, 0, 1)
 
 
 def test_status_state_expires(spark, tmp_path):
