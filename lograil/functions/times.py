@@ -13,9 +13,9 @@ NAIVE = rf"^{_DATE}([T ]{_CLOCK})?$"
 ZONED = rf"^{_DATE}[T ]{_CLOCK}{_OFFSET}$"
 # Clock changes of real zones: another instant this far away may show the same local time.
 _SHIFTS = ("30 minutes", "1 hour", "2 hours")
-MISSING_ZONE = "naive timestamp requires a declared source timezone"
-AMBIGUOUS = "ambiguous or nonexistent local time; supply an explicit offset"
-MALFORMED = "malformed timestamp"
+MISSING_ZONE = "time without offset, and its source declares no zone"
+AMBIGUOUS = "local time that the zone skips or repeats"
+MALFORMED = "time cannot be read"
 
 
 def declared(zone: str | None) -> Column:
@@ -55,7 +55,7 @@ def parse_event_time(text: Column, zone: Column) -> Column:
         for shift in _SHIFTS:
             step = F.expr(f"interval '{shift}'")
             fold = fold | (F.from_utc_timestamp(utc + step, zone) == seen) | (F.from_utc_timestamp(utc - step, zone) == seen)
-        error = (F.when(text.isNull() | (text == ""), "timestamp is required as an ISO 8601 string")
+        error = (F.when(text.isNull() | (text == ""), "record has no time")
                  .when(seen.isNull() | ~(zoned | naive), MALFORMED).when(zoned, None)
                  .when(zone.isNull(), MISSING_ZONE).when(gap | fold, AMBIGUOUS))
         return let(error, lambda problem: F.struct(

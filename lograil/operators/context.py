@@ -70,7 +70,7 @@ def resolve(events: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame
         "event_id", F.col("_original").alias("original_user_id"), F.col("user_id").alias("canonical_user_id"),
         F.lit(ALIAS_STRENGTH).alias("policy_strength"))
     warnings = found.where(F.col("alias_status") == "excluded").select("user_id").distinct().withColumn(
-        "warning", F.concat(F.lit("Ambiguous or chained alias excluded: "), "user_id"))
+        "warning", F.concat(F.lit("several or chained targets, kept as it is: "), "user_id"))
     return rewritten.select(*events.columns), links, warnings
 
 

@@ -28,16 +28,16 @@ def label_violations(labels: DataFrame, events: DataFrame) -> DataFrame:
     """(scenario, problem): missing stage, reference outside the data, other actor, wrong order."""
     facts = _facts(events)
     incomplete = labels.where(" or ".join(f"{s} is null" for s in STAGES)).select(
-        "scenario_id", F.lit("label requires all three stage references").alias("problem"))
+        "scenario_id", F.lit("a stage cites no event").alias("problem"))
     refs = _refs(labels).join(facts, "event_id", "left")
-    outside = refs.where("us is null").select("scenario_id", F.lit("reference outside dataset").alias("problem"))
-    other = refs.where("_user <> user_id or _device <> device_id").select("scenario_id", F.lit("actor/endpoint mismatch").alias("problem"))
+    outside = refs.where("us is null").select("scenario_id", F.lit("cites an event that is not there").alias("problem"))
+    other = refs.where("_user <> user_id or _device <> device_id").select("scenario_id", F.lit("cites another account or device").alias("problem"))
     order = labels.select("scenario_id", F.inline("order_constraints"))
     moment = facts.select("event_id", "us")
     timed = (order.join(moment.withColumnsRenamed({"event_id": "before", "us": "before_us"}), "before", "left")
              .join(moment.withColumnsRenamed({"event_id": "after", "us": "after_us"}), "after", "left"))
     wrong = timed.where(~F.coalesce(F.col("before_us") < F.col("after_us"), F.lit(False))).select(
-        "scenario_id", F.lit("invalid ordering").alias("problem"))
+        "scenario_id", F.lit("cites events in the wrong order").alias("problem"))
     return incomplete.unionByName(outside).unionByName(other).unionByName(wrong).distinct()
 
 

@@ -47,12 +47,12 @@ class Rule:
 
 # The shipped hunting rules.
 SHIPPED_RULES = (
-    Rule("auth-failure", "explicit failed authentication", "low", (Condition("action", ("login_failure",)),)),
-    Rule("auth-success", "successful authentication", "informational", (Condition("action", ("login_success",)),)),
-    Rule("file-read", "file access", "informational", (Condition("action", ("file_read",)),)),
-    Rule("usb-mount", "removable media mount", "low", (Condition("action", ("usb_mount",)),)),
-    Rule("usb-unmount", "removable media unmount", "informational", (Condition("action", ("usb_unmount",)),)),
-    Rule("explicit-copy", "explicit file copy to removable media", "medium",
+    Rule("auth-failure", "a sign-in failed", "low", (Condition("action", ("login_failure",)),)),
+    Rule("auth-success", "a sign-in succeeded", "informational", (Condition("action", ("login_success",)),)),
+    Rule("file-read", "a file was read", "informational", (Condition("action", ("file_read",)),)),
+    Rule("usb-mount", "a removable medium was attached", "low", (Condition("action", ("usb_mount",)),)),
+    Rule("usb-unmount", "a removable medium was detached", "informational", (Condition("action", ("usb_unmount",)),)),
+    Rule("explicit-copy", "a file went to a removable medium", "medium",
          (Condition("action", ("file_copy_to_usb",)), Condition("destination_type", ("removable_media",)))),
 )
 

@@ -38,13 +38,13 @@ def provenance_errors(events: DataFrame, records: DataFrame, files: DataFrame) -
               | ~F.col("file_row_json").eqNullSafe(F.col("raw_json")))
     primary = F.col("record_ref") == F.col("raw_record_ref")
     errors = F.array_compact(F.array(
-        F.when(source, "source file/row/hash mismatch"),
-        F.when(~F.col("renormalized_sha256").eqNullSafe(F.col("content_sha256")), "source predicate mismatch"),
-        F.when(primary & (F.col("raw_sha256") != F.col("raw_record_sha256")), "primary provenance mismatch")))
+        F.when(source, "record differs from its file"),
+        F.when(~F.col("renormalized_sha256").eqNullSafe(F.col("content_sha256")), "record normalises to other content"),
+        F.when(primary & (F.col("raw_sha256") != F.col("raw_record_sha256")), "event holds another hash of its record")))
     broken = joined.select("event_id", "record_ref", F.explode(errors).alias("error"))
     held = records.select("event_id", F.col("record_ref").alias("raw_record_ref"))
     lost = facts.join(held, ["event_id", "raw_record_ref"], "left_anti").select(
-        "event_id", F.col("raw_record_ref").alias("record_ref"), F.lit("primary reference missing").alias("error"))
+        "event_id", F.col("raw_record_ref").alias("record_ref"), F.lit("own record of the event is gone").alias("error"))
     return broken.unionByName(lost)
 
 

@@ -213,10 +213,10 @@ def evidence_rows(spark, folder):
 
 @query("""
 SELECT event_id, ref AS record_ref, unnest(list_filter([
-    CASE WHEN k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 THEN 'source file/row/hash mismatch' END, CASE WHEN k % 31 = 0 THEN 'source predicate mismatch' END,
-    CASE WHEN k % 19 = 0 AND upload = 1 THEN 'primary provenance mismatch' END], lambda e: e IS NOT NULL)) AS error
+    CASE WHEN k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 THEN 'record differs from its file' END, CASE WHEN k % 31 = 0 THEN 'record normalises to other content' END,
+    CASE WHEN k % 19 = 0 AND upload = 1 THEN 'event holds another hash of its record' END], lambda e: e IS NOT NULL)) AS error
 FROM records WHERE NOT (k % 37 = 0 AND upload = 1) UNION ALL
-SELECT event_id, ref, 'primary reference missing' FROM records WHERE k % 37 = 0 AND upload = 1""", extra=RECORDS_SQL)
+SELECT event_id, ref, 'own record of the event is gone' FROM records WHERE k % 37 = 0 AND upload = 1""", extra=RECORDS_SQL)
 def provenance_errors(spark, folder):
     """Damage by k: stored hash, file row, file, renormalised content, lost record."""
     records, content, k = _records(spark, folder), F.sha2("raw_json", 256), F.col("k")
@@ -299,8 +299,8 @@ def _labels(rows):
 
 
 @query("""
-SELECT scenario_id, CASE bytes_written % 5 WHEN 0 THEN 'label requires all three stage references' WHEN 1 THEN 'reference outside dataset'
-  WHEN 2 THEN 'actor/endpoint mismatch' WHEN 3 THEN 'invalid ordering' END AS problem FROM labels_ WHERE bytes_written % 5 < 4""",
+SELECT scenario_id, CASE bytes_written % 5 WHEN 0 THEN 'a stage cites no event' WHEN 1 THEN 'cites an event that is not there'
+  WHEN 2 THEN 'cites another account or device' WHEN 3 THEN 'cites events in the wrong order' END AS problem FROM labels_ WHERE bytes_written % 5 < 4""",
        extra=ALL_SQL + "," + LABELS_SQL, recursive=True)
 def label_violations(spark, folder):
     """Labels damaged by the copied byte count."""

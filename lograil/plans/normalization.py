@@ -28,7 +28,7 @@ def _written(spark, folder):
 @query("""
 SELECT event_id, CASE form WHEN 0 THEN us WHEN 1 THEN us - 7200000000 WHEN 2 THEN us - 3600000000 END AS us,
   CASE WHEN form = 2 THEN 'Europe/Berlin' END AS timezone_assumption,
-  CASE WHEN form = 3 THEN 'naive timestamp requires a declared source timezone' END AS error FROM written""", extra=WRITTEN_SQL)
+  CASE WHEN form = 3 THEN 'time without offset, and its source declares no zone' END AS error FROM written""", extra=WRITTEN_SQL)
 def normalize_time(spark, folder):
     parsed = _written(spark, folder).withColumn("time", times.parse_event_time(F.col("text"), F.col("zone")))
     return parsed.select("event_id", micros("time.event_time").alias("us"), "time.timezone_assumption", "time.error")
@@ -71,12 +71,12 @@ def action_classes(spark, folder):
 
 @query("""
 SELECT event_id, CASE
-  WHEN act = 'file_copy_to_usb' AND k % 5 = 0 THEN 'copy requires destination_type=removable_media'
-  WHEN k % 9 <> 0 AND k % 9 <> 1 AND k % 7 = 0 THEN act || ' requires user_id'
-  WHEN k % 9 <> 0 AND k % 9 <> 1 AND k % 7 = 1 THEN act || ' requires device_id'
-  WHEN act LIKE 'login%' AND k % 7 = 2 THEN act || ' requires app_id'
-  WHEN act IN ('file_read', 'file_copy_to_usb') AND k % 7 = 3 THEN act || ' requires resource_id'
-  WHEN act IN ('usb_mount', 'usb_unmount', 'file_copy_to_usb') AND k % 7 = 4 THEN act || ' requires removable_device_id' END AS error
+  WHEN act = 'file_copy_to_usb' AND k % 5 = 0 THEN 'copy to something else than removable media'
+  WHEN k % 9 <> 0 AND k % 9 <> 1 AND k % 7 = 0 THEN act || ' lacks its user_id'
+  WHEN k % 9 <> 0 AND k % 9 <> 1 AND k % 7 = 1 THEN act || ' lacks its device_id'
+  WHEN act LIKE 'login%' AND k % 7 = 2 THEN act || ' lacks its app_id'
+  WHEN act IN ('file_read', 'file_copy_to_usb') AND k % 7 = 3 THEN act || ' lacks its resource_id'
+  WHEN act IN ('usb_mount', 'usb_unmount', 'file_copy_to_usb') AND k % 7 = 4 THEN act || ' lacks its removable_device_id' END AS error
 FROM odd""", extra=ODD_SQL)
 def required_errors(spark, folder):
     """k % 7 blanks one field, k % 5 the destination."""
@@ -190,7 +190,7 @@ SELECT dataset_id, count(*) FILTER (status = 'accepted') AS accepted, count(*) F
   coalesce(string_agg(DISTINCT zone, ',') FILTER (status = 'accepted'), '') AS zones,
   coalesce(string_agg(DISTINCT warning, ',') FILTER (status = 'accepted'), '') AS warnings
 FROM (SELECT *, user_id[-1:] AS dataset_id, CASE WHEN k % 4 = 2 THEN 'Europe/Berlin' END AS zone,
-  CASE WHEN k % 9 = 0 THEN 'unsupported action retained for browsing; excluded from detection' END AS warning FROM statused) GROUP BY dataset_id""",
+  CASE WHEN k % 9 = 0 THEN 'unknown action: kept, never part of a finding' END AS warning FROM statused) GROUP BY dataset_id""",
        extra=UPLOADS_SQL)
 def quality_report(spark, folder):
     """Ten datasets by the last digit of the user number."""
@@ -245,7 +245,7 @@ def findings(spark, folder):
 SELECT source_position, CASE WHEN NOT bad THEN 'alert-' || event_id END AS upstream_alert_id, CASE WHEN NOT bad THEN (k % 17)::VARCHAR END AS original_severity,
   CASE WHEN NOT bad THEN device_id END AS host, CASE WHEN NOT bad THEN src_ip END AS src_ip, CASE WHEN NOT bad THEN domain END AS domain,
   CASE WHEN NOT bad THEN 'T10' || (k % 2) || ',T1110' END AS techniques, CASE WHEN NOT bad THEN us END AS us,
-  CASE WHEN bad THEN 'rule.level must be an integer from 0 through 16' END AS validation_error FROM findings""", extra=ALERTS_SQL)
+  CASE WHEN bad THEN 'rule.level is outside 0..16' END AS validation_error FROM findings""", extra=ALERTS_SQL)
 def wazuh_rows(spark, folder):
     return alerts.wazuh_findings(alert_lines(spark, folder)).select(
         "source_position", "upstream_alert_id", "original_severity", "host", "src_ip", "domain",
@@ -323,9 +323,9 @@ def alias_merge(spark, folder):
 @query("""
 SELECT event_id AS source_record_number, CASE WHEN ok THEN 'env:user:' || user_id END AS user_id, CASE WHEN ok THEN 'env:file:' || resource_id END AS resource_id,
   CASE WHEN ok THEN bytes_written END AS bytes_written, CASE WHEN ok THEN us END AS us, CASE WHEN ok AND k % 9 = 0 THEN
-    'unsupported action retained for browsing; excluded from detection' WHEN ok THEN '' END AS warnings,
-  CASE WHEN k % 13 = 0 THEN 'naive timestamp requires a declared source timezone' WHEN k % 11 = 0 THEN 'action usb_mount does not belong to file adapter'
-    WHEN k % 7 = 0 AND k % 9 <> 0 THEN action || ' requires device_id' WHEN k % 5 = 0 AND bytes_written IS NOT NULL THEN 'bytes_written must be an integer from 0 to 2^63-1' END AS error
+    'unknown action: kept, never part of a finding' WHEN ok THEN '' END AS warnings,
+  CASE WHEN k % 13 = 0 THEN 'time without offset, and its source declares no zone' WHEN k % 11 = 0 THEN 'action usb_mount is never logged by file sources'
+    WHEN k % 7 = 0 AND k % 9 <> 0 THEN action || ' lacks its device_id' WHEN k % 5 = 0 AND bytes_written IS NOT NULL THEN 'bytes_written must be an integer from 0 to 2^63-1' END AS error
 FROM (SELECT *, NOT (k % 13 = 0 OR k % 11 = 0 OR (k % 7 = 0 AND k % 9 <> 0) OR (k % 5 = 0 AND bytes_written IS NOT NULL)) AS ok
   FROM obs WHERE source_type = 'file')""")
 def normalized_records(spark, folder):
@@ -406,7 +406,7 @@ def indicator_feed(spark, folder):
 
 @query("""
 SELECT event_id, upload, source_type, CASE WHEN k % 13 = 0 THEN 'rejected' WHEN upload = 1 THEN 'accepted' WHEN upload = 2 THEN 'duplicate' ELSE 'conflict' END AS status,
-  CASE WHEN k % 13 = 0 THEN 'naive timestamp requires a declared source timezone' WHEN upload = 3 THEN 'another record of this id is already accepted' END AS error
+  CASE WHEN k % 13 = 0 THEN 'time without offset, and its source declares no zone' WHEN upload = 3 THEN 'another record of this id is already accepted' END AS error
 FROM (SELECT *, 1 AS upload FROM obs UNION ALL SELECT *, 2 FROM obs WHERE event_id % 9 = 0 UNION ALL SELECT *, 3 FROM obs WHERE event_id % 14 = 0)""")
 def ingest_status(spark, folder):
     """Ingest of all families: every ninth record comes again, every fourteenth with other content."""

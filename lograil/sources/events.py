@@ -32,7 +32,7 @@ def raw_json_lines(lines: DataFrame) -> DataFrame:
         F.when(~kinds[name].isin("STRING", "VOID", *(("BIGINT", "BOOLEAN") if name in BYTE_COUNTS else ()))
                & ~(F.lit(name in GEO) & kinds[name].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")),
                F.lit(f"{name} has an unsupported type")) for name in RAW_FIELDS])
-    error = F.when(F.col("v").isNull(), "line is not valid JSON").when(~F.col("is_object"), "record must be a JSON object").otherwise(wrong)
+    error = F.when(F.col("v").isNull(), "line is not valid JSON").when(~F.col("is_object"), "line holds no JSON object").otherwise(wrong)
     whole = F.coalesce(F.to_json("v"), F.to_json(F.struct(F.col("line").alias("_unparsed"))))
     fields = {name: F.when(F.col("is_object"), text("v", f"$.{name}")) for name in RAW_FIELDS}
     return (computed_once(rows, {"read_error": error, "raw_json": whole, **fields})

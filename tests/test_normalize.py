@@ -24,7 +24,7 @@ TIMES = [("2026-01-01T09:00:00Z", None, "2026-01-01 09:00:00", None), ("2026-01-
          ("2026-03-29T02:30:00", "Europe/Berlin", None, times.AMBIGUOUS), ("2026-10-25T02:30:00", "Europe/Berlin", None, times.AMBIGUOUS),
          ("2026-10-25T02:30:00+02:00", "Europe/Berlin", "2026-10-25 00:30:00", None), ("2026-04-05T01:45:00", "Australia/Lord_Howe", None, times.AMBIGUOUS),
          ("2026-10-25T04:30:00", "Europe/Berlin", "2026-10-25 03:30:00", None), ("yesterday", "Europe/Berlin", None, times.MALFORMED),
-         ("2026-13-01T09:00:00Z", None, None, times.MALFORMED), ("", None, None, "timestamp is required as an ISO 8601 string")]
+         ("2026-13-01T09:00:00Z", None, None, times.MALFORMED), ("", None, None, "record has no time")]
 
 
 def test_event_times_with_gaps_and_folds(spark):
@@ -49,12 +49,12 @@ def test_identifiers(spark):
 
 RECORD = {"timestamp": "2026-01-01T09:00:00Z", "action": "file_copy_to_usb", "user_id": "u", "device_id": "d", "resource_id": "r",
           "removable_device_id": "m", "bytes_written": 5, "destination_type": "removable_media"}
-BAD = [({"bytes_written": True}, "bytes_written must be an integer byte count, not a boolean"),
-       ({"bytes_written": -1}, "bytes_written must be an integer from 0 to 2^63-1"), ({"user_id": None}, "file_copy_to_usb requires user_id"),
-       ({"destination_type": "cloud"}, "copy requires destination_type=removable_media"), ({"user_id": "  "}, "user_id must be a nonempty string"),
-       ({"user_id": 7}, "user_id has an unsupported type"), ({"action": "usb_mount"}, "action usb_mount does not belong to file adapter"),
-       ({"src_ip": "1.2.3"}, "src_ip does not appear to be an IPv4 or IPv6 address"), ({"geo_latitude": 91}, "geo_latitude must be between -90 and 90"),
-       ({"timestamp": "2026-01-01T09:00:00"}, times.MISSING_ZONE), ({"file_path": "x" * 70_000}, "record exceeds 64 KiB")]
+BAD = [({"bytes_written": True}, "bytes_written is a truth value, not a number of bytes"),
+       ({"bytes_written": -1}, "bytes_written must be an integer from 0 to 2^63-1"), ({"user_id": None}, "file_copy_to_usb lacks its user_id"),
+       ({"destination_type": "cloud"}, "copy to something else than removable media"), ({"user_id": "  "}, "user_id is blank"),
+       ({"user_id": 7}, "user_id has an unsupported type"), ({"action": "usb_mount"}, "action usb_mount is never logged by file sources"),
+       ({"src_ip": "1.2.3"}, "src_ip is no IP address"), ({"geo_latitude": 91}, "geo_latitude must be between -90 and 90"),
+       ({"timestamp": "2026-01-01T09:00:00"}, times.MISSING_ZONE), ({"file_path": "x" * 70_000}, "record is longer than 64 KiB")]
 
 
 def test_jsonl_values_and_line_numbers(spark, tmp_path):
@@ -67,7 +67,7 @@ def test_jsonl_values_and_line_numbers(spark, tmp_path):
     assert good[1].user_id == "env:user:u" and good[1].bytes_written == 5 and good[1].raw_record_sha256
     assert good[5 + len(BAD)].normalization_warnings == [norm.UNSUPPORTED]
     assert {r.row_number: r.error for r in rejects.collect()} == {
-        **{i + 3: error for i, (_, error) in enumerate(BAD)}, len(BAD) + 3: "record must be a JSON object", len(BAD) + 4: "line is not valid JSON"}
+        **{i + 3: error for i, (_, error) in enumerate(BAD)}, len(BAD) + 3: "line holds no JSON object", len(BAD) + 4: "line is not valid JSON"}
 
 
 def test_csv_keeps_other_rows(spark, tmp_path):
@@ -76,7 +76,7 @@ def test_csv_keeps_other_rows(spark, tmp_path):
     events, rejects = read_events_csv(spark, str(tmp_path / "a.csv"), Source("ds", "env", "s", "auth"))
     assert [(e.app_id, e.source_record_number) for e in events.collect()] == [("env:app:a", 2)]
     assert sorted((r.row_number, r.error) for r in rejects.collect()) == [
-        (3, lines.MISFIT), (4, lines.MISFIT), (5, "login_failure requires app_id")]
+        (3, lines.MISFIT), (4, lines.MISFIT), (5, "login_failure lacks its app_id")]
     sinks.write_rejects(rejects, str(tmp_path / "quarantine"))
     assert spark.read.parquet(str(tmp_path / "quarantine")).count() == 3
     (tmp_path / "b.csv").write_text("a,a\n1,2\n")
