@@ -1,8 +1,11 @@
 """Isolation forest over feature windows: trees are grown and applied by Spark tasks.
 
-The model is a table of nodes. Trees see samples drawn by a hash of (seed, row key), so
-neither partitioning nor row order can change a fitted model.
+The model is a table of nodes, numbered as in a heap. Trees see samples drawn by a hash of (seed, row key),
+and every split is drawn by a hash of (seed, tree, node), so neither partitioning, row order nor a repeated
+task can change a fitted model, and any engine draws the same. Vectors are compared at six decimals, for
+logarithms differ in the last places between platforms.
 """
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -59,43 +62,52 @@ def tree_samples(windows: DataFrame, keys: list[str], trees: int = TREES, seed:
     ring is shorter than all samples together.
     """
     drawn = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
-    pool = usable(windows).select(*keys, "vector", drawn.alias("draw")).orderBy("draw", *keys).limit(trees * sample)
+    pool = usable(windows).select(*keys, _compared("vector").alias("vector"), drawn.alias("draw")).orderBy("draw", *keys).limit(trees * sample)
     # At most trees x sample rows meet in these windows.
     place, everything = F.row_number().over(Window.orderBy("draw", *keys)) - 1, Window.partitionBy()
-    ring = pool.withColumn("place", place).withColumn("n", F.count("*").over(everything))
-    rank = F.pmod(F.col("place") - F.col("tree_id") * sample, F.col("n")).cast("int")
-    return (ring.select("vector", "place", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
-            .withColumn("_rank", rank).where(F.col("_rank") < sample).select("tree_id", "_rank", "vector"))
+    ring = pool.select("vector", place.cast("bigint").alias("place"), F.count("*").over(everything).alias("n"))
+    # Tree t takes the ring's places from t * sample on; a place k rounds further is place + k * n.
+    own = F.transform(F.sequence(F.lit(0), F.floor((F.lit(trees * sample - 1) - F.col("place")) / F.col("n"))), lambda k: F.col("place") + k * F.col("n"))
+    own = F.transform(own, lambda at: F.struct(F.floor(at / sample).cast("int").alias("tree_id"), (at % sample).cast("int").alias("_rank")))
+    # A ring shorter than one sample goes whole to every tree.
+    whole = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("int").alias("tree_id"), F.pmod(F.col("place") - t * sample, F.col("n")).cast("int").alias("_rank")))
+    return ring.select("vector", F.inline(F.when(F.col("n") < sample, whole).otherwise(own))).select("tree_id", "_rank", "vector")
+
+
+def _drawn(seed: int, tree: int, node: int, what: str) -> int:
+    """48 bits for a draw at a node."""
+    return int(hashlib.md5(f"{seed}|{tree}|{node}|{what}".encode()).hexdigest()[:12], 16)
 
 
 def _grow(seed: int):
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(sample["tree_id"].iloc[0])
         data = np.stack(sample.sort_values("_rank")["vector"].to_numpy())
-        rng = np.random.default_rng([seed, tree])
         limit = math.ceil(math.log2(max(len(data), 2)))
         nodes, waiting = [], [(0, data, 0)]
-        count = 1
         while waiting:
             node, part, depth = waiting.pop()
-            spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if depth < limit and len(part) > 1 else ()
+            low, high = part.min(axis=0), part.max(axis=0)
+            spread = np.flatnonzero(high > low) if depth < limit and len(part) > 1 else ()
             if len(spread) == 0:
                 nodes.append((tree, node, -1, 0.0, -1, -1, len(part)))
                 continue
-            feature = int(rng.choice(spread))
-            low, high = part[:, feature].min(), part[:, feature].max()
-            split = float(rng.uniform(low, high))
+            feature = int(spread[_drawn(seed, tree, node, "feature") % len(spread)])
+            split = float(low[feature]) + _drawn(seed, tree, node, "split") / 2 ** 48 * (float(high[feature]) - float(low[feature]))
+            if split >= high[feature]:  # a draw at the upper end would not separate anything
+                split = float(low[feature])
             goes_left = part[:, feature] <= split
-            if goes_left.all():  # a draw at the upper end would not separate anything
-                split = float(low)
-                goes_left = part[:, feature] <= split
-            nodes.append((tree, node, feature, split, count, count + 1, len(part)))
-            waiting += [(count, part[goes_left], depth + 1), (count + 1, part[~goes_left], depth + 1)]
-            count += 2
+            left, right = 2 * node + 1, 2 * node + 2
+            nodes.append((tree, node, feature, split, left, right, len(part)))
+            waiting += [(left, part[goes_left], depth + 1), (right, part[~goes_left], depth + 1)]
         return pd.DataFrame(nodes, columns=["tree_id", "node_id", "feature", "split", "left", "right", "size"])
     return grow
 
 
+def _compared(vector: str) -> Column:
+    return F.transform(vector, lambda x: F.round(x, 6))
+
+
 def fit_forest(windows: DataFrame, keys: list[str], trees: int = TREES, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
     """Model table; each tree is grown from its sample of at most `sample` rows in one task.
 
@@ -116,15 +128,12 @@ def expected_depth(size):
 
 def _flat(tree: pd.DataFrame):
     """Arrays of one tree in which a leaf leads to itself, so all rows take equally many steps."""
-    feature, split = tree["feature"].to_numpy(), tree["split"].to_numpy()
-    left, right = tree["left"].to_numpy(), tree["right"].to_numpy()
+    node, feature, split = (tree[c].to_numpy() for c in ("node_id", "feature", "split"))
     own, leaf = np.arange(len(tree)), feature < 0
-    depth = np.zeros(len(tree))
-    for node in own[~leaf]:  # children always come after their parent
-        depth[[left[node], right[node]]] = depth[node] + 1
+    left, right = (np.where(leaf, own, np.searchsorted(node, tree[c].to_numpy())) for c in ("left", "right"))
+    depth = np.floor(np.log2(node + 1))     # of a heap's node
     path = depth + expected_depth(tree["size"].to_numpy())
-    return (np.where(leaf, 0, feature).astype(np.int32), split, np.where(leaf, own, left).astype(np.int32),
-            np.where(leaf, own, right).astype(np.int32), path, int(depth.max()))
+    return (np.where(leaf, 0, feature).astype(np.int32), split, left.astype(np.int32), right.astype(np.int32), path, int(depth.max()))
 
 
 def score_forest(windows: DataFrame, model: DataFrame) -> DataFrame:
@@ -153,6 +162,6 @@ def score_forest(windows: DataFrame, model: DataFrame) -> DataFrame:
             yield pd.Series(np.power(2.0, -total / len(trees) / base))
 
     scored = F.pandas_udf(score, DoubleType())
-    ready = usable(windows).withColumn("raw_anomaly_score", scored("vector"))
+    ready = usable(windows).withColumn("raw_anomaly_score", scored(_compared("vector")))
     rest = windows.where(F.col("cold_start") | F.col("provisional"))
     return ready.unionByName(rest.withColumn("raw_anomaly_score", F.lit(None).cast("double")))

@@ -1,4 +1,6 @@
 """Queries over features, scores, risk, graph, hunts and indicators."""
+import re
+
 from pyspark.sql import functions as F
 
 from lograil.functions.stats import wilson as wilson_interval
@@ -112,22 +114,78 @@ def quantile_higher(spark, folder):
     return _alarm(spark, folder)
 
 
-@query()
+def _features_sql(history: str, own: str, name: str) -> str:
+    """The window features of another choice of history and events, under other names."""
+    text = FEATURES_SQL[:FEATURES_SQL.index("rarity AS (")].strip().rstrip(",")
+    text = text.replace(f"WHERE done AND ts < TIMESTAMP '{FROZEN}'", f"WHERE done AND {history}").replace(f"WHERE o.ts >= TIMESTAMP '{FROZEN}'", f"WHERE {own}")
+    for word in ("hist", "totals", "h_dev", "h_app", "h_hour", "h_res", "marked", "grouped", "windows"):
+        text = re.sub(rf"\b{word}\b", f"{word}_{name}", text)
+    return text
+
+
+VECTOR_SQL = "[" + ", ".join(f"round(ln(1 + {c}::DOUBLE), 6)" if c in features.LOGGED else f"round({c}::DOUBLE, 6)" for c in features.NAMES) + "]"
+WIDE_SQL = ", ".join(f"{{0}}(v[{i + 1}])" for i in range(len(features.NAMES)))
+HEX_SQL = "('0x' || substr(md5('17|' || tree_id || '|' || node_id || '|{0}'), 1, 12))::BIGINT"
+
+
+def _forest_sql(windows: str) -> str:
+    """The forest grown level by level: draws and splits are hashes and sums that any engine repeats."""
+    levels = [f"""
+ring AS (SELECT v, row_number() OVER (ORDER BY draw, user_id, device_id, window_us) - 1 AS place, count(*) OVER () AS n FROM (
+  SELECT user_id, device_id, window_us, {VECTOR_SQL} AS v, md5(concat_ws('|', 17, user_id, device_id, window_us)) AS draw
+  FROM {windows} WHERE NOT cold_start ORDER BY draw, user_id, device_id, window_us LIMIT 51200)),
+part0 AS (SELECT t AS tree_id, 0::BIGINT AS node_id, ceil(log2(greatest(least(n, 256), 2))) AS deepest, v FROM ring, range(200) AS trees(t)
+  WHERE n < 256 OR ((place - t * 256) % n + n) % n < 256)"""]
+    for depth in range(9):
+        levels.append(f"""
+node{depth} AS (SELECT tree_id, node_id, size, f, CASE WHEN split >= hi[f] THEN lo[f] ELSE split END AS split FROM (
+  SELECT *, lo[f] + {HEX_SQL.format('split')} / 281474976710656.0::DOUBLE * (hi[f] - lo[f]) AS split FROM (
+    SELECT *, CASE WHEN {depth} < deepest AND size > 1 AND len(spread) > 0 THEN spread[1 + {HEX_SQL.format('feature')} % len(spread)] END AS f FROM (
+      SELECT *, list_filter(range(1, {len(features.NAMES) + 1}), lambda i: hi[i] > lo[i]) AS spread FROM (
+        SELECT tree_id, node_id, deepest, count(*) AS size, [{WIDE_SQL.format('min')}] AS lo, [{WIDE_SQL.format('max')}] AS hi FROM part{depth} GROUP BY ALL)))))""")
+        if depth < 8:
+            levels.append(f"""
+part{depth + 1} AS (SELECT tree_id, 2 * node_id + CASE WHEN v[f] <= split THEN 1 ELSE 2 END AS node_id, deepest, v
+  FROM part{depth} JOIN node{depth} USING (tree_id, node_id) WHERE f IS NOT NULL)""")
+    levels.append("model AS (" + " UNION ALL ".join(f"SELECT *, {depth} AS depth FROM node{depth}" for depth in range(9)) + ")")
+    return ",".join(levels)
+
+
+def _depth_sql(size: str) -> str:
+    return f"CASE WHEN {size} > 2 THEN 2 * (ln({size} - 1) + 0.5772156649015329) - 2 * ({size} - 1) / {size}::DOUBLE WHEN {size} = 2 THEN 1 ELSE 0 END"
+
+
+WALK_SQL = ",".join(["""
+walk0 AS (SELECT user_id, device_id, window_us, %s AS v, t AS tree_id, 0::BIGINT AS node_id FROM windows, range(200) AS trees(t) WHERE NOT cold_start)""" % VECTOR_SQL]
+                    + [f"""
+walk{d + 1} AS (SELECT user_id, device_id, window_us, v, tree_id, CASE WHEN f IS NULL THEN node_id WHEN v[f] <= split THEN 2 * node_id + 1 ELSE 2 * node_id + 2 END AS node_id
+  FROM walk{d} JOIN model USING (tree_id, node_id))""" for d in range(8)])
+
+
+@query(f"""
+SELECT user_id, device_id, window_us, round(2 ^ (-path / base), 9) AS raw_anomaly_score FROM windows LEFT JOIN (
+  SELECT user_id, device_id, window_us, avg(depth + {_depth_sql('size')}) AS path FROM walk8 JOIN model USING (tree_id, node_id) GROUP BY ALL)
+USING (user_id, device_id, window_us), (SELECT {_depth_sql('max(size)')} AS base FROM node0)""",
+       extra=FEATURES_SQL + "," + _features_sql(f"ts < TIMESTAMP '{FROZEN}'", f"o.ts < TIMESTAMP '{FROZEN}'", "early") + "," + _forest_sql("windows_early") + "," + WALK_SQL)
 def forest_scores(spark, folder):
     """Fit on the windows before the boundary, score those after it."""
     events, moment = obs(spark, folder), F.lit(FROZEN).cast("timestamp")
     early = events.where(F.col("event_time") < moment)
     fitting = durable(features.transform_features(features.window_features(early, early, resources(spark, folder))))
     model = forest.fit_forest(fitting, features.WINDOW)
-    return forest.score_forest(features.transform_features(_windows(spark, folder)), model).select(*features.WINDOW, "raw_anomaly_score")
+    return forest.score_forest(features.transform_features(_windows(spark, folder)), model).select(
+        *features.WINDOW, F.round("raw_anomaly_score", 9).alias("raw_anomaly_score"))
 
 
-@query()
+@query("""
+SELECT tree_id::INTEGER AS tree_id, node_id::INTEGER AS node_id, coalesce(f - 1, -1)::INTEGER AS feature, round(coalesce(split, 0), 9) AS split,
+  CASE WHEN f IS NULL THEN -1 ELSE 2 * node_id + 1 END::INTEGER AS left, CASE WHEN f IS NULL THEN -1 ELSE 2 * node_id + 2 END::INTEGER AS right, size::INTEGER AS size
+FROM model""", extra=_features_sql("TRUE", "TRUE", "all") + "," + _forest_sql("windows_all"))
 def forest_model(spark, folder):
     """The model table: a fixed number of trees, each from its own hash-drawn sample."""
     events = obs(spark, folder)
-    return forest.fit_forest(durable(features.transform_features(features.window_features(events, events, resources(spark, folder)))),
-                             features.WINDOW)
+    fitting = durable(features.transform_features(features.window_features(events, events, resources(spark, folder))))
+    return forest.fit_forest(fitting, features.WINDOW).withColumn("split", F.round("split", 9))
 
 
 RISK_SQL = f"""
