@@ -11,8 +11,9 @@ _CLOCK = r"\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?"
 _OFFSET = r"(Z|[+-]\d{2}:?\d{2}(:\d{2})?)"
 NAIVE = rf"^{_DATE}([T ]{_CLOCK})?$"
 ZONED = rf"^{_DATE}[T ]{_CLOCK}{_OFFSET}$"
-# Clock changes of real zones: another instant this far away may show the same local time.
-_SHIFTS = ("30 minutes", "1 hour", "2 hours")
+# Longer than any clock change, shorter than the time between two: the offsets so far before and after an
+# instant are those on either side of a change near it.
+_AROUND = "26 hours"
 MISSING_ZONE = "time without offset, and its source declares no zone"
 AMBIGUOUS = "local time that the zone skips or repeats"
 MALFORMED = "time cannot be read"
@@ -40,6 +41,12 @@ def _instant(text: Column) -> Column:
     return F.try_to_timestamp(cleaned)
 
 
+def _also_shows(seen: Column, utc: Column, near: Column, zone: Column) -> Column:
+    """Whether with the offset of the instant `near` another instant than `utc` shows the local time `seen`."""
+    offset = F.unix_micros(F.from_utc_timestamp(near, zone)) - F.unix_micros(near)
+    return let(F.timestamp_micros(F.unix_micros(seen) - offset), lambda other: (other != utc) & (F.from_utc_timestamp(other, zone) == seen))
+
+
 def parse_event_time(text: Column, zone: Column) -> Column:
     """struct(event_time, timezone_assumption, error).
 
@@ -51,10 +58,8 @@ def parse_event_time(text: Column, zone: Column) -> Column:
     def judged(seen: Column, utc: Column) -> Column:
         zoned, naive = text.rlike(ZONED), text.rlike(NAIVE)
         gap = F.from_utc_timestamp(utc, zone) != seen
-        fold = F.lit(False)
-        for shift in _SHIFTS:
-            step = F.expr(f"interval '{shift}'")
-            fold = fold | (F.from_utc_timestamp(utc + step, zone) == seen) | (F.from_utc_timestamp(utc - step, zone) == seen)
+        step = F.expr(f"interval '{_AROUND}'")
+        fold = _also_shows(seen, utc, utc - step, zone) | _also_shows(seen, utc, utc + step, zone)
         error = (F.when(text.isNull() | (text == ""), "record has no time")
                  .when(seen.isNull() | ~(zoned | naive), MALFORMED).when(zoned, None)
                  .when(zone.isNull(), MISSING_ZONE).when(gap | fold, AMBIGUOUS))

@@ -34,6 +34,22 @@ def normalize_time(spark, folder):
     return parsed.select("event_id", micros("time.event_time").alias("us"), "time.timezone_assumption", "time.error")
 
 
+@query("""
+SELECT event_id, CASE WHEN error IS NULL THEN 86400000000 * day + clock - 60000000::BIGINT * CASE form WHEN 0 THEN CASE WHEN clock < 7200000000 THEN 120 ELSE 60 END
+    WHEN 1 THEN CASE WHEN clock < 7200000000 THEN 60 ELSE 120 END WHEN 2 THEN CASE WHEN clock < 5400000000 THEN 660 ELSE 630 END END END AS us, error
+FROM (SELECT *, CASE WHEN (form < 2 AND clock >= 7200000000 AND clock < 10800000000) OR (form = 2 AND clock >= 5400000000 AND clock < 7200000000) OR form = 3
+    THEN 'local time that the zone skips or repeats' END AS error
+  FROM (SELECT event_id, k % 4 AS form, us % 86400000000 AS clock, CASE k % 4 WHEN 0 THEN 20023 WHEN 1 THEN 19813 WHEN 2 THEN 19820 ELSE 15338 END AS day FROM obs))""")
+def zone_changes(spark, folder):
+    """Local times on days of clock changes: an hour repeated and one skipped in Berlin, half an hour repeated on Lord Howe Island, a day skipped in Samoa."""
+    k = F.col("k") % 4
+    day = F.when(k == 0, "2024-10-27").when(k == 1, "2024-03-31").when(k == 2, "2024-04-07").otherwise("2011-12-30")
+    zone = F.when(k < 2, "Europe/Berlin").when(k == 2, "Australia/Lord_Howe").otherwise("Pacific/Apia")
+    rows = obs(spark, folder).select("event_id", F.concat(day, F.date_format("event_time", "'T'HH:mm:ss.SSSSSS")).alias("text"), zone.alias("zone"))
+    parsed = rows.withColumn("time", times.parse_event_time(F.col("text"), F.col("zone")))
+    return parsed.select("event_id", micros("time.event_time").alias("us"), "time.error")
+
+
 @query("""
 SELECT event_id, CASE form WHEN 0 THEN us WHEN 1 THEN us - 7200000000 END AS us,
   CASE WHEN event_id % 10 = 0 THEN 'rejected' WHEN form < 2 THEN 'accepted' WHEN form = 2 THEN 'accepted_timestamp_unknown_timezone'

@@ -23,6 +23,8 @@ TIMES = [("2026-01-01T09:00:00Z", None, "2026-01-01 09:00:00", None), ("2026-01-
          ("2026-07-01T09:00:00", "Europe/Berlin", "2026-07-01 07:00:00", None), ("2026-01-01T09:00:00", None, None, times.MISSING_ZONE),
          ("2026-03-29T02:30:00", "Europe/Berlin", None, times.AMBIGUOUS), ("2026-10-25T02:30:00", "Europe/Berlin", None, times.AMBIGUOUS),
          ("2026-10-25T02:30:00+02:00", "Europe/Berlin", "2026-10-25 00:30:00", None), ("2026-04-05T01:45:00", "Australia/Lord_Howe", None, times.AMBIGUOUS),
+         ("2011-12-30T12:00:00", "Pacific/Apia", None, times.AMBIGUOUS), ("1867-10-19T12:00:00", "America/Juneau", None, times.AMBIGUOUS),
+         ("2026-04-05T02:00:00", "Australia/Lord_Howe", "2026-04-04 15:30:00", None),
          ("2026-10-25T04:30:00", "Europe/Berlin", "2026-10-25 03:30:00", None), ("yesterday", "Europe/Berlin", None, times.MALFORMED),
          ("2026-13-01T09:00:00Z", None, None, times.MALFORMED), ("", None, None, "record has no time")]
 
