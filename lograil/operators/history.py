@@ -126,6 +126,20 @@ def read_novelty(events: DataFrame, history: DataFrame | None = None) -> DataFra
             .join(totals, ["user_id", "day"]))
 
 
+def pair_novelty(pairs: DataFrame, events: DataFrame, history: DataFrame | None = None, minimum=MINIMUM) -> DataFrame:
+    """Pairs of a login and a read with the account's reads before the day of the login.
+
+    `pairs` has user_id, resource_id (of the read) and day (of the login), none of them null; adds prior_file_reads,
+    same_resource_count and `novel`: enough earlier reads, and none of this resource. A read on a later day than its
+    login is judged by the login's day.
+    """
+    source = with_time(events if history is None else history).where((F.col("action") == "file_read") & completed())
+    asked = pairs.select("user_id", "day").distinct().withColumn("n", F.lit(0))
+    totals = earlier_days(source.select("user_id", "day", F.lit(1).alias("n")).unionByName(asked), ["user_id"], {"n": "prior_file_reads"})
+    return (pairs.join(resource_counts(pairs, events, history), ["user_id", "resource_id", "day"]).join(totals, ["user_id", "day"])
+            .withColumn("novel", (F.col("prior_file_reads") >= minimum) & (F.col("same_resource_count") == 0)))
+
+
 def established_users(events: DataFrame, minimum=MINIMUM) -> DataFrame:
     """Every account with whether any of its logins, failed or not, had enough history."""
     rows = (with_time(events).where(F.col("user_id").isNotNull())

@@ -168,6 +168,26 @@ def read_novelty(spark, folder):
         F.col("event_id").alias("read_id"), F.col("day").alias("login_day"), "prior_file_reads", "same_resource_count")
 
 
+@query(f"""
+SELECT login_id, login_day, read_id, read_day,
+  (SELECT count(*) FROM reads h WHERE h.user_id = p.user_id AND h.day < p.login_day) AS prior_file_reads,
+  (SELECT count(*) FROM reads h WHERE h.user_id = p.user_id AND h.day < p.login_day AND h.resource_id = p.resource_id) AS same_resource_count
+FROM (SELECT l.event_id AS login_id, l.user_id, l.day AS login_day, r.event_id AS read_id, r.day AS read_day, r.resource_id,
+    row_number() OVER (PARTITION BY l.event_id ORDER BY r.us, r.event_id) AS rn
+  FROM (SELECT event_id, user_id, device_id, us, us // 86400000000 AS day FROM obs WHERE action = 'login_success') l
+  JOIN reads r ON r.user_id = l.user_id AND r.device_id = l.device_id AND r.us > l.us AND r.us <= l.us + {W}) p WHERE rn = 1""",
+       extra=EVENTS_SQL)
+def login_read_novelty(spark, folder):
+    """The first read after each login, often on a later day, against the history before the day of the login."""
+    events = obs(spark, folder)
+    first = chain.reads_after(events, WIDE).where("first_read_id is not null").select("login_id", F.col("first_read_id").alias("read_id"))
+    logins = history.with_time(events).select(F.col("event_id").alias("login_id"), "user_id", "day")
+    reads = history.with_time(events).select(F.col("event_id").alias("read_id"), "resource_id", F.col("day").alias("read_day"))
+    pairs = first.join(logins, "login_id").join(reads, "read_id")
+    return history.pair_novelty(pairs, events).select(
+        "login_id", F.col("day").alias("login_day"), "read_id", "read_day", "prior_file_reads", "same_resource_count")
+
+
 @query("SELECT event_id, user_id, resource_id, us FROM sensitive2", extra=EVENTS_SQL + """,
 sensitive2 AS (SELECT r.* FROM reads r WHERE r.k % 2 = 0 AND r.ts >= TIMESTAMP '2024-01-01' AND r.ts < TIMESTAMP '2024-01-16')""")
 def sensitive_reads(spark, folder):
