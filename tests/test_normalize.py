@@ -153,9 +153,14 @@ def test_run_is_written_once(spark, tmp_path):
     run = spark.createDataFrame([("r1", "ds")], "analysis_run_id string, dataset_id string")
     incidents = spark.createDataFrame([("r1", "i1"), ("r1", "i2")], "analysis_run_id string, incident_id string")
     sinks.write_run(run, incidents, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "incidents")).count() == 2
+    assert sinks.read_incidents(spark, str(tmp_path)).count() == 2
     with pytest.raises(ValueError):
         sinks.write_run(run, incidents, str(tmp_path))
+    # A broken attempt leaves incidents behind, a later writer a second row; neither is seen.
+    own = str(incidents.first().analysis_run_id)
+    incidents.drop("analysis_run_id").write.parquet(f"{tmp_path}/incidents/analysis_run_id={own}/attempt=0-broken")
+    run.drop("analysis_run_id").write.parquet(f"{tmp_path}/runs/analysis_run_id={own}/attempt=9-late")
+    assert sinks.read_incidents(spark, str(tmp_path)).count() == 2 and sinks.read_runs(spark, str(tmp_path)).count() == 1
 
 
 def test_each_csv_file_has_its_own_header(spark, tmp_path):
