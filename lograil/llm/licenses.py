@@ -2,7 +2,7 @@
 
 Texts become words (ASCII letters and digits lower-cased, and all non-ASCII characters); a rule is a
 regular expression over the words joined by single spaces, with a label, a priority, a weight and
-keywordss that its matches cannot do without. Only rules whose keywords stand in the text are run, so
+keywords that its matches cannot do without. Only rules whose keywords stand in the text are run, so
 most texts are settled by their set of words. A detection whose words lie inside those of another one of at
 least its priority gives way to it; of equal intervals the earlier rule stays. Places of the three
 base phrases are never suppressed.
